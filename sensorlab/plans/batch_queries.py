@@ -159,7 +159,7 @@ def filter_range(spark, folder):
 
 @query(
     """SELECT entity_id, measurement, time, value,
-       'XCC heat‑pump ' || substr(entity_id, 12, 1) || ' – teplota na horním výparníku' AS description
+       'XCC heat‑pump ' || substr(entity_id, 11, 1) || ' – teplota na horním výparníku' AS description
        FROM points WHERE entity_id LIKE 'xcc_tcstav%_tl'""",
     POINTS,
 )
