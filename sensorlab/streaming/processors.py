@@ -18,12 +18,18 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from sensorlab.operators.gate import fold_gate
 
 
+# Waiting rows are kept per day, so a backlog is worked off in pieces.
+PIECE_MS = 86_400_000
+
+
 class OrderedProcessor(StatefulProcessor):
     """Keeps rows back until complete; ``take`` gets them sorted by time, arrival.
 
     ``fields`` are the columns kept of a row, the event time as microseconds
     under ``us``. A row is complete once the watermark has passed its whole
-    millisecond. One timer per series stands at its earliest kept row.
+    millisecond. Rows wait in pieces of event time and are taken piece by
+    piece, so memory holds one piece of one series however long the backlog.
+    One timer per series stands at its earliest waiting row.
     """
 
     fields: T.StructType
@@ -31,18 +37,24 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.alarm = handle.getValueState("alarm", T.StructType([T.StructField("ms", T.LongType())]))
+        number = T.StructType([T.StructField("number", T.LongType())])
+        rows = T.StructType([T.StructField("rows", T.ArrayType(self.fields))])
+        self.waiting = handle.getMapState("waiting", number, rows)
+        self.alarm = handle.getValueState("alarm", number)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         earliest = None
         for frame in rows:
             us = frame["ts"].astype("datetime64[us]").astype("int64")
-            kept = self.keep(frame.assign(us=us))
-            if len(kept):
-                self.waiting.appendList(_tuples(kept, self.fields))
-                first = int(kept["us"].min()) // 1000
-                earliest = first if earliest is None else min(earliest, first)
+            frame = self.keep(frame.assign(us=us))
+            if not len(frame):
+                continue
+            first = int(us.min()) // 1000
+            earliest = first if earliest is None else min(earliest, first)
+            for piece, part in frame.groupby(frame["us"] // (PIECE_MS * 1000)):
+                at = (int(piece),)
+                held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
+                self.waiting.updateValue(at, (list(held) + _tuples(part, self.fields),))
         if earliest is not None:
             self.wake(earliest + 1)
         return iter(())
@@ -50,22 +62,38 @@ class OrderedProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         self.alarm.clear()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.fields.names)
-        ready = rows["us"] // 1000 < now
-        later = rows[~ready]
-        self.waiting.clear()
-        if len(later):
-            self.waiting.put(_tuples(later, self.fields))
-            self.wake(int(later["us"].min()) // 1000 + 1)
-        complete = rows[ready].sort_values(list(self.order), kind="stable", ignore_index=True)
-        if len(complete):
-            out = self.take(complete)
-            if len(out):
-                names = list(self.key_names)
-                for name, part in zip(names, key):
-                    out.insert(0, name, part)
-                out["ts"] = pd.to_datetime(out.pop("us"), unit="us")
-                yield out[self.output.names]
+        self.load(key)
+        earliest = None
+        for piece in sorted(at[0] for at in self.waiting.keys()):
+            first = piece * PIECE_MS
+            if first < now:
+                rows = pd.DataFrame(
+                    [tuple(r) for r in self.waiting.getValue((piece,))[0]], columns=self.fields.names
+                )
+                ready = rows["us"] // 1000 < now
+                later = rows[~ready]
+                if not len(later):
+                    self.waiting.removeKey((piece,))
+                elif ready.any():
+                    self.waiting.updateValue((piece,), (_tuples(later, self.fields),))
+                if ready.any():
+                    complete = rows[ready].sort_values(list(self.order), kind="stable", ignore_index=True)
+                    out = self.take(complete)
+                    if len(out):
+                        yield self.named(key, out)
+                if not len(later):
+                    continue
+                first = int(later["us"].min()) // 1000
+            earliest = first if earliest is None else min(earliest, first)
+        self.store()
+        if earliest is not None:
+            self.wake(max(earliest + 1, now + 1))
+
+    def named(self, key, out: pd.DataFrame) -> pd.DataFrame:
+        for name, part in zip(self.key_names, key):
+            out.insert(0, name, part)
+        out["ts"] = pd.to_datetime(out.pop("us"), unit="us")
+        return out[self.output.names]
 
     def wake(self, ms: int) -> None:
         if self.alarm.exists():
@@ -79,6 +107,12 @@ class OrderedProcessor(StatefulProcessor):
     def keep(self, frame: pd.DataFrame) -> pd.DataFrame:
         return frame
 
+    def load(self, key) -> None:
+        """Fetch the series' own state before its pieces are taken."""
+
+    def store(self) -> None:
+        """Put it back afterwards."""
+
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -126,31 +160,30 @@ class GateProcessor(OrderedProcessor):
             ),
         )
 
-    def handleInputRows(self, key, rows, timerValues):
-        return super().handleInputRows(key, rows, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+    def load(self, key) -> None:
         self.open_gate = key[-1] in self.gated
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        self.last = self.held.get() if self.open_gate and self.held.exists() else None
+
+    def store(self) -> None:
+        if self.open_gate and self.last is not None:
+            self.held.update(self.last)
 
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
         rows = first_per_time(rows)
-        n_rejected = 0
-        rejected = np.zeros(len(rows), dtype=bool)
-        if self.open_gate:
-            us, v = rows["us"].to_numpy("int64"), rows["value"].to_numpy("float64")
-            before = 0
-            if self.held.exists():
-                held_us, held_v, n_rejected = self.held.get()
-                us, v = np.r_[held_us, us], np.r_[held_v, v]
-                before = 1
-            stands = fold_gate(us, v, self.max_rate, self.reset_us)
-            rejected = (stands != np.arange(len(us)))[before:]
-            rows = rows.assign(value=v[stands][before:])
-            end = stands[-1]
-            n_rejected += int(rejected.sum())
-            self.held.update((int(us[end]), float(v[end]), n_rejected))
-        return rows.assign(rejected=rejected, n_rejected=n_rejected)
+        if not self.open_gate:
+            return rows.assign(rejected=False, n_rejected=0)
+        us, v = rows["us"].to_numpy("int64"), rows["value"].to_numpy("float64")
+        before, so_far = 0, 0
+        if self.last is not None:
+            held_us, held_v, so_far = self.last
+            us, v, before = np.r_[held_us, us], np.r_[held_v, v], 1
+        stands = fold_gate(us, v, self.max_rate, self.reset_us)
+        rejected = (stands != np.arange(len(us)))[before:]
+        end = stands[-1]
+        self.last = (int(us[end]), float(v[end]), so_far + int(rejected.sum()))
+        return rows.assign(
+            value=v[stands][before:], rejected=rejected, n_rejected=so_far + rejected.cumsum()
+        )
 
 
 class CorrectProcessor(OrderedProcessor):
@@ -184,6 +217,13 @@ class CorrectProcessor(OrderedProcessor):
             ),
         )
 
+    def load(self, key) -> None:
+        self.last = self.station.get() if self.station.exists() else None
+
+    def store(self) -> None:
+        if self.last is not None:
+            self.station.update(self.last)
+
     def keep(self, frame: pd.DataFrame) -> pd.DataFrame:
         return frame.assign(is_device=frame["side"] == self.device_side)
 
@@ -193,11 +233,11 @@ class CorrectProcessor(OrderedProcessor):
         us = station["us"].to_numpy("int64")
         v = station["value"].to_numpy("float64")
         produced = station["produced_at"].to_numpy("float64")
-        if self.station.exists():
-            held = self.station.get()
+        if self.last is not None:
+            held = self.last
             us, v, produced = np.r_[held[0], us], np.r_[held[1], v], np.r_[held[2], produced]
         if len(us):
-            self.station.update((int(us[-1]), float(v[-1]), float(produced[-1])))
+            self.last = (int(us[-1]), float(v[-1]), float(produced[-1]))
         # One row per millisecond, the last arrival stands.
         device = device.assign(ms=device["us"] // 1000).sort_values(["seq", "us"], kind="stable")
         device = device.drop_duplicates("ms", keep="last").sort_values("us", kind="stable")
@@ -253,12 +293,20 @@ class FeatureProcessor(OrderedProcessor):
         super().init(handle)
         self.recent = handle.getListState("recent", self._READING)
 
+    def load(self, key) -> None:
+        self.old = pd.DataFrame(list(self.recent.get()), columns=self._READING.names)
+
+    def store(self) -> None:
+        if len(self.old):
+            self.recent.put(_tuples(self.old, self._READING))
+
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
         is_base = rows["channel"].isna()
         base = rows[is_base]
         fresh = rows[~is_base].rename(columns={"value": "v"})
-        old = pd.DataFrame(list(self.recent.get()), columns=self._READING.names)
-        read = pd.concat([old, fresh[self._READING.names]], ignore_index=True) if len(old) else fresh[self._READING.names]
+        read = fresh[self._READING.names]
+        if len(self.old):
+            read = pd.concat([self.old, read], ignore_index=True)
         read = read.dropna(subset=["v"]).sort_values(["us", "seq", "v"], kind="stable", ignore_index=True)
         at = base["us"].to_numpy("int64")
         made: dict[str, np.ndarray] = {}
@@ -273,8 +321,7 @@ class FeatureProcessor(OrderedProcessor):
         # Keep what later windows reach, and the last reading of each channel.
         horizon = int(rows["us"].max()) - self.width
         last = ~read.duplicated("channel", keep="last")
-        kept = read[(read["us"] >= horizon) | last]
-        self.recent.put(_tuples(kept, self._READING)) if len(kept) else self.recent.clear()
+        self.old = read[(read["us"] >= horizon) | last]
         out = {"us": at, "seq": base["seq"].to_numpy("int64"), "temperature": base["value"].to_numpy("float64")}
         return pd.DataFrame({**out, "produced_at": base["produced_at"].to_numpy("float64"), **made})
 
