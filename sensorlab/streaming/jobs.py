@@ -79,7 +79,11 @@ def correct_stream(
     device_side: str = "device",
     tolerance_seconds: float = 20 * 60,
 ) -> DataFrame:
-    """As-of correction over watermarked readings of both sides."""
+    """As-of correction over watermarked readings of both sides.
+
+    A millisecond is only complete when the watermark has passed it, so rows
+    come out just behind the watermark: the last stateful step of a query.
+    """
     prepare(readings.sparkSession)
     output = _schema(
         readings,
@@ -93,7 +97,7 @@ def correct_stream(
     )
     processor = CorrectProcessor(list(key), output, device_side, tolerance_seconds)
     return readings.groupBy(*key).transformWithStateInPandas(
-        processor, output, "Append", "EventTime", eventTimeColumnName="ts"
+        processor, output, "Append", "EventTime"
     )
 
 

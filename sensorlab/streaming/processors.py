@@ -26,14 +26,15 @@ class OrderedProcessor(StatefulProcessor):
     """Keeps rows back until complete; ``take`` gets them sorted by time, arrival.
 
     ``fields`` are the columns kept of a row, the event time as microseconds
-    under ``us``. A row is complete once the watermark has passed its whole
-    millisecond. Rows wait in pieces of event time and are taken piece by
+    under ``us``. A row is complete once the watermark has reached it, or has
+    passed its whole millisecond if ``take`` needs those together. Rows wait in pieces of event time and are taken piece by
     piece, so memory holds one piece of one series however long the backlog.
     One timer per series stands at its earliest waiting row.
     """
 
     fields: T.StructType
     order: Sequence[str] = ("us", "seq")
+    whole_ms = False
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -49,16 +50,20 @@ class OrderedProcessor(StatefulProcessor):
             frame = self.keep(frame.assign(us=us))
             if not len(frame):
                 continue
-            first = int(us.min()) // 1000
+            first = self.due(us.min())
             earliest = first if earliest is None else min(earliest, first)
             for piece, part in frame.groupby(frame["us"] // (PIECE_MS * 1000)):
                 at = (int(piece),)
                 held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
-                self.waiting.updateValue(at, (list(held) + _tuples(part, self.fields),))
+                self.waiting.updateValue(at, ([tuple(r) for r in held] + _tuples(part, self.fields),))
         if earliest is not None:
-            self.wake(earliest + 1)
+            self.wake(earliest)
         return iter(())
 
+    def due(self, us: int) -> int:
+        """Watermark (ms) at which a row is complete."""
+        return int(us) // 1000 + 1 if self.whole_ms else -(-int(us) // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         self.alarm.clear()
@@ -66,11 +71,11 @@ class OrderedProcessor(StatefulProcessor):
         earliest = None
         for piece in sorted(at[0] for at in self.waiting.keys()):
             first = piece * PIECE_MS
-            if first < now:
+            if first <= now:
                 rows = pd.DataFrame(
                     [tuple(r) for r in self.waiting.getValue((piece,))[0]], columns=self.fields.names
                 )
-                ready = rows["us"] // 1000 < now
+                ready = rows["us"] <= (now * 1000 - 1 if self.whole_ms else now * 1000)
                 later = rows[~ready]
                 if not len(later):
                     self.waiting.removeKey((piece,))
@@ -83,11 +88,11 @@ class OrderedProcessor(StatefulProcessor):
                         yield self.named(key, out)
                 if not len(later):
                     continue
-                first = int(later["us"].min()) // 1000
+                first = self.due(later["us"].min())
             earliest = first if earliest is None else min(earliest, first)
         self.store()
         if earliest is not None:
-            self.wake(max(earliest + 1, now + 1))
+            self.wake(max(earliest, now + 1))
 
     def named(self, key, out: pd.DataFrame) -> pd.DataFrame:
         for name, part in zip(self.key_names, key):
@@ -190,6 +195,7 @@ class CorrectProcessor(OrderedProcessor):
     """Latest station reading not after each device reading, with fallback."""
 
     order = ("us", "is_device", "seq")
+    whole_ms = True
     fields = T.StructType(
         [
             T.StructField("us", T.LongType()),
