@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sensorlab.operators.slices import (
     HOT,
     SLICE,
-    carry_last,
+    SlicePlan,
+    carry_around,
     micros,
     plan_slices,
 )
@@ -34,6 +35,7 @@ def neighbours(
     columns: Sequence[str],
     seq: str | None = None,
     sides: Sequence[str] = ("backward",),
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Add structs ``_backward`` / ``_forward``: the closest right rows in time.
 
@@ -47,25 +49,21 @@ def neighbours(
         read.withColumn(_LEFT, F.lit(False)), allowMissingColumns=True
     )
     rows = rows.withColumn("_us", micros(ts))
-    plan = plan_slices(rows, key, F.col("_us"))
+    plan = plan or plan_slices(rows, key, F.col("_us"))
     sliced = plan.assign(plan.mark_hot(rows), F.col("_us"))
     if not plan.single:
-        extra = [
-            carry_last(sliced, plan, {"_r": F.col("_r")}, forward=side == "forward").withColumn(
-                "_us", F.col("_r.us")
-            )
-            for side in sides
-        ]
-        for carried in extra:
-            carried = carried.withColumn(_LEFT, F.lit(False))
-            sliced = sliced.unionByName(carried, allowMissingColumns=True)
+        around = carry_around(sliced, plan, "_r").withColumns(
+            {_LEFT: F.lit(False), "_us": F.col("_r.us")}
+        )
+        sliced = sliced.unionByName(around, allowMissingColumns=True)
     for side in sides:
         down = side == "forward"
+        # Right rows come before left rows of the same time.
         order = F.col("_us").desc() if down else F.col("_us").asc()
-        w = Window.partitionBy(*plan.group).orderBy(order)
-        frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy(*plan.group).orderBy(order, _LEFT)
         pick = F.min if down else F.max
-        sliced = sliced.withColumn(f"_{side}", pick(F.col("_r")).over(frame))
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sliced = sliced.withColumn(f"_{side}", pick(F.col("_r")).over(so_far))
     return sliced.filter(F.col(_LEFT)).drop(_LEFT, HOT, SLICE, "_r")
 
 
@@ -82,6 +80,7 @@ def asof_join(
     seq: str | None = None,
     direction: str = "backward",
     tolerance_seconds: float | None = None,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Every left row with the right ``columns`` of the closest row in time.
 
@@ -90,7 +89,7 @@ def asof_join(
     prefers the earlier row when both gaps are equal. Adds ``gap_seconds``.
     """
     sides = ("backward", "forward") if direction == "nearest" else (direction,)
-    near = neighbours(left, right, key, ts, columns, seq, sides)
+    near = neighbours(left, right, key, ts, columns, seq, sides, plan)
     before = F.col("_us") - F.col("_backward.us") if "backward" in sides else F.lit(None)
     after = F.col("_forward.us") - F.col("_us") if "forward" in sides else F.lit(None)
     if direction == "nearest":
@@ -126,6 +125,7 @@ def asof_correct(
     latency: str | None = None,
     seq: str | None = None,
     tolerance_seconds: float = 20 * 60,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Suggest for each device reading the latest station reading not after it.
 
@@ -144,7 +144,7 @@ def asof_correct(
         .select(*key, ts, F.col(value).alias("temperature"), F.col(produced).alias("produced_at"))
     )
     columns = [value, produced] + ([latency] if latency else [])
-    near = neighbours(device, meteo, key, ts, columns, seq)
+    near = neighbours(device, meteo, key, ts, columns, seq, plan=plan)
     hit = F.col("_backward")
     skew = _seconds(F.col("_us") - hit["us"])
     inside = hit.isNotNull() & (skew <= F.lit(float(tolerance_seconds)))
@@ -171,13 +171,14 @@ def impute_two_sided(
     ts: str = "ts",
     seq: str | None = None,
     gap_seconds: float = 45 * 60,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Fill null ``target`` with the mean of both neighbours within the gap.
 
     If only one neighbour is close enough the value stays null. Never changes
     the number of rows.
     """
-    near = neighbours(rows, readings, key, ts, [value], seq, ("backward", "forward"))
+    near = neighbours(rows, readings, key, ts, [value], seq, ("backward", "forward"), plan)
     limit = F.lit(int(gap_seconds * 1e6))
     before = F.when(F.col("_us") - F.col("_backward.us") <= limit, F.col(f"_backward.{value}"))
     after = F.when(F.col("_forward.us") - F.col("_us") <= limit, F.col(f"_forward.{value}"))
@@ -195,13 +196,14 @@ def match_and_impute(
     seq: str | None = None,
     tolerance_seconds: float = 20 * 60,
     gap_seconds: float = 45 * 60,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Nearest match and, where there is none, two-sided imputation.
 
     Same result as ``asof_join`` (nearest) followed by ``impute_two_sided`` on
     the same readings, from one exchange and one pair of windows.
     """
-    near = neighbours(left, right, key, ts, [value], seq, ("backward", "forward"))
+    near = neighbours(left, right, key, ts, [value], seq, ("backward", "forward"), plan)
     before, after = F.col("_us") - F.col("_backward.us"), F.col("_forward.us") - F.col("_us")
     low, high = F.col(f"_backward.{value}"), F.col(f"_forward.{value}")
     earlier = before.isNotNull() & (after.isNull() | (before <= after))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorlab.operators.slices import (
     BLOCK,
-    HOT,
-    SLICE,
+    SlicePlan,
     carry_last,
     drop_margin,
     micros,
@@ -48,16 +47,18 @@ def fused_features(
     seq: str | None = None,
     window_seconds: float = 5 * 60,
     pumps: Sequence[int] = PUMPS,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """All channel features of every base row in one exchange.
 
     ``readings`` has ``quantity`` and ``pump`` besides key, time and value.
-    The window is ``[t - window, t]``. Its contents follow from two growing
-    frames, one ending at ``t`` and one ending just before ``t - window``:
-    counts and sums are differences, the last reading is the maximum of the
-    first frame, and the first reading of the window is the successor of the
-    maximum of the second. So the cost per row does not depend on how many
-    readings a window holds.
+    The window is ``[t - window, t]``. Every reading first gets its position
+    and running sum along its channel, the channel's first reading and its own
+    successor. A window then follows from just two readings, the last one up
+    to ``t`` and the last one before ``t - window``: counts and sums are
+    differences, and the first reading inside is the successor of the second.
+    Both come from growing frames, so the cost per row does not depend on how
+    many readings a window holds.
     """
     width = int(window_seconds * 1e6)
     quantities = sorted({f.quantity for f in features})
@@ -81,7 +82,7 @@ def fused_features(
         .withColumn("_base", F.lit(False))
     )
     rows = base.withColumn("_us", micros(ts)).withColumn("_base", F.lit(True))
-    plan = plan_slices(
+    plan = plan or plan_slices(
         read.select(*key, "_us").unionByName(rows.select(*key, "_us")), key, F.col("_us"), width
     )
     # Readings near the end of a slice are also needed at the start of the next.
@@ -108,12 +109,26 @@ def fused_features(
         )
         placed = placed.unionByName(carried, allowMissingColumns=True)
 
-    needs_next = any(f.stat == "rate" for f in features)
-    if needs_next:
-        in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")
-        placed = placed.withColumn(
-            "_next", F.when(F.col("_r").isNotNull(), F.lead("_r").over(in_channel))
-        )
+    # Along each channel: position, running sum, first reading, successor.
+    stats = {f.stat for f in features}
+    in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")
+    so_far = in_channel.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = [F.col("_r.us").alias("us"), F.col("_r.seq").alias("seq"), F.col("_r.v").alias("v")]
+    steps: dict[str, Column] = {}
+    if stats - {"latest"}:
+        steps["_at"] = F.row_number().over(in_channel)
+        along.append(F.col("_at").alias("at"))
+    if "mean" in stats:
+        # Decimal sums are exact, so their difference is too.
+        steps["_sum"] = F.sum(F.col("_r.v").try_cast("decimal(27,9)")).over(so_far)
+        along.append(F.col("_sum").alias("sum"))
+    if "rate" in stats:
+        steps["_first"] = F.first("_r").over(so_far)
+        steps["_next"] = F.lead("_r").over(in_channel)
+        along += [F.col("_first").alias("first"), F.col("_next").alias("next")]
+    placed = placed.withColumns(steps).withColumn(
+        "_p", F.when(F.col("_r").isNotNull(), F.struct(*along))
+    )
 
     w = Window.partitionBy(*plan.group).orderBy("_us")
     until_now = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,49 +139,28 @@ def fused_features(
     for f in features:
         for p in pumps:
             c = f"{f.quantity}_tc{p}"
-            mine = F.col("_channel") == c
-            reading = F.when(mine, F.col("_r"))
-
-            def last_seen(c=c, reading=reading) -> Column:
-                seen = F.max(reading).over(until_now)
-                if f"_carry_{c}" in carried_names:
-                    return F.coalesce(seen, F.max(f"_carry_{c}").over(until_now))
-                return seen
-
+            mine = F.when(F.col("_channel") == c, F.col("_p"))
+            work[f"_{c}_last"] = F.max(mine).over(until_now)
+            last, opened = F.col(f"_{c}_last"), F.col(f"_{c}_open")
+            seen = last["v"]
+            if f"_carry_{c}" in carried_names:
+                work[f"_{c}_carry"] = F.max(f"_carry_{c}").over(until_now)
+                seen = F.coalesce(seen, F.col(f"_{c}_carry.v"))
             if f.stat == "latest":
-                work[f"_{c}_seen"] = last_seen()
-                out.append(F.coalesce(F.col(f"_{c}_seen.v"), zero).alias(c))
+                out.append(F.coalesce(seen, zero).alias(c))
                 continue
-            one = F.when(mine, F.lit(1))
-            work[f"_{c}_n"] = F.coalesce(F.count(one).over(until_now), F.lit(0)) - F.coalesce(
-                F.count(one).over(until_open), F.lit(0)
-            )
-            n = F.col(f"_{c}_n")
+            work[f"_{c}_open"] = F.max(mine).over(until_open)
+            n = F.coalesce(last["at"], F.lit(0)) - F.coalesce(opened["at"], F.lit(0))
             if f.stat == "mean":
-                # Decimal sums are exact, so their difference is too.
-                exact = F.when(mine, F.col("_r.v").try_cast("decimal(27,9)"))
                 none = F.lit(0).cast("decimal(37,9)")
-                work[f"_{c}_sum"] = F.coalesce(F.sum(exact).over(until_now), none) - F.coalesce(
-                    F.sum(exact).over(until_open), none
-                )
-                total = F.col(f"_{c}_sum").cast("double")
-                out.append(F.when(n > 0, total / n).otherwise(zero).alias(c))
+                total = last["sum"] - F.coalesce(opened["sum"], none)
+                out.append(F.when(n > 0, total.cast("double") / n).otherwise(zero).alias(c))
                 continue
-            before = F.when(mine, F.struct("_r", F.col("_next").alias("next")))
-            work[f"_{c}_last"] = F.max(reading).over(until_now)
-            work[f"_{c}_first"] = F.min(reading).over(until_now)
-            work[f"_{c}_open"] = F.max(before).over(until_open)
-            last = F.col(f"_{c}_last")
-            first = F.when(
-                F.col(f"_{c}_open").isNotNull(), F.col(f"_{c}_open")["next"]
-            ).otherwise(F.col(f"_{c}_first"))
+            first = F.when(opened.isNull(), last["first"]).otherwise(opened["next"])
             seconds = (last["us"] - first["us"]) / F.lit(1e6)
             known = (n > 1) & (seconds > 0)
             rate = F.when(known, (last["v"] - first["v"]) / seconds).otherwise(zero)
-            fallback: Column = zero
-            if f.carry_forward:
-                work[f"_{c}_seen"] = last_seen()
-                fallback = F.coalesce(F.col(f"_{c}_seen.v"), zero)
+            fallback = F.coalesce(seen, zero) if f.carry_forward else zero
             out.append(rate.alias(f"{c}_rate"))
             out.append(F.when(known, first["v"]).otherwise(fallback).alias(f"{c}_value"))
             out.append(n.cast("long").alias(f"{c}_n"))

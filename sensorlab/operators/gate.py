@@ -13,6 +13,7 @@ folded whole, one task each. Longer ones are folded slice by slice in parallel:
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from collections.abc import Sequence
 
@@ -33,36 +34,34 @@ MAX_RATE_PER_MINUTE = 1.6
 def fold_gate(us: np.ndarray, v: np.ndarray, limit: float, reset_us: int | None) -> np.ndarray:
     """Index of the accepted reading each row stands for.
 
-    The first row is accepted. Runs in which every row is close enough to the
-    one before it are taken in one step; only after a rejection is the row
-    that fits the held reading searched for.
+    The first row is accepted. Stretches in which every row is close enough to
+    the one before it are taken in one step; only after a rejection are rows
+    compared one by one with the held reading, until one fits.
     """
-
-    def fits(held, rows):
-        gap = np.abs(us[rows] - us[held])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rate = (v[rows] - v[held]) / (gap / 1e6 / 60.0)
-        ok = (gap == 0) | (np.abs(rate) <= limit)
-        return ok if reset_us is None else ok | (gap > reset_us)
-
     n = len(us)
     stands = np.arange(n)
-    rows = stands[1:]
-    breaks = rows[~fits(rows - 1, rows)]
+    gap = np.abs(np.diff(us))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = np.abs(np.diff(v) / (gap / 1e6 / 60.0))
+    fits = (gap == 0) | (rate <= limit)
+    if reset_us is not None:
+        fits |= gap > reset_us
+    breaks = (np.flatnonzero(~fits) + 1).tolist()
+    if not breaks:
+        return stands
+    times, heights = us.tolist(), v.tolist()
+    forever = float("inf") if reset_us is None else reset_us
     at = 0
     while at < len(breaks):
-        first = breaks[at]
-        held, low, step = first - 1, first, 16
-        found = n
-        while low < n:
-            high = min(n, low + step)
-            good = np.flatnonzero(fits(held, np.arange(low, high)))
-            if len(good):
-                found = low + good[0]
+        k = first = breaks[at]
+        t, h = times[first - 1], heights[first - 1]
+        while k < n:
+            waited = abs(times[k] - t)
+            if waited == 0 or abs((heights[k] - h) / (waited / 1e6 / 60.0)) <= limit or waited > forever:
                 break
-            low, step = high, step * 4
-        stands[first:found] = held
-        at = np.searchsorted(breaks, found, side="right")
+            k += 1
+        stands[first:k] = first - 1
+        at = bisect.bisect_right(breaks, k, at)
     return stands
 
 
@@ -140,6 +139,7 @@ def rate_gate(
     seq: str | None = None,
     max_rate: float = MAX_RATE_PER_MINUTE,
     reset_after_seconds: float | None = None,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Add ``gated_value`` and ``rejected``.
 
@@ -151,11 +151,12 @@ def rate_gate(
     arrival = F.col(seq).cast("long") if seq else F.xxhash64(F.col(value))
     rows = df.withColumns({"_us": micros(ts), "_seq": arrival})
     reset_us = None if reset_after_seconds is None else int(reset_after_seconds * 1e6)
-    plan = plan_slices(rows, key, F.col("_us"))
+    plan = plan or plan_slices(rows, key, F.col("_us"))
     sliced = plan.assign(plan.mark_hot(rows), F.col("_us"))
     placed = sliced.drop(HOT).withColumn("_start", F.lit(1))
     if not plan.single:
-        slim = sliced.filter(HOT).select(*plan.group, "_us", "_seq", value)
+        # Read several times below, so its three narrow columns are stored once.
+        slim = durable(sliced.filter(HOT).select(*plan.group, "_us", "_seq", value))
         starts = _starts(slim, plan, value, max_rate, reset_us)
         placed = placed.unionByName(
             starts.withColumns({"_start": F.lit(0), "_seq": F.lit(0).cast("long")}),

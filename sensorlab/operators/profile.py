@@ -34,7 +34,18 @@ def exact_percentiles(
         return values.groupBy(*key).agg(
             *[F.percentile("_x", p).alias(name) for name, p in points.items()]
         )
-    counts = durable(values.groupBy(*key, "_x").agg(F.count("*").alias("_n")))
+    return percentiles_of_counts(value_counts(values, key, "_x"), key, points)
+
+
+def value_counts(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """Stored ``_x, _n``: how often each value occurs in each series."""
+    values = df.select(*key, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
+    return durable(values.groupBy(*key, "_x").agg(F.count("*").alias("_n")))
+
+
+def percentiles_of_counts(
+    counts: DataFrame, key: Sequence[str], points: dict[str, float]
+) -> DataFrame:
     placed = number_rows(counts, key, ["_x"], weight="_n", total="_size")
     first, size = F.col("_row"), F.col("_size")
 
@@ -110,17 +121,17 @@ def interval_stats(
     """Mean, median, least and greatest sampling interval per series."""
     gaps = with_interval(df.select(*key, ts, *([seq] if seq else [])), key, ts, seq)
     gaps = gaps.select(*key, "interval_seconds")
-    basic = [
-        F.avg("interval_seconds").alias("mean_interval"),
-        F.min("interval_seconds").alias("min_interval"),
-        F.max("interval_seconds").alias("max_interval"),
-    ]
+    x = F.col("interval_seconds")
     order = [*key, "mean_interval", "median_interval", "min_interval", "max_interval"]
+    ends = [F.min(x).alias("min_interval"), F.max(x).alias("max_interval")]
     if estimated_bytes(df) < setting(df.sparkSession, SLICE_MIN_BYTES):
-        median = F.percentile("interval_seconds", 0.5).alias("median_interval")
-        return gaps.groupBy(*key).agg(*basic, median).select(*order)
-    medians = exact_percentiles(gaps, key, "interval_seconds", {"median_interval": 0.5})
-    return same_rows(gaps.groupBy(*key).agg(*basic), medians, key).select(*order)
+        middle = [F.avg(x).alias("mean_interval"), F.percentile(x, 0.5).alias("median_interval")]
+        return gaps.groupBy(*key).agg(*middle, *ends).select(*order)
+    counts = value_counts(gaps, key, "interval_seconds")
+    medians = percentiles_of_counts(counts, key, {"median_interval": 0.5})
+    mean = (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean_interval")
+    basic = counts.withColumnRenamed("_x", "interval_seconds").withColumn("_x", x)
+    return same_rows(basic.groupBy(*key).agg(mean, *ends), medians, key).select(*order)
 
 
 def find_gaps(

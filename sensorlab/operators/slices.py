@@ -7,7 +7,7 @@ limit, takes time quantiles as cut points; every (series, slice) pair is then
 small enough for one task. What an operator needs from earlier or later slices
 is added to each slice as a few extra rows before its window runs:
 
-* ``carry_last`` / ``carry_next``: the last reading before / the first after,
+* ``carry_last`` / ``carry_around``: the last reading before / both neighbours,
 * ``with_overlap``: all rows of the time range before the slice,
 * ``number_rows`` / ``row_blocks``: exact row numbers, and blocks of rows with
   a margin of rows on both sides.
@@ -141,29 +141,42 @@ def plan_slices(
     return SlicePlan(key, tuple(cuts), hot)
 
 
-def carry_last(
-    sliced: DataFrame, plan: SlicePlan, readings: dict[str, Column], forward: bool = False
-) -> DataFrame:
+def carry_last(sliced: DataFrame, plan: SlicePlan, readings: dict[str, Column]) -> DataFrame:
     """One row per (series, slice) with the state left by all earlier slices.
 
     ``readings`` maps a name to an orderable struct, null on rows that do not
-    count; the greatest one of the earlier slices is carried (with ``forward``
-    the smallest one of the later slices).
+    count; the greatest one of the earlier slices is carried.
     """
-    pick = F.min if forward else F.max
     ends = (
         sliced.filter(HOT)
         .groupBy(*plan.group)
-        .agg(*[pick(column).alias(name) for name, column in readings.items()])
+        .agg(*[F.max(column).alias(name) for name, column in readings.items()])
     )
-    order = F.col(SLICE).desc() if forward else F.col(SLICE)
-    before = Window.partitionBy(*plan.key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = [pick(F.col(name)).over(before).alias(name) for name in readings]
+    before = Window.partitionBy(*plan.key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.max(F.col(name)).over(before).alias(name) for name in readings]
     return ends.select(*plan.group, *carried).filter(
         reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in readings])
     )
 
 
+def carry_around(sliced: DataFrame, plan: SlicePlan, reading: str) -> DataFrame:
+    """Last reading before and first one after each (series, slice), as rows.
+
+    One aggregate yields both ends of every slice.
+    """
+    ends = (
+        sliced.filter(HOT)
+        .groupBy(*plan.group)
+        .agg(F.min(reading).alias("_low"), F.max(reading).alias("_high"))
+    )
+    order = Window.partitionBy(*plan.key).orderBy(SLICE)
+    before = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy(*plan.key).orderBy(F.col(SLICE).desc())
+    after = F.min("_low").over(back.rowsBetween(Window.unboundedPreceding, -1))
+    both = ends.select(*plan.group, F.explode(F.array(before, after)).alias(reading))
+    return both.filter(F.col(reading).isNotNull())
+
+
 def with_overlap(df: DataFrame, plan: SlicePlan, at: Column, width: float) -> DataFrame:
     """Place rows in their slice and, if within ``width`` of its end, in the next."""
     if plan.single:

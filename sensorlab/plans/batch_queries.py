@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sensorlab.functions import wire
 from sensorlab.operators import asof, features, gate, profile, resample, rolling, sets, split
 from sensorlab.plans import views
+from sensorlab.plans.correction import correct_device
+from sensorlab.plans.training import training_rows as training_table
 from sensorlab.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,20 +311,6 @@ def asof_correct(spark, folder):
     return done.withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False))).drop("meteo_stage")
 
 
-def correction_rows(spark, folder):
-    """De-duplicate both sides, gate the station, correct the device."""
-    columns = ["site", "ts", "value", "seq", "produced_at"]
-    device, meteo = (
-        sets.dedup_first(views.minutely(views.of_type(spark, folder, k)).select(*columns), SITE, seq="seq")
-        for k in ("view", "click")
-    )
-    gated = gate.rate_gate(meteo, SITE, seq="seq").withColumn("value", F.col("gated_value"))
-    done = asof.asof_correct(
-        device, gated.select(*columns), SITE, seq="seq", tolerance_seconds=2 * HOUR
-    )
-    return done.withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False))).drop("meteo_stage")
-
-
 def first_per_minute(name: str, kind: str) -> str:
     return f"""{name} AS (
   SELECT site, date_trunc('minute', ts) AS ts, value, seq, produced_at FROM readings WHERE source = '{kind}'
@@ -337,7 +325,10 @@ def first_per_minute(name: str, kind: str) -> str:
     gate_sql("meteo1"),
 )
 def correction(spark, folder):
-    return correction_rows(spark, folder)
+    """De-duplicate both sides, gate the station, correct the device."""
+    device, meteo = (views.minutely(views.of_type(spark, folder, k)) for k in ("view", "click"))
+    done = correct_device(device, meteo, SITE, tolerance_seconds=2 * HOUR)
+    return done.withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False))).drop("meteo_stage")
 
 
 # -- as-of joins -----------------------------------------------------------------
@@ -637,6 +628,47 @@ def mad_filter(spark, folder):
     return rolling.mad_filter(rows, SITE, seq="seq")
 
 
+CLEAN = f"""clean AS (SELECT * FROM (
+    SELECT *, CASE WHEN count(m) OVER w >= 5 THEN avg(abs(value - m)) OVER w END AS d FROM (
+      SELECT *, CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END AS m
+      FROM meteo WINDOW w AS {CENTRED}) WINDOW w AS {CENTRED}) WHERE abs(value - m) < 3 * 1.4826 * d)"""
+MERGED = """merged AS (SELECT site, ts, value AS temperature, seq FROM readings WHERE source IN ('view', 'error')
+    QUALIFY row_number() OVER (PARTITION BY site, ts ORDER BY source <> 'view', seq) = 1)"""
+TRAINING = """labelled AS (
+  SELECT site, ts, seq, temperature, round(o - temperature, 6) AS temperature_delta FROM (
+    SELECT *, coalesce(
+        CASE WHEN (CASE WHEN coalesce(bg <= fg, bg IS NOT NULL) THEN bg ELSE fg END) <= 1200
+             THEN CASE WHEN coalesce(bg <= fg, bg IS NOT NULL) THEN b ELSE f END END,
+        (CASE WHEN bg <= 7200 THEN b END + CASE WHEN fg <= 7200 THEN f END) / 2) AS o
+    FROM (SELECT x.*, date_diff('microsecond', x.b_ts, x.ts) / 1e6 AS bg,
+                 date_diff('microsecond', x.ts, f.ts) / 1e6 AS fg, f.value AS f
+          FROM (SELECT d.*, m.ts AS b_ts, m.value AS b FROM merged d ASOF LEFT JOIN clean m ON d.site = m.site AND d.ts >= m.ts) x
+          ASOF LEFT JOIN clean f ON x.site = f.site AND x.ts <= f.ts))
+  WHERE o IS NOT NULL)"""
+
+
+@query(
+    """SELECT * EXCLUDE (rn) FROM (SELECT *, lag(temperature, 1) OVER w AS temperature_lag1, lag(temperature, 2) OVER w AS temperature_lag2,
+       round(avg(temperature) OVER (PARTITION BY site ORDER BY ts, seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS temperature_roll3_mean,
+       round(avg(temperature) OVER (PARTITION BY site ORDER BY ts, seq ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 6) AS temperature_roll6_mean,
+       row_number() OVER w AS rn FROM labelled WINDOW w AS (PARTITION BY site ORDER BY ts, seq)) WHERE rn > 6""",
+    READINGS,
+    METEO,
+    CLEAN,
+    MERGED,
+    TRAINING,
+)
+def training_rows(spark, folder):
+    """Two exports merged, cleaned station matched and imputed, label, lags."""
+    exports = [
+        views.of_type(spark, folder, k).select("site", "ts", F.col("value").alias("temperature"), "seq")
+        for k in ("view", "error")
+    ]
+    station = views.of_type(spark, folder, "click").select("site", "ts", "value", "seq")
+    done = training_table(exports, station, SITE, ["temperature"], seq="seq", gap_seconds=2 * HOUR)
+    return views.rounded(done)
+
+
 # -- resampling ------------------------------------------------------------------
 
 # Sums are taken over exact decimals on both sides.

@@ -82,5 +82,5 @@ def stream_scoring(spark, folder):
     made = jobs.feature_job(
         stream_queries.stream_base(rows), stream_queries.stream_channels(rows), ["site"], batch.MEAN_FEATURES,
         6 * batch.HOUR,
-    )
+    ).filter("site >= 0")
     return views.naive(jobs.run_available(model.adjust_temperature(made, done.model), "stream-scoring"))

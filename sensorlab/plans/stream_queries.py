@@ -1,7 +1,7 @@
 """Streaming jobs over the events table as a file stream.
 
 One closing row far in the future pushes the watermark past all readings; it
-belongs to no site and yields no result itself.
+belongs to no site and is left out of the results.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def feature_rows(spark, folder, features, hours, label):
     rows = stream(spark, folder)
     done = jobs.feature_job(
         stream_base(rows), stream_channels(rows), ["site"], features, hours * batch.HOUR, delay="0 seconds"
-    ).drop("produced_at")
+    ).filter("site >= 0").drop("produced_at")
     return views.naive(views.rounded(jobs.run_available(done, label)))
 
 

@@ -2,17 +2,6 @@
 
 from pyspark.sql import types as T
 
-# Wire record: every field is read as text first, so that numbers and numeric
-# strings are both accepted and bad values can be told apart from missing ones.
-WIRE = T.StructType(
-    [
-        T.StructField("time", T.StringType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("processing_time_ms", T.StringType()),
-    ]
-)
-
 READING = T.StructType(
     [
         T.StructField("ts", T.TimestampType()),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_ROWS = "sensorlab.slice.rows"
 SLICE_MIN_BYTES = "sensorlab.slice.minBytes"
 
-_DEFAULTS = {SLICE_ROWS: 1_000_000, SLICE_MIN_BYTES: 32 * 1024 * 1024}
+_DEFAULTS = {SLICE_ROWS: 250_000, SLICE_MIN_BYTES: 8 * 1024 * 1024}
 
 
 def setting(spark: SparkSession, name: str) -> int:

@@ -23,6 +23,7 @@ def test_query_equals_sql(spark, con, name):
 SPLITTABLE = [
     "drop_late", "rate_gate", "correction", "asof_nearest", "match_and_label", "fused_rates", "fused_means",
     "lag_features", "mad_filter", "describe_series", "interval_stats", "time_split", "cv_folds",
+    "training_rows", "asof_correct",
 ]
 
 

@@ -26,6 +26,7 @@ GOOD = [
 BAD = [
     '{"time":"2025-04-13T08:01:30"}',
     "not json",
+    '{"time":"2025-04-13T08:01:30","value":1',
     '{"value":1}',
     '{"time":"soon","value":1}',
     '{"time":"2025-04-13T08:01:30","value":"warm"}',
