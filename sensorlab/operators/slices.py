@@ -173,8 +173,9 @@ def carry_around(sliced: DataFrame, plan: SlicePlan, reading: str) -> DataFrame:
     before = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     back = Window.partitionBy(*plan.key).orderBy(F.col(SLICE).desc())
     after = F.min("_low").over(back.rowsBetween(Window.unboundedPreceding, -1))
-    both = ends.select(*plan.group, F.explode(F.array(before, after)).alias(reading))
-    return both.filter(F.col(reading).isNotNull())
+    both = ends.select(*plan.group, before.alias("_before"), after.alias("_after"))
+    rows = both.select(*plan.group, F.explode(F.array("_before", "_after")).alias(reading))
+    return rows.filter(F.col(reading).isNotNull())
 
 
 def with_overlap(df: DataFrame, plan: SlicePlan, at: Column, width: float) -> DataFrame:
