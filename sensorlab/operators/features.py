@@ -113,21 +113,25 @@ def fused_features(
     stats = {f.stat for f in features}
     in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")
     so_far = in_channel.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    along = [F.col("_r.us").alias("us"), F.col("_r.seq").alias("seq"), F.col("_r.v").alias("v")]
-    steps: dict[str, Column] = {}
-    if stats - {"latest"}:
-        steps["_at"] = F.row_number().over(in_channel)
-        along.append(F.col("_at").alias("at"))
+    # The position comes first, so the greatest struct is the latest reading.
+    steps: dict[str, Column] = {"_at": F.row_number().over(in_channel)}
+    as_last = [F.col("_at").alias("at"), F.col("_r.v").alias("v")]
+    as_open = [F.col("_at").alias("at")]
     if "mean" in stats:
         # Decimal sums are exact, so their difference is too.
         steps["_sum"] = F.sum(F.col("_r.v").try_cast("decimal(27,9)")).over(so_far)
-        along.append(F.col("_sum").alias("sum"))
+        as_last.append(F.col("_sum").alias("sum"))
+        as_open.append(F.col("_sum").alias("sum"))
     if "rate" in stats:
-        steps["_first"] = F.first("_r").over(so_far)
-        steps["_next"] = F.lead("_r").over(in_channel)
-        along += [F.col("_first").alias("first"), F.col("_next").alias("next")]
-    placed = placed.withColumns(steps).withColumn(
-        "_p", F.when(F.col("_r").isNotNull(), F.struct(*along))
+        steps |= {"_first": F.first("_r").over(so_far), "_next": F.lead("_r").over(in_channel)}
+        as_last += [F.col("_r.us").alias("us"), F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
+        as_open += [F.col("_next.us").alias("first_us"), F.col("_next.v").alias("first_v")]
+    is_reading = F.col("_r").isNotNull()
+    placed = placed.withColumns(steps).withColumns(
+        {
+            "_as_last": F.when(is_reading, F.struct(*as_last)),
+            "_as_open": F.when(is_reading, F.struct(*as_open)),
+        }
     )
 
     w = Window.partitionBy(*plan.group).orderBy("_us")
@@ -139,8 +143,8 @@ def fused_features(
     for f in features:
         for p in pumps:
             c = f"{f.quantity}_tc{p}"
-            mine = F.when(F.col("_channel") == c, F.col("_p"))
-            work[f"_{c}_last"] = F.max(mine).over(until_now)
+            mine = F.col("_channel") == c
+            work[f"_{c}_last"] = F.max(F.when(mine, F.col("_as_last"))).over(until_now)
             last, opened = F.col(f"_{c}_last"), F.col(f"_{c}_open")
             seen = last["v"]
             if f"_carry_{c}" in carried_names:
@@ -149,20 +153,22 @@ def fused_features(
             if f.stat == "latest":
                 out.append(F.coalesce(seen, zero).alias(c))
                 continue
-            work[f"_{c}_open"] = F.max(mine).over(until_open)
+            work[f"_{c}_open"] = F.max(F.when(mine, F.col("_as_open"))).over(until_open)
             n = F.coalesce(last["at"], F.lit(0)) - F.coalesce(opened["at"], F.lit(0))
             if f.stat == "mean":
                 none = F.lit(0).cast("decimal(37,9)")
                 total = last["sum"] - F.coalesce(opened["sum"], none)
                 out.append(F.when(n > 0, total.cast("double") / n).otherwise(zero).alias(c))
                 continue
-            first = F.when(opened.isNull(), last["first"]).otherwise(opened["next"])
-            seconds = (last["us"] - first["us"]) / F.lit(1e6)
+            alone = opened.isNull()
+            first_us = F.when(alone, last["first_us"]).otherwise(opened["first_us"])
+            first_v = F.when(alone, last["first_v"]).otherwise(opened["first_v"])
+            seconds = (last["us"] - first_us) / F.lit(1e6)
             known = (n > 1) & (seconds > 0)
-            rate = F.when(known, (last["v"] - first["v"]) / seconds).otherwise(zero)
+            rate = F.when(known, (last["v"] - first_v) / seconds).otherwise(zero)
             fallback = F.coalesce(seen, zero) if f.carry_forward else zero
             out.append(rate.alias(f"{c}_rate"))
-            out.append(F.when(known, first["v"]).otherwise(fallback).alias(f"{c}_value"))
+            out.append(F.when(known, first_v).otherwise(fallback).alias(f"{c}_value"))
             out.append(n.cast("long").alias(f"{c}_n"))
     return (
         placed.withColumns(work)

@@ -27,7 +27,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlab.session import SLICE_MIN_BYTES, SLICE_ROWS, setting
+from sensorlab.session import SLICE_MIN_BYTES, SLICE_ROWS, durable, setting
 
 SLICE = "_slice"
 HOT = "_hot"
@@ -51,6 +51,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
+def stored_if_large(df: DataFrame) -> DataFrame:
+    """Checkpoint costly results that the next operator reads more than once.
+
+    Operators read a small input once, so nothing is stored then.
+    """
+    small = estimated_bytes(df) < setting(df.sparkSession, SLICE_MIN_BYTES)
+    return df if small else durable(df)
+
+
 def same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in key])
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from sensorlab.operators.asof import match_and_impute
 from sensorlab.operators.features import add_label, lag_features
 from sensorlab.operators.rolling import mad_filter
-from sensorlab.operators.sets import merge_first
+from sensorlab.operators.sets import merge_first, union_all
+from sensorlab.operators.slices import micros, plan_slices, stored_if_large
 
 
 def training_rows(
@@ -30,10 +31,21 @@ def training_rows(
     is cleaned of outliers, matched to the nearest time or imputed from both
     sides; rows that stay without a station value are dropped.
     """
+    times = [t.select(*key, ts) for t in [*exports, station]]
+    plan = plan_slices(union_all(*times), key, micros(ts))
     merged = merge_first(exports, key, ts, seq)
-    clean = mad_filter(station, key, ts=ts, seq=seq)
+    clean = stored_if_large(mad_filter(station, key, ts=ts, seq=seq))
     matched = match_and_impute(
-        merged, clean, key, ts=ts, seq=seq, tolerance_seconds=tolerance_seconds, gap_seconds=gap_seconds
+        merged,
+        clean,
+        key,
+        ts=ts,
+        seq=seq,
+        tolerance_seconds=tolerance_seconds,
+        gap_seconds=gap_seconds,
+        plan=plan,
     )
     labelled = add_label(matched.na.drop(subset=["outdoor_temperature"])).drop("outdoor_temperature")
-    return lag_features(labelled, key, features, lags, windows, ts, seq, drop_incomplete=True)
+    return lag_features(
+        stored_if_large(labelled), key, features, lags, windows, ts, seq, drop_incomplete=True
+    )

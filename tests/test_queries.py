@@ -41,3 +41,17 @@ def test_entry(spark):
 def test_every_query_but_models_has_sql():
     models = {"train_trees", "train_lasso", "feature_importance", "adjust_temperature", "stream_scoring"}
     assert set(job.queries()) - set(job.oracle_sql()) == models
+
+
+@pytest.mark.parametrize("name", ["asof_nearest", "match_and_label", "fused_rates", "fused_means", "lag_features"])
+def test_one_exchange(spark, name):
+    plan = job.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan
+
+
+def test_scans_read_only_what_is_needed(spark):
+    plan = job.queries()["time_bounds"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
+    plan = job.queries()["filter_range"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
