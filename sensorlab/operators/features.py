@@ -109,6 +109,9 @@ def fused_features(
         )
         placed = placed.unionByName(carried, allowMissingColumns=True)
 
+    if plan.group:
+        # One exchange serves the windows by channel and those over all channels.
+        placed = placed.repartition(*plan.group)
     # Along each channel: position, running sum, first reading, successor.
     stats = {f.stat for f in features}
     in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")

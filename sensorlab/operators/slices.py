@@ -78,7 +78,8 @@ class SlicePlan:
 
     @property
     def group(self) -> list[str]:
-        return [*self.key, SLICE]
+        """Columns to partition windows by."""
+        return [*self.key] if self.single else [*self.key, SLICE]
 
     def mark_hot(self, df: DataFrame) -> DataFrame:
         if self.single:

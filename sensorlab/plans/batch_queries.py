@@ -820,6 +820,25 @@ def top_k(spark, folder):
     return views.readings(spark, folder).select("seq", "value").orderBy(F.col("value").desc(), "seq").limit(10)
 
 
+@query("SELECT seq, ts, value FROM readings ORDER BY ts, seq LIMIT 5 OFFSET 300", READINGS)
+def positional_slice(spark, folder):
+    """Rows 300 to 304 in time order; each task keeps only what can be among them."""
+    return views.readings(spark, folder).select("seq", "ts", "value").orderBy("ts", "seq").offset(300).limit(5)
+
+
+@query(
+    """SELECT site, count(*) FILTER (source = 'view') AS n_unrouted,
+       count(*) FILTER (source <> 'view') AS n_routed FROM readings GROUP BY site""",
+    READINGS,
+)
+def routing_report(spark, folder):
+    """Readings per site whose source names a pump, and those that are left out."""
+    pump = views.pump_of(F.col("source"))
+    return views.readings(spark, folder).groupBy("site").agg(
+        F.count_if(pump.isNull()).alias("n_unrouted"), F.count_if(pump.isNotNull()).alias("n_routed")
+    )
+
+
 # -- splits ----------------------------------------------------------------------
 
 

@@ -204,6 +204,17 @@ def start_files(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def start_console(df: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Print a stream's rows, batch by batch."""
+    return (
+        df.writeStream.format("console")
+        .option("truncate", "false")
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .start()
+    )
+
+
 def run_available(df: DataFrame, label: str) -> DataFrame:
     """Run a stream over what its sources hold now; the rows it wrote."""
     spark = df.sparkSession
