@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlab.llm import neardup
+from sensorlab.llm import decontaminate, neardup, toxicity, weaklabel
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op5_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return weaklabel.score_quality(_table(spark, folder, "documents"))
+
+
+def op6_levenshtein_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
 
 
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
+    "op5_weak_labels": op5_weak_labels,
+    "op6_levenshtein_lexicon": op6_levenshtein_lexicon,
     "op9_circulant_minhash": op9_circulant_minhash,
 }
 
@@ -24,10 +39,10 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 SQL = {
     "op9_circulant_minhash": f"""
 WITH RECURSIVE t AS (
-    SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents
+    SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh
     FROM t
 ), n AS (SELECT doc_id, len(sh) AS n FROM s),
 e AS (SELECT doc_id, unnest(sh) AS g FROM s),

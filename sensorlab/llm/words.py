@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‘’«»…–—"
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)  # fixed values: odd multipliers of a common 64-bit finaliser
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -27,9 +28,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and where each text's words end."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
     empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
@@ -40,6 +42,11 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, ends
 
 
+def plain_words(words: pa.Array) -> pa.Array:
+    """Lower-cased, without punctuation at either end."""
+    return pc.utf8_lower(pc.utf8_trim(words, MARKS))
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; equal words hash alike in every process."""
     if not len(words):
@@ -88,3 +95,9 @@ def distinct_sorted(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
     fresh[starts[starts < ends]] = True
     kept = np.concatenate([[0], np.cumsum(fresh)])
     return values[fresh], kept[ends]
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each text's values."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[ends] - total[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
