@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorlab.session import fresh_folder
 
@@ -37,7 +38,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` for a step that needs one batch at a time."""
     small_batches(df.sparkSession)
 
@@ -49,6 +50,17 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``df``, all columns, whose text is wanted."""
+    at = df.columns.index(text_col)
+    kept = map_arrow(
+        df.toDF(*(f"c{i}" for i in range(len(df.columns)))),
+        lambda batch: batch.filter(pa.array(wanted(batch.column(at)))),
+        T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]),
+    )
+    return kept.toDF(*df.columns)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of neighbouring rows with equal keys, from batches sorted by these keys."""
     held: list[pa.RecordBatch] = []
@@ -76,27 +88,75 @@ def list_array(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def run_firsts(key: np.ndarray, value: np.ndarray, last: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and the first value of each row's run; `last` is key and first value of the run before."""
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(fresh)
+    first = value[begin][np.cumsum(fresh) - 1]
+    if last is not None and key[0] == last[0]:
+        end = begin[1] if len(begin) > 1 else len(key)
+        first[:end] = last[1]
+        fresh[0] = False
+    return fresh, first
+
+
+def _star(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[pa.RecordBatch]:
+    """One step over edges sorted by ``u, v``; the first v of a run is the least neighbour."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
+        fresh, first = run_firsts(u, v, last)
+        last = (u[-1], first[-1])
+        low = np.minimum(first, u)
+        if large:  # larger neighbours go to the least node known
+            keep = v > u
+            a, b, moved = v[keep], low[keep], (low != u)[keep]
+        else:  # u and its smaller neighbours do
+            other = v != first
+            a = np.concatenate([v[other], u[fresh]])
+            b = np.concatenate([first[other], first[fresh]])
+            moved = np.concatenate([np.ones(other.sum(), bool), np.zeros(fresh.sum(), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(moved)], ["a", "b", "moved"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every end of the edges ``a, b``: the smallest id reachable.
 
-    Two steps alternate until nothing changes: every node links its larger
-    neighbours to the smallest node it knows, then its smaller ones. Both are a
-    minimum by key and a join, so that nothing is gathered in one place.
+    Two steps alternate until nothing moves: every node links its larger
+    neighbours to the least node it knows, then itself and its smaller ones.
+    Each step is one exchange and one pass over sorted edges, so that a node of
+    any number of edges needs no memory.
     """
-    links = stored(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
-    seen = None
+    links = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        large = large.union(low.filter("m < u").select("u", F.col("m"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        links = stored(small.union(least.toDF("a", "b")).distinct(), "links")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        moved = 0
+        for large in (True, False):
+            links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            links = (links.union(links.select("v", "u")) if large else links).repartition("u").sortWithinPartitions("u", "v")
+            step = links.mapInArrow(lambda batches, large=large: _star(batches, large), "a long, b long, moved boolean")
+            links = stored(step, "links")
+            moved += links.filter("moved").limit(1).count()
+        if not moved:
             break
-        seen = state
-    return links.toDF("id", "component").union(links.select("b", "b").distinct())
+    pairs = links.select("a", "b")
+    return pairs.union(pairs.select("b", "b")).distinct().toDF("id", "component")
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose `column` may be among the long ids of the one-column ``ids``; the others are certainly not.
+
+    A bit map of fixed size (2^bits bits in at most 2^(bits - 6) rows of 16
+    bytes, so that it can always be broadcast) keeps most rows that a following
+    join would drop out of its exchange.
+    """
+    def slot(name: str):
+        return F.shiftrightunsigned(F.xxhash64(F.col(name).cast("long"), F.lit(7)), 64 - bits)
+
+    marks = ids.toDF("_i").select(slot("_i").alias("_s")).groupBy(F.shiftright("_s", 6).alias("_word"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_marks"))
+    slotted = df.withColumn("_slot", slot(column)).withColumn("_word", F.shiftright("_slot", 6))
+    kept = slotted.join(F.broadcast(marks), "_word").filter("_marks & shiftleft(1L, cast(_slot & 63 as int)) <> 0")
+    return kept.select(*df.columns)

@@ -7,14 +7,14 @@
    shingles, a second one, shifted by k, gives coordinate k of the signature.
    Bands of ROWS coordinates are hashed; there are enough bands that a pair at
    the threshold is missed with a probability below MISS.
-3. Documents that share a band are joined to families (connected components
-   over "bucket's smallest id - member"). A family is cut into blocks of
-   bounded size, and every block is compared within itself in one go: exact
+3. Documents that share a band share a bucket. Each document goes with the
+   smallest id of all its buckets. Such a family is cut into blocks of bounded
+   size, and every block is compared within itself in one go: exact
    intersections are a product of 0/1 matrices. Only a spanning forest of the
-   links leaves the task. A family of one block is done.
-4. In families of several blocks a few pivot documents are added to each block.
-   What is not linked by then is compared bucket by bucket, block against
-   block, but for blocks known to lie within one component.
+   links leaves the task. Blocks of one family share a few pivot documents.
+4. Buckets that still hold several components are compared whole, block against
+   block, but for blocks that lie within one component. Of buckets with the
+   same members one is enough.
 
 No step needs all members of a bucket or family in one task, and no pairs are
 written out.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import components, list_array, map_arrow, runs, small_batches, stored
+from sensorlab.llm.common import components, list_array, map_arrow, maybe_in, run_firsts, runs, small_batches, stored
 from sensorlab.llm.words import distinct_sorted, mix64, shingle_hashes, word_hashes
 
 ROWS = 6
@@ -39,6 +39,7 @@ BLOCK_SHINGLES = 400_000
 PER_DOCUMENT = 1_000
 PIVOTS = 32
 COLUMNS = 4_096
+NO_POOL = -(2**63)
 
 
 def bands_for(percent: int) -> int:
@@ -118,6 +119,27 @@ def linked_roots(sets: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray
         root = low
 
 
+def _bucket_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets with two or more documents, from rows sorted by ``_key, _id``, with the smallest id."""
+    last, waiting = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if waiting is not None:
+            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            last, waiting = None, None
+        key, ids = batch.column("_key").to_numpy(), batch.column("_id").to_numpy()
+        fresh, first = run_firsts(key, ids, last)
+        keep = ~fresh
+        keep[:-1] |= ~fresh[1:]
+        if fresh[-1]:  # its bucket may go on in the next batch
+            waiting = batch.slice(batch.num_rows - 1)
+            keep[-1] = False
+        last = (key[-1], first[-1])
+        keep = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns), pa.array(first).filter(keep)], ["_key", "_id", "_n", "_hub"])
+
+
 def _compared(tiles: DataFrame, docs: DataFrame, keys: list[str], size: int, percent: int) -> DataFrame:
     """Edges ``a, b`` of a spanning forest of the links within each tile (rows ``keys, _id``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +154,8 @@ def _compared(tiles: DataFrame, docs: DataFrame, keys: list[str], size: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
     small_batches(docs.sparkSession)
-    rows = docs.join(tiles, "_id").repartition(*keys).sortWithinPartitions(*keys, "_id")
+    tiles = stored(tiles, "tiles")
+    rows = maybe_in(docs, "_id", tiles.select("_id")).join(tiles, "_id").repartition(*keys).sortWithinPartitions(*keys, "_id")
     return rows.select(*keys, "_id", "_text").mapInArrow(run, "a long, b long")
 
 
@@ -168,68 +191,61 @@ def near_duplicates(
     )
     ids = sketch.filter("_id is not null and _n > 0")
     digest = ["_n", "_d1", "_d2"]
-    copies = stored(ids.select("_id", *digest).join(ids.groupBy(*digest).agg(F.min("_id").alias("_rep")), digest), "copies")
-    copied = copies.filter("_id <> _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
-
-    single = ids.join(copies.filter("_id = _rep").select("_id", *digest), ["_id", *digest], "left_semi")
-    keys = single.select("_id", "_n", F.explode("_bands").alias("_key"))
-    hubs = keys.groupBy("_key").agg(F.min("_id").alias("_hub"), F.max("_id").alias("_other")).filter("_hub < _other")
-    members = stored(keys.join(hubs.select("_key", "_hub"), "_key"), "buckets")
-    family = components(members.filter("_id <> _hub").select(F.col("_hub").alias("a"), F.col("_id").alias("b")))
-    sizes = members.groupBy("_id").agg(F.max("_n").alias("_n")).join(family.toDF("_id", "_family"), "_id")
-    total = sizes.groupBy("_family").agg(_blocks(F.count("*"), F.sum("_n")).alias("_blocks"), F.count("*").alias("_size"))
-    placed = stored(sizes.join(total, "_family"), "families")
+    copies = ids.select("_id", *digest).join(ids.groupBy(*digest).agg(F.min("_id").alias("_rep")), digest)
+    copies = stored(copies.select("_id", "_n", "_rep"), "copies")
+
+    first = copies.filter("_id = _rep").select("_id", "_n").distinct()
+    keys = ids.join(first, ["_id", "_n"], "left_semi").select(F.explode("_bands").alias("_key"), "_id", "_n")
+    keys = keys.repartition("_key").sortWithinPartitions("_key", "_id")
+    members = stored(keys.mapInArrow(_bucket_members, "_key long, _id long, _n long, _hub long"), "buckets")
+    placed = members.groupBy("_id").agg(F.max("_n").alias("_n"), F.min("_hub").alias("_family"))
+    total = placed.groupBy("_family").agg(_blocks(F.count("*"), F.sum("_n")).alias("_blocks"), F.count("*").alias("_size"))
+    placed = placed.join(total, "_family")
 
     pivot = F.expr(f"_blocks > 1 and pmod(xxhash64(_id, 1), cast(ceil(_size / {PIVOTS}) as int)) = 0")
     everywhere = F.sequence(F.lit(0), F.col("_blocks") - 1)
     tiles = placed.select("_id", "_family", F.explode(F.when(pivot, everywhere).otherwise(F.array(_deal("_blocks", 0)))).alias("_block"))
     known = texts.filter("_id is not null")
-    near = stored(_compared(tiles, known, ["_family", "_block"], size, percent), "near")
-
-    wide = placed.filter("_blocks > 1").select("_id", "_n")
-    if not wide.isEmpty():
-        near = near.union(_across(wide, members, near, known, size, percent))
-    # A digest links rows of equal sets; ids that occur twice may add edges within one id, which do no harm.
-    joined = components(copied.union(near)).toDF("_id", "_component")
-    rows = sketch.groupBy("_id").agg(F.max("_n").alias("_n")).filter("_id is not null").join(joined, "_id", "left")
-    found = rows.select(
-        F.col("_id").alias(id_col),
-        F.col("_n").alias("n_shingles"),
-        F.coalesce("_component", "_id").alias("component_id"),
-        F.coalesce(F.col("_component") == F.col("_id"), F.lit(True)).alias("kept"),
-    )
+    state = components(_compared(tiles, known, ["_family", "_block"], size, percent)).toDF("_id", "_component")
+    state = stored(state, "components")
+    near = state.select(F.col("_id").alias("a"), F.col("_component").alias("b"))
+    joined = components(near.union(_across(members, state, known, size, percent))).toDF("_rep", "_component")
+
+    rows = copies.join(joined, "_rep", "left").groupBy("_id").agg(F.min(F.coalesce("_component", "_rep")).alias("_component"))
+    rows = sketch.filter("_id is not null").groupBy("_id").agg(F.max("_n").alias("_n")).join(rows, "_id", "left")
+    component = F.coalesce("_component", "_id")
+    found = rows.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), (component == F.col("_id")).alias("kept"))
     return found.union(
         sketch.filter("_id is null").select(F.col("_id"), F.col("_n"), F.lit(None).cast("long"), F.lit(True))
     )
 
 
-def _across(wide: DataFrame, members: DataFrame, near: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between the components that a bucket of a large family still has."""
-    state = components(near).toDF("_id", "_component")
-    rows = members.join(wide, ["_id", "_n"]).join(state, "_id", "left")
+def _across(members: DataFrame, state: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components that a bucket still has."""
+    rows = members.select("_key", "_id", "_n").join(state, "_id", "left")
     rows = rows.withColumn("_component", F.coalesce("_component", "_id"))
-    mixed = rows.groupBy("_key").agg(F.min("_component").alias("_c1"), F.max("_component").alias("_c2")).filter("_c1 < _c2")
-    rows = rows.join(mixed.select("_key"), "_key", "left_semi")
+    mixed = rows.groupBy("_key").agg(
+        F.min("_component").alias("_c1"), F.max("_component").alias("_c2"), F.count("*").alias("_m"),
+        F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("_all"),
+    ).filter("_c1 < _c2")
+    mixed = mixed.groupBy("_m", "_all").agg(F.min("_key").alias("_key"))
+    rows = stored(rows.join(mixed.select("_key"), "_key", "left_semi"), "mixed")
     # Components that fill a block get blocks of their own; the others share blocks.
     part = rows.groupBy("_key", "_component").agg(F.count("*").alias("_size"), F.sum("_n").alias("_sum"))
-    part = part.withColumn("_own", F.expr(f"_sum + _size * {PER_DOCUMENT} >= {BLOCK_SHINGLES // 2}"))
-    part = part.withColumn("_pool", F.when(F.col("_own"), F.col("_component")))
+    own = F.expr(f"_sum + _size * {PER_DOCUMENT} >= {BLOCK_SHINGLES // 2}")
+    part = part.withColumn("_pool", F.when(own, F.col("_component")).otherwise(F.lit(NO_POOL)))
     pools = part.groupBy("_key", "_pool").agg(_blocks(2 * F.sum("_size"), 2 * F.sum("_sum")).alias("_blocks"))
-    part = part.join(pools.withColumnRenamed("_key", "_k").withColumnRenamed("_pool", "_p"), F.expr("_key = _k and _pool <=> _p"))
-    rows = rows.join(part.select("_key", "_component", "_pool", "_blocks"), ["_key", "_component"])
-    rows = stored(rows.select("_id", "_key", "_pool", _deal("_blocks", 2).alias("_block")), "mixed")
+    part = part.select("_key", "_component", "_pool").join(pools, ["_key", "_pool"])
+    rows = rows.join(part, ["_key", "_component"]).select("_id", "_key", "_pool", _deal("_blocks", 2).alias("_block"), "_blocks")
+    rows = stored(rows, "mixed")
     blocks = rows.select("_key", "_pool", "_block").distinct()
-    left = blocks.toDF("_key", "_p1", "_b1")
-    right = blocks.toDF("_key", "_p2", "_b2")
-    pairs = left.join(right, "_key").filter(
-        "struct(coalesce(_p1, -1), _b1) <= struct(coalesce(_p2, -1), _b2) and not (_p1 <=> _p2 and _p1 is not null)"
+    pairs = blocks.toDF("_key", "_p1", "_b1").join(blocks.toDF("_key", "_p2", "_b2"), "_key")
+    pairs = pairs.filter(f"struct(_p1, _b1) <= struct(_p2, _b2) and (_p1 <> _p2 or _p1 = {NO_POOL})")
+    tile = F.xxhash64("_p1", "_b1", "_p2", "_b2").alias("_tile")
+    ends = pairs.select("_key", F.col("_p1").alias("_pool"), F.col("_b1").alias("_block"), tile).union(
+        pairs.select("_key", F.col("_p2"), F.col("_b2"), tile)
     )
-    ends = [
-        pairs.select("_key", F.col(p).alias("_pool"), F.col(b).alias("_block"), F.xxhash64("_p1", "_b1", "_p2", "_b2").alias("_tile"))
-        for p, b in (("_p1", "_b1"), ("_p2", "_b2"))
-    ]
-    ends = ends[0].union(ends[1]).distinct().toDF("_k", "_p", "_b", "_tile")
-    tiles = rows.join(ends, F.expr("_key = _k and _block = _b and _pool <=> _p")).select("_id", "_key", "_tile").distinct()
+    tiles = rows.join(ends.distinct(), ["_key", "_pool", "_block"]).select("_id", "_key", "_tile")
     return _compared(tiles, known, ["_key", "_tile"], size, percent)
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorlab.llm import decontaminate, neardup, toxicity, weaklabel
+import corpus_pipeline
+from sensorlab.llm import decontaminate, neardup, packing, toxicity, weaklabel
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +20,11 @@ def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op2_deficit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, folder, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     return weaklabel.score_quality(_table(spark, folder, "documents"))
 
@@ -29,9 +39,11 @@ def op9_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_deficit_packing": op2_deficit_packing,
     "op5_weak_labels": op5_weak_labels,
     "op6_levenshtein_lexicon": op6_levenshtein_lexicon,
     "op9_circulant_minhash": op9_circulant_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

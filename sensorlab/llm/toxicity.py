@@ -19,6 +19,7 @@ inputs. An empty or null text has no hits and gets the model's score for that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import map_arrow, stored
+from sensorlab.llm.common import keep_rows, map_arrow, stored
 from sensorlab.llm.linear import fit_dense, sigmoid
 from sensorlab.llm.words import plain_words, shingle_hashes, split_words, word_hashes
 
@@ -206,17 +207,12 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def score_toxicity(
+def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_labelled: int = 50_000,
-) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, held_out, score, predicted, hit_kinds``.
-
-    Learns from labelled rows that aren't held out. Without labels of both kinds
-    the score is the share of toxic labels, or 0 without any. Null labels are no
-    labels; of several labels of one id the largest counts.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), held_out(id_col).alias("_held"))
+) -> tuple[Lexicon, Callable[[pa.Array], np.ndarray]]:
+    """The lexicon, and a function from texts to scores."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     truth = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     truth = truth.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     part = min(1.0, max_labelled / max(truth.count(), 1))
@@ -238,12 +234,39 @@ def score_toxicity(
         share = target.mean() if len(target) else 0.0
         weights = np.append(np.zeros(6), np.log((share + 1e-9) / (1 - share + 1e-9)))
 
+    def scores(texts_: pa.Array) -> np.ndarray:
+        return sigmoid((hit_features(texts_, lexicon) / scale) @ weights[:-1] + weights[-1])
+
+    return lexicon, scores
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_labelled: int = 50_000,
+) -> DataFrame:
+    """One row per row of ``docs``: ``id_col, held_out, score, predicted``.
+
+    Learns from labelled rows that aren't held out. Without labels of both kinds
+    the score is the share of toxic labels, or 0 without any. Null labels are no
+    labels; of several labels of one id the largest counts.
+    """
+    _, scores = fit_toxicity(docs, labels, id_col, text_col, label_col, max_labelled)
+
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = hit_features(batch.column("_text"), lexicon)
-        score = sigmoid((rows / scale) @ weights[:-1] + weights[-1])
+        score = scores(batch.column("_text"))
         return pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_held"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array((rows[:, :4] > 0).sum(axis=1))],
-            [id_col, "held_out", "score", "predicted", "hit_kinds"],
+            [batch.column("_id"), batch.column("_held"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+            [id_col, "held_out", "score", "predicted"],
         )
 
-    return map_arrow(texts, scored, f"`{id_col}` long, held_out boolean, score double, predicted int, hit_kinds long")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), held_out(id_col).alias("_held"))
+    return map_arrow(texts, scored, f"`{id_col}` long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_labelled: int = 50_000,
+) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5."""
+    _, scores = fit_toxicity(docs, labels, id_col, text_col, label_col, max_labelled)
+    return keep_rows(docs, text_col, lambda texts: scores(texts) < 0.5)

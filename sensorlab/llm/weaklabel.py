@@ -15,13 +15,15 @@ scorer's bias. Rows with a null id are scored like others, but not sampled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import list_array, map_arrow
+from sensorlab.llm.common import keep_rows, list_array, map_arrow
 from sensorlab.llm.linear import fit_sparse, sigmoid
 from sensorlab.llm.words import hash_words, split_words, sums
 
@@ -125,13 +127,10 @@ def _decoded(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(len(LABELLERS))[None, :] % 3
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, posterior, score, predicted``.
-
-    `posterior` is what EM makes of the labellers' votes, `score` the linear
-    scorer's probability that the document is good, `predicted` 1 if that is at
-    least 0.5.
-    """
+def fit_quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000
+) -> tuple[Callable[[pa.Array], np.ndarray], Callable[[pa.Array], np.ndarray]]:
+    """Functions from texts to posteriors and to scores, learned from all documents' votes and a sample's words."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def vote_codes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,13 +171,34 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cuts, table["target"].to_numpy(), BUCKETS,
     ).astype(np.float32)
 
+    def scores(texts_: pa.Array) -> np.ndarray:
+        index, ends = features(texts_)
+        return sigmoid(SCALE * sums(weights[index], ends) / np.maximum(np.diff(ends, prepend=0), 1) + weights[-1])
+
+    return posteriors, scores
+
+
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000) -> DataFrame:
+    """One row per row of ``docs``: ``id_col, posterior, score, predicted``.
+
+    `posterior` is what EM makes of the labellers' votes, `score` the linear
+    scorer's probability that the document is good, `predicted` 1 if that is at
+    least 0.5.
+    """
+    posteriors, scores = fit_quality(docs, id_col, text_col, sample)
+
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, ends = features(batch.column("_text"))
-        mean = SCALE * sums(weights[index], ends) / np.maximum(np.diff(ends, prepend=0), 1)
-        score = sigmoid(mean + weights[-1])
+        score = scores(batch.column("_text"))
         return pa.RecordBatch.from_arrays(
             [batch.column("_id"), pa.array(posteriors(batch.column("_text"))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
             [id_col, "posterior", "score", "predicted"],
         )
 
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return map_arrow(texts, scored, f"`{id_col}` long, posterior double, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000) -> DataFrame:
+    """The rows of ``docs`` whose score is at least 0.5."""
+    _, scores = fit_quality(docs, id_col, text_col, sample)
+    return keep_rows(docs, text_col, lambda texts: scores(texts) >= 0.5)
