@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorlab.llm import decontaminate, neardup, packing, toxicity, weaklabel
+from sensorlab.llm import decontaminate, embeddings, neardup, packing, ppm, toxicity, weaklabel
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,10 @@ def op2_deficit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_byte_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score_texts(_table(spark, folder, "documents"))
+
+
 def op5_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     return weaklabel.score_quality(_table(spark, folder, "documents"))
 
@@ -37,12 +41,18 @@ def op9_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op10_pca_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_deficit_packing": op2_deficit_packing,
+    "op4_byte_ppm": op4_byte_ppm,
     "op5_weak_labels": op5_weak_labels,
     "op6_levenshtein_lexicon": op6_levenshtein_lexicon,
     "op9_circulant_minhash": op9_circulant_minhash,
+    "op10_pca_tiles": op10_pca_tiles,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -64,4 +74,17 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS root FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id),
 c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
 SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM n JOIN c ON c.id = doc_id""",
+    "op10_pca_tiles": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id""",
 }
