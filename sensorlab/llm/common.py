@@ -23,19 +23,36 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage, survives lost executors and gives Spark the table's
     true size, by which it decides whether a join can broadcast it. The files
-    go when the driver ends.
+    go when the driver ends, or by `discard`; the write's shuffle files go at
+    its end.
     """
     spark = df.sparkSession
     path = fresh_folder(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = place
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        table.stored_at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(table.stored_at, True)
 
 
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
@@ -131,6 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
     any number of edges needs no memory.
     """
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    last = None
     while True:
         moved = 0
         for large in (True, False):
@@ -138,6 +156,9 @@ def components(edges: DataFrame) -> DataFrame:
             links = (links.union(links.select("v", "u")) if large else links).repartition("u").sortWithinPartitions("u", "v")
             step = links.mapInArrow(lambda batches, large=large: _star(batches, large), "a long, b long, moved boolean")
             links = stored(step, "links")
+            if last is not None:
+                discard(last)
+            last = links
             moved += links.filter("moved").limit(1).count()
         if not moved:
             break

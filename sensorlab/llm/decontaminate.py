@@ -106,7 +106,7 @@ def find_leaks(
         lists = batch.column("_words")
         hashes = lists.flatten().to_numpy().view(np.uint64)
         ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
-        size, first = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]])
+        size, first = np.diff(ends, prepend=0), np.concatenate([[0], ends])[:-1]
         found, at = [], []
         for mask in masks:
             seeds = seed_hashes(hashes, mask)
@@ -147,12 +147,12 @@ def find_leaks(
         order = np.argsort(place, kind="stable")
         place, seed = place[order], seed[order]
         text = np.searchsorted(ends, place, side="right")
-        first = np.concatenate([[0], ends[:-1]])
+        first = np.concatenate([[0], ends])[:-1]
         low, high = np.maximum(place - AROUND, first[text]), np.minimum(place + SPAN + AROUND, ends[text])
         new = np.ones(len(place), bool)
         new[1:] = (text[1:] != text[:-1]) | (low[1:] > high[:-1])
         begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(place))
+        last = np.append(begin[1:], len(place))[: len(begin)]
         a, b = low[begin], high[last - 1] if len(begin) else low[begin]
         index = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
         part = np.repeat(np.arange(len(begin)), last - begin)

@@ -86,7 +86,7 @@ class Templates:
         self.names = sorted(n for n, text in notices.items() if (text or "").split())
         values, ends, words = _shingles(pa.array([notices[n] for n in self.names], pa.string()))
         sets, ends = distinct_sorted(values, ends)
-        starts = np.concatenate([[0], ends[:-1]])
+        starts = np.concatenate([[0], ends])[:-1]
         self.sets = [sets[a:b] for a, b in zip(starts, ends, strict=True)]
         self.words, self.containment = words, containment
         self.classes = []
@@ -113,7 +113,7 @@ def minimum(values: np.ndarray, k: int) -> int:
 def find_notices(values: np.ndarray, ends: np.ndarray, words: np.ndarray, templates: Templates) -> list[tuple[int, int, int, int, float]]:
     """Text, template, start, words and containment of the best window for each text and template."""
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    first = np.concatenate([[0], ends])[:-1].astype(np.int64)
     size = ends - first
     for length, own, keys in templates.classes:
         # Halves of `length` shingles; a window is a half and the next one of the same text.

@@ -49,7 +49,7 @@ def bands_for(percent: int) -> int:
 
 def circulant_minhash(values: np.ndarray, ends: np.ndarray, coordinates: int) -> np.ndarray:
     """One row of `coordinates` minima for each set that isn't empty."""
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     starts = starts[starts < ends]
     spread = (mix64(values) >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(starts), coordinates), np.uint32)
@@ -67,7 +67,7 @@ def _signatures(batch: pa.RecordBatch, size: int, bands: int) -> pa.RecordBatch:
     sets, ends = distinct_sorted(*shingle_hashes(*word_hashes(batch.column("_text")), size))
     n = np.diff(ends, prepend=0)
     full = n > 0
-    starts = np.concatenate([[0], ends[:-1]])[full]
+    starts = np.concatenate([[0], ends])[:-1][full]
     digests = np.zeros((2, len(n)), np.uint64)
     keys = np.empty((0, bands), np.uint64)
     if full.any():

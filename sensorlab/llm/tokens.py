@@ -73,7 +73,7 @@ class Encoder:
         parts = pc.split_pattern(texts, " ")
         flat = parts.flatten()
         ends = parts.offsets.to_numpy()[1:].astype(np.int64) - parts.offsets[0].as_py()
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
         first = np.zeros(len(flat), bool)
         first[starts] = True
         coded = flat.dictionary_encode()

@@ -129,7 +129,7 @@ def learn_lexicon(labelled: DataFrame, max_terms: int = 50_000) -> Lexicon:
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, ends = shingle_hashes(*word_hashes(batch.column("_text")), 5)
         least = np.zeros(len(ends), np.uint64)
-        starts = np.concatenate([[0], ends[:-1]])
+        starts = np.concatenate([[0], ends])[:-1]
         full = starts < ends
         if full.any():
             least[full] = np.minimum.reduceat(values, starts[full])
@@ -188,7 +188,7 @@ def hit_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     weight, kind = found[codes[at], 0], found[codes[at], 1].astype(int)
     marks = pc.count_substring_regex(coded.dictionary, QUOTES).to_numpy()[codes]
     before = np.concatenate([[0], np.cumsum(marks)])
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     inside = (before[at] - before[starts[text]]) % 2 == 1
     first = pc.match_substring_regex(coded.dictionary, "^" + QUOTES).to_numpy(zero_copy_only=False)[codes[at]]
     quoted = inside | first

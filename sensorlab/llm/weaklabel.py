@@ -9,6 +9,9 @@
    at most `sample` documents (picked by a hash of the id, 8,000 by default)
    and scores every document.
 
+EM trusts agreement: a rare fault that one labeller sees and no other supports
+may be taken for that labeller's error.
+
 An empty or null text gets abstentions, the posterior of that pattern and the
 scorer's bias. Rows with a null id are scored like others, but not sampled.
 """
@@ -28,6 +31,7 @@ from sensorlab.llm.linear import fit_sparse, sigmoid
 from sensorlab.llm.words import hash_words, split_words, sums
 
 LABELLERS = ["symbols", "capitals", "bars", "repeats", "variety", "length", "sentences", "function_words"]
+FAULTS = 4
 BUCKETS = 1 << 15
 SCALE = 20.0
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -62,7 +66,7 @@ def votes(texts: pa.Array) -> np.ndarray:
     def vote(bad: np.ndarray, good: np.ndarray, at_least: int = 1) -> np.ndarray:
         return np.where(count < at_least, ABSTAIN, np.where(bad, BAD, np.where(good, GOOD, ABSTAIN)))
 
-    return np.column_stack([
+    cast = np.column_stack([
         vote(symbols > 0.25, symbols < 0.08),
         vote(capitals > 0.4, capitals < 0.15, 3),
         vote(bars > 0.2, bars < 0.05),
@@ -72,6 +76,10 @@ def votes(texts: pa.Array) -> np.ndarray:
         vote(stops == 0, (stops > 0.01) & (stops < 0.4), 40),
         vote(small < 0.05, (small > 0.12) & (small < 0.8), 20),
     ])
+    # What speaks for prose in general abstains where a fault is plain.
+    fault = (cast[:, :FAULTS] == BAD).any(axis=1)
+    cast[:, FAULTS:][fault[:, None] & (cast[:, FAULTS:] == GOOD)] = ABSTAIN
+    return cast
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +98,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     known = hash_words(coded.dictionary)
     repeated = np.zeros(len(codes), bool)
     repeated[1:] = codes[1:] == codes[:-1]
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     repeated[starts[starts < ends]] = False
     out = np.empty((len(codes), 2), np.int64)
     out[:, 0] = known[codes] % np.uint64(BUCKETS - 1) + np.uint64(1)
@@ -99,9 +107,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of "good" for each pattern, and P(vote | class, not abstaining) as [class, labeller, vote]; EM from the majority vote."""
+    """Posterior of "good" for each pattern, and P(vote | class, not abstaining) as [class, labeller, vote].
+
+    EM starts from a guess: one fault, of which the first FAULTS labellers tell,
+    or two other votes for bad make a document bad.
+    """
     good, bad = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
-    posterior = np.where(bad >= 2, 0.05, np.where(bad == 1, 0.4, np.where(good > 0, 0.95, 0.5)))
+    fault = (patterns[:, :FAULTS] == BAD).any(axis=1)
+    posterior = np.where(fault | (bad >= 2), 0.05, np.where(bad == 1, 0.5, np.where(good > 0, 0.95, 0.5)))
     says = np.zeros((2, patterns.shape[1], 3))
     says[:, :, ABSTAIN] = 1  # abstaining tells nothing: short texts abstain often
     for _ in range(rounds):

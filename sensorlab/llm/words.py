@@ -67,7 +67,7 @@ def shingle_hashes(hashes: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.
     A text with fewer words has one shingle, the whole sequence; a text without
     words has none.
     """
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     n_words = ends - starts
     n = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
     out_ends = np.cumsum(n)
@@ -91,7 +91,7 @@ def distinct_sorted(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
         start = end
     fresh = np.ones(len(values), bool)
     fresh[1:] = values[1:] != values[:-1]
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     fresh[starts[starts < ends]] = True
     kept = np.concatenate([[0], np.cumsum(fresh)])
     return values[fresh], kept[ends]
@@ -100,4 +100,4 @@ def distinct_sorted(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The sum of each text's values."""
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[ends] - total[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
+    return total[ends] - total[np.concatenate([[0], ends])[:-1].astype(np.int64)]
