@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 # Zone of the plant, for viewing only (fixed value).
 LOCAL_ZONE = "Europe/Prague"
 
+_DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
+_ZONE = r"[T ].*([Zz]|[+-]\d{2}(:?\d{2})?)$"
+_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"
 
 
 def parse_time(text: Column) -> Column:
     """UTC instant of an ISO-8601 text with offset, ``Z`` or no zone (= UTC)."""
-    return F.when(text.rlike(_ISO_DATE), F.try_to_timestamp(text))
+    dated = F.when(text.rlike(_DATE_ONLY), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    zoned = F.when(dated.rlike(_ZONE), dated).otherwise(F.concat(dated, F.lit("Z")))
+    return F.when(text.rlike(_ISO_DATE), F.try_to_timestamp(zoned))
+
+
+def parse_number(text: Column) -> Column:
+    """A decimal number; type suffixes as in ``12d`` are no part of one."""
+    text = F.trim(text)
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def parse_readings(
@@ -31,8 +42,8 @@ def parse_readings(
     opened = df.select("*", fields).withColumns(
         {
             "_ts": parse_time(F.col("_time")),
-            "_v": F.trim(F.col("_value")).try_cast("double"),
-            "_p": F.trim(F.col("_processing_time_ms")).try_cast("double"),
+            "_v": parse_number(F.col("_value")),
+            "_p": parse_number(F.col("_processing_time_ms")),
         }
     )
     bad = (

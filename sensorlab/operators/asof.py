@@ -102,8 +102,9 @@ def asof_join(
         )
     else:
         near = near.withColumn("_hit", F.col(f"_{direction}"))
-    gap = F.abs(F.col("_us") - F.col("_hit.us"))
-    near = near.withColumn("_gap", gap)
+    # A left row without a time has no neighbours.
+    near = near.withColumn("_hit", F.when(F.col("_us").isNotNull(), F.col("_hit")))
+    near = near.withColumn("_gap", F.abs(F.col("_us") - F.col("_hit.us")))
     if tolerance_seconds is not None:
         near = near.withColumn(
             "_hit", F.when(F.col("_gap") <= F.lit(int(tolerance_seconds * 1e6)), F.col("_hit"))

@@ -70,6 +70,7 @@ def fused_features(
             & F.col(ts).isNotNull()
             & F.col(value).isNotNull()
             & ~F.isnan(F.col(value).cast("double"))
+            & (F.abs(F.col(value).cast("double")) != F.lit(float("inf")))
         )
         .select(
             *key,
@@ -83,7 +84,7 @@ def fused_features(
     )
     rows = base.withColumn("_us", micros(ts)).withColumn("_base", F.lit(True))
     plan = plan or plan_slices(
-        read.select(*key, "_us").unionByName(rows.select(*key, "_us")), key, F.col("_us"), width
+        read.select(*key, "_us").unionByName(rows.select(*key, "_us")), key, F.col("_us")
     )
     # Readings near the end of a slice are also needed at the start of the next.
     sliced = with_overlap(read, plan, F.col("_us"), width)
@@ -121,10 +122,13 @@ def fused_features(
     as_last = [F.col("_at").alias("at"), F.col("_r.v").alias("v")]
     as_open = [F.col("_at").alias("at")]
     if "mean" in stats:
-        # Decimal sums are exact, so their difference is too.
-        steps["_sum"] = F.sum(F.col("_r.v").try_cast("decimal(27,9)")).over(so_far)
-        as_last.append(F.col("_sum").alias("sum"))
-        as_open.append(F.col("_sum").alias("sum"))
+        # Decimal sums are exact, so their difference is too. What a decimal of
+        # nine places leaves of a very large or small value is summed apart.
+        near = F.coalesce(F.col("_r.v").try_cast("decimal(27,9)"), F.lit(0).cast("decimal(27,9)"))
+        steps["_sum"] = F.sum(near).over(so_far)
+        steps["_rest"] = F.sum(F.col("_r.v") - near.cast("double")).over(so_far)
+        for ends in (as_last, as_open):
+            ends += [F.col("_sum").alias("sum"), F.col("_rest").alias("rest")]
     if "rate" in stats:
         steps |= {"_first": F.first("_r").over(so_far), "_next": F.lead("_r").over(in_channel)}
         as_last += [F.col("_r.us").alias("us"), F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
@@ -161,7 +165,8 @@ def fused_features(
             if f.stat == "mean":
                 none = F.lit(0).cast("decimal(37,9)")
                 total = last["sum"] - F.coalesce(opened["sum"], none)
-                out.append(F.when(n > 0, total.cast("double") / n).otherwise(zero).alias(c))
+                rest = last["rest"] - F.coalesce(opened["rest"], zero)
+                out.append(F.when(n > 0, (total.cast("double") + rest) / n).otherwise(zero).alias(c))
                 continue
             alone = opened.isNull()
             first_us = F.when(alone, last["first_us"]).otherwise(opened["first_us"])

@@ -40,6 +40,11 @@ def fold_gate(us: np.ndarray, v: np.ndarray, limit: float, reset_us: int | None)
     """
     n = len(us)
     stands = np.arange(n)
+    known = np.flatnonzero(~np.isnan(v))
+    if len(known) < n:
+        # Rows without a value pass through, neither accepted nor held.
+        stands[known] = known[fold_gate(us[known], v[known], limit, reset_us)]
+        return stands
     gap = np.abs(np.diff(us))
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = np.abs(np.diff(v) / (gap / 1e6 / 60.0))
@@ -79,8 +84,9 @@ def _fold_slice(
         stands = fold_gate(us, v, limit, reset_us)
         if ends_only:
             last = rows.slice(len(us) - 1).select(group)
-            end = stands[-1]
-            ends = {"_end_us": us[end], "_end_v": v[end]}
+            known = np.flatnonzero(~np.isnan(v))
+            end = stands[known[-1]] if len(known) else None
+            ends = {"_end_us": us[end] if len(known) else None, "_end_v": v[end] if len(known) else None}
             ends |= {"_from_us": us[0] if carried else None, "_from_v": v[0] if carried else None}
             kinds = {"us": pa.int64(), "_v": pa.float64()}
             for name, at in ends.items():
@@ -99,7 +105,7 @@ def _starts(slim: DataFrame, plan: SlicePlan, value: str, limit: float, reset_us
     for name, kind in (("us", T.LongType()), ("v", T.DoubleType())):
         ends = ends.add(f"_end_{name}", kind).add(f"_from_{name}", kind)
     fold = _fold_slice(plan.group, value, limit, reset_us, ends_only=True)
-    order = Window.partitionBy(*plan.key).orderBy(SLICE)
+    order = Window.partitionBy(*plan.key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     newest = Window.partitionBy(*plan.group).orderBy(F.col("_round").desc())
     rows = slim.withColumn("_start", F.lit(1))
 
@@ -110,7 +116,7 @@ def _starts(slim: DataFrame, plan: SlicePlan, value: str, limit: float, reset_us
     ended = durable(refold(rows, 0))
     for number in itertools.count(1):
         starts = ended.withColumns(
-            {"_us": F.lag("_end_us").over(order), "_v": F.lag("_end_v").over(order)}
+            {"_us": F.last("_end_us", True).over(order), "_v": F.last("_end_v", True).over(order)}
         )
         moved = ~(
             F.col("_us").eqNullSafe(F.col("_from_us")) & F.col("_v").eqNullSafe(F.col("_from_v"))
@@ -143,8 +149,8 @@ def rate_gate(
 ) -> DataFrame:
     """Add ``gated_value`` and ``rejected``.
 
-    The first reading is accepted, one at the same time as the held reading
-    too. A change of at most ``max_rate`` per minute is accepted and becomes the
+    Rows without a value pass through unchanged. The first reading is accepted,
+    one at the same time as the held reading too. A change of at most ``max_rate`` per minute is accepted and becomes the
     held reading; otherwise the held value is repeated. With
     ``reset_after_seconds`` a held reading older than that no longer counts.
     """

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from sensorlab.operators.slices import (
     BLOCK,
     drop_margin,
-    estimated_bytes,
     micros,
     number_rows,
     row_blocks,
     tie_order,
 )
-from sensorlab.session import SLICE_MIN_BYTES, durable, setting
+from sensorlab.session import durable
 
 
 def exact_percentiles(
@@ -24,17 +23,11 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per series.
 
-    Small inputs use the built-in aggregate, which holds all values of a series
-    in one task. Large ones are counted per value, so that frequent values
-    shrink first, then numbered in value order across slices; each percentile
-    is read off at the one or two positions around it.
+    Values are counted, so that frequent ones shrink first, then numbered in
+    their order across slices; each percentile is read off at the one or two
+    positions around it. Series without a value have no row.
     """
-    values = df.select(*key, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
-    if estimated_bytes(df) < setting(df.sparkSession, SLICE_MIN_BYTES):
-        return values.groupBy(*key).agg(
-            *[F.percentile("_x", p).alias(name) for name, p in points.items()]
-        )
-    return percentiles_of_counts(value_counts(values, key, "_x"), key, points)
+    return percentiles_of_counts(value_counts(df, key, value), key, points)
 
 
 def value_counts(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -66,13 +59,13 @@ def percentiles_of_counts(
     return placed.groupBy(*key).agg(*edges).select(*key, *found)
 
 
-def same_rows(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+def same_rows(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
     """Join two tables of one row per series."""
     if not key:
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
     renamed = right.withColumnsRenamed({k: f"_{k}" for k in key})
     condition = [left[k].eqNullSafe(renamed[f"_{k}"]) for k in key]
-    return left.join(renamed, condition).drop(*[f"_{k}" for k in key])
+    return left.join(renamed, condition, how).drop(*[f"_{k}" for k in key])
 
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -88,16 +81,13 @@ def describe_series(df: DataFrame, key: Sequence[str], value: str = "value") ->
         F.max(value).alias("max"),
     ]
     order = [*key, "n", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    if estimated_bytes(df) < setting(df.sparkSession, SLICE_MIN_BYTES):
-        # Both parts in one aggregate.
-        parts = [F.percentile(value, p).alias(name) for name, p in QUARTILES.items()]
-        return df.groupBy(*key).agg(*moments, *parts).select(*order)
     basic = df.groupBy(*key).agg(*moments)
-    quartiles = exact_percentiles(df, key, value, QUARTILES)
-    if not key:
-        return same_rows(basic, quartiles, key).select(*order)
-    empty = basic.filter("n = 0").select(*key, *[F.lit(None).cast("double").alias(p) for p in QUARTILES])
-    return same_rows(basic, quartiles.unionByName(empty), key).select(*order)
+    return with_percentiles(basic, exact_percentiles(df, key, value, QUARTILES), key).select(*order)
+
+
+def with_percentiles(basic: DataFrame, percentiles: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add percentiles to the rows of all series; null for those without a value."""
+    return same_rows(basic, percentiles, key, "left")
 
 
 def with_interval(
@@ -123,15 +113,11 @@ def interval_stats(
     gaps = gaps.select(*key, "interval_seconds")
     x = F.col("interval_seconds")
     order = [*key, "mean_interval", "median_interval", "min_interval", "max_interval"]
-    ends = [F.min(x).alias("min_interval"), F.max(x).alias("max_interval")]
-    if estimated_bytes(df) < setting(df.sparkSession, SLICE_MIN_BYTES):
-        middle = [F.avg(x).alias("mean_interval"), F.percentile(x, 0.5).alias("median_interval")]
-        return gaps.groupBy(*key).agg(*middle, *ends).select(*order)
-    counts = value_counts(gaps, key, "interval_seconds")
-    medians = percentiles_of_counts(counts, key, {"median_interval": 0.5})
-    mean = (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean_interval")
-    basic = counts.withColumnRenamed("_x", "interval_seconds").withColumn("_x", x)
-    return same_rows(basic.groupBy(*key).agg(mean, *ends), medians, key).select(*order)
+    basic = gaps.groupBy(*key).agg(
+        F.avg(x).alias("mean_interval"), F.min(x).alias("min_interval"), F.max(x).alias("max_interval")
+    )
+    medians = exact_percentiles(gaps, key, "interval_seconds", {"median_interval": 0.5})
+    return with_percentiles(basic, medians, key).select(*order)
 
 
 def find_gaps(
@@ -181,22 +167,25 @@ def time_bounds(df: DataFrame, key: Sequence[str] = (), ts: str = "ts") -> DataF
 
 
 def histogram(df: DataFrame, value: str = "value", bins: int = 50) -> DataFrame:
-    """Equal-width bins over the whole range; the last bin includes its end.
+    """Equal-width bins over the range of the finite values, empty ones too.
 
-    Two scalars (least and greatest value) pass through the driver.
+    The last bin includes its end; NaN and infinite values are in no bin. Two
+    scalars (least and greatest value) pass through the driver.
     """
-    values = df.select(F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    x = F.col("_x")
+    values = df.select(F.col(value).cast("double").alias("_x"))
+    values = values.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     low, high = values.agg(F.min("_x"), F.max("_x")).first()
     if low is None:
         low, high = 0.0, 0.0
     if low == high:
         low, high = low - 0.5, high + 0.5
-    raw = F.width_bucket(F.col("_x"), F.lit(low), F.lit(high), F.lit(bins))
+    raw = F.width_bucket(x, F.lit(low), F.lit(high), F.lit(bins))
     width = (high - low) / bins
-    return (
-        values.groupBy(F.least(raw, F.lit(bins).cast("long")).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("bin_start", F.lit(low) + (F.col("bin") - 1) * F.lit(width))
+    counts = values.groupBy(F.least(raw, F.lit(bins).cast("long")).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.lit(low) + (F.col("bin") - 1) * F.lit(width)).alias("bin_start")
     )
 
 

@@ -3,40 +3,39 @@
 Window functions put a whole window partition into one task. A series that
 holds a large part of all rows must therefore not be a window partition of its
 own. ``plan_slices`` counts the rows per series and, only for series above the
-limit, takes time quantiles as cut points; every (series, slice) pair is then
-small enough for one task. What an operator needs from earlier or later slices
-is added to each slice as a few extra rows before its window runs:
+limit, a histogram over time, all by distributed aggregates; every (series,
+slice) pair is then small enough for one task. What an operator needs from
+earlier or later slices is added to each slice as a few extra rows before its
+window runs:
 
 * ``carry_last`` / ``carry_around``: the last reading before / both neighbours,
 * ``with_overlap``: all rows of the time range before the slice,
 * ``number_rows`` / ``row_blocks``: exact row numbers, and blocks of rows with
   a margin of rows on both sides.
 
-Series below the limit keep a single slice, and inputs that are small by the
-optimizer's own size estimate skip the counting altogether.
+Series below the limit keep a single slice. Planning starts one small job on
+the columns of the key and the time, two more if any series is above the limit.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlab.session import SLICE_MIN_BYTES, SLICE_ROWS, durable, setting
+from sensorlab.session import SLICE_ROWS, setting, stored
 
 SLICE = "_slice"
 HOT = "_hot"
 BLOCK = "_block"
 MARGIN = "_margin"
+MAP = "_bins"
 
-# Bounds of what the driver and a broadcast may hold.
-MAX_HOT_SERIES = 100_000
-MAX_SLICES = 20_000
+# Histogram bins for each expected slice of a long series.
+BINS = 64
 
 
 def micros(column: str | Column) -> Column:
@@ -51,104 +50,89 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
-def stored_if_large(df: DataFrame) -> DataFrame:
-    """Checkpoint costly results that the next operator reads more than once.
-
-    Operators read a small input once, so nothing is stored then.
-    """
-    small = estimated_bytes(df) < setting(df.sparkSession, SLICE_MIN_BYTES)
-    return df if small else durable(df)
-
-
 def same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in key])
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in key], F.lit(True))
 
 
 @dataclass(frozen=True)
 class SlicePlan:
-    """Cut points in one ordering number, for the series in ``hot`` only."""
+    """The series that are split, with the slice of each bin of their range.
+
+    ``hot`` has a row per split series: ``_low``, ``_width`` and ``_slices``, an
+    array that rises with the bin. Without it no series is split.
+    """
 
     key: tuple[str, ...]
-    cuts: tuple[float, ...] = ()
     hot: DataFrame | None = field(default=None, compare=False)
 
     @property
     def single(self) -> bool:
-        return not self.cuts
+        return self.hot is None
 
     @property
     def group(self) -> list[str]:
         """Columns to partition windows by."""
         return [*self.key] if self.single else [*self.key, SLICE]
 
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        """Add the series' bins, null where it isn't split; ``hot`` is stored, so Spark knows if it can broadcast it."""
+        others = [c for c in df.columns if c != HOT]
+        if not self.key:
+            return df.select(*others).join(self.hot.select(MAP), F.lit(0) == F.col(f"{MAP}.one"), "left")
+        joined = df.join(self.hot, same_key(df, self.hot, self.key), "left")
+        return joined.select(*[df[c] for c in others], self.hot[MAP])
+
     def mark_hot(self, df: DataFrame) -> DataFrame:
         if self.single:
             return df.withColumn(HOT, F.lit(False))
-        if self.hot is None:
-            return df.withColumn(HOT, F.lit(True))
-        # At most MAX_HOT_SERIES rows, see plan_slices.
-        hot = F.broadcast(self.hot.withColumn(HOT, F.lit(True)))
-        marked = df.join(hot, same_key(df, hot, self.key), "left")
-        return marked.select(*[df[c] for c in df.columns], F.coalesce(hot[HOT], F.lit(False)).alias(HOT))
+        return self._mapped(df).withColumn(HOT, F.col(MAP).isNotNull())
 
     def assign(self, df: DataFrame, at: Column, name: str = SLICE) -> DataFrame:
         """Add the slice number of position ``at`` (0 for series not split)."""
         if self.single:
             return df.withColumn(name, F.lit(0))
-        marked = df if HOT in df.columns else self.mark_hot(df)
-        raw = f"{name}_raw"
-        buckets = Bucketizer(
-            splits=[-math.inf, *self.cuts, math.inf],
-            inputCol=f"{name}_at",
-            outputCol=raw,
-            handleInvalid="keep",
-        )
-        # Nulls sort first, so they belong to the first slice.
-        position = F.coalesce(at.cast("double"), F.lit(-math.inf))
-        placed = buckets.transform(marked.withColumn(f"{name}_at", position))
-        number = F.when(F.col(HOT), F.col(raw).cast("int")).otherwise(F.lit(0))
-        return placed.withColumn(name, number).drop(raw, f"{name}_at")
+        mapped = df if MAP in df.columns else self.mark_hot(df)
+        return mapped.withColumn(name, _slice_of(at)).drop(MAP)
 
 
-def plan_slices(
-    df: DataFrame,
-    key: Sequence[str],
-    at: Column,
-    min_width: float = 0,
-) -> SlicePlan:
+def _slice_of(at: Column) -> Column:
+    # Nulls sort first, so they belong to the first slice.
+    bin_ = F.floor((at.cast("double") - F.col(f"{MAP}.low")) / F.col(f"{MAP}.width"))
+    last = F.size(f"{MAP}.slices") - 1
+    bin_ = F.coalesce(F.greatest(F.lit(0), F.least(last, bin_)), F.lit(0)).cast("int")
+    return F.coalesce(F.get(f"{MAP}.slices", bin_), F.lit(0))
+
+
+def plan_slices(df: DataFrame, key: Sequence[str], at: Column) -> SlicePlan:
     """Decide which series of ``df`` must be split and where.
 
-    ``at`` is the ordering number (microseconds for time). Cut points lie at
-    least ``min_width`` apart, so a range of that length touches two slices.
+    ``at`` is the ordering number (microseconds for time). The range of a series
+    of n rows is cut into BINS * n / limit bins, which are counted; a slice ends
+    with the bin in which its share of the rows is reached.
     """
     spark = df.sparkSession
     key = tuple(key)
-    if estimated_bytes(df) < setting(spark, SLICE_MIN_BYTES):
-        return SlicePlan(key)
     limit = setting(spark, SLICE_ROWS)
     slim = df.select(*key, at.cast("double").alias("_at"))
-    hot = None
-    if key:
-        counts = slim.groupBy(*key).agg(F.count("*").alias("_n"))
-        total = counts.agg(F.sum("_n")).first()[0] or 0
-        limit = max(limit, total // MAX_HOT_SERIES)
-        found = counts.filter(F.col("_n") > limit).collect()
-        if not found:
-            return SlicePlan(key)
-        hot = spark.createDataFrame([tuple(r)[:-1] for r in found], slim.select(*key).schema)
-        rows = sum(r["_n"] for r in found)
-        slim = slim.join(F.broadcast(hot), same_key(slim, hot, key), "left_semi")
-    else:
-        rows = slim.count()
-        if rows <= limit:
-            return SlicePlan(key)
-    parts = min(MAX_SLICES, math.ceil(rows / limit))
-    wanted = [i / parts for i in range(1, parts)]
-    cuts: list[float] = []
-    for cut in slim.approxQuantile("_at", wanted, 1 / (4 * parts)):
-        if not cuts or cut - cuts[-1] >= max(min_width, 1e-9):
-            cuts.append(cut)
-    return SlicePlan(key, tuple(cuts), hot)
+    sizes = slim.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    sizes = stored(sizes.filter((F.col("_n") > limit) & (F.col("_high") > F.col("_low"))), "series")
+    if sizes.isEmpty():
+        return SlicePlan(key)
+    bins = (F.ceil(F.col("_n") / limit) * BINS).cast("int")
+    sizes = sizes.withColumn("_bins", bins).withColumn("_width", (F.col("_high") - F.col("_low")) / F.col("_bins"))
+    rows = slim.join(sizes, same_key(slim, sizes, key)).select(*[slim[k] for k in key], "_at", "_low", "_width", "_bins")
+    place = F.least(F.floor((F.col("_at") - F.col("_low")) / F.col("_width")).cast("int"), F.col("_bins") - 1)
+    counts = rows.groupBy(*key, F.coalesce(place, F.lit(0)).alias("_bin")).agg(F.count("*").alias("_m"))
+    every = sizes.select(*key, "_low", "_width", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("_bin"))
+    both = every.join(counts, same_key(every, counts, [*key, "_bin"]), "left")
+    both = both.select(*[every[k] for k in key], "_low", "_width", every["_bin"], F.coalesce("_m", F.lit(0)).alias("_m"))
+    before = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum("_m").over(before), F.lit(0)) / limit).cast("int")
+    both = both.withColumn("_number", number)
+    slices = F.transform(F.array_sort(F.collect_list(F.struct("_bin", "_number"))), lambda b: b["_number"])
+    hot = both.groupBy(*key).agg(slices.alias("_slices"), F.first("_low").alias("_low"), F.first("_width").alias("_width"))
+    entry = F.struct(F.lit(0).alias("one"), F.col("_low").alias("low"), F.col("_width").alias("width"), F.col("_slices").alias("slices"))
+    return SlicePlan(key, stored(hot.select(*key, entry.alias(MAP)), "slices"))
 
 
 def carry_last(sliced: DataFrame, plan: SlicePlan, readings: dict[str, Column]) -> DataFrame:
@@ -189,13 +173,12 @@ def carry_around(sliced: DataFrame, plan: SlicePlan, reading: str) -> DataFrame:
 
 
 def with_overlap(df: DataFrame, plan: SlicePlan, at: Column, width: float) -> DataFrame:
-    """Place rows in their slice and, if within ``width`` of its end, in the next."""
+    """Place rows in their slice and in all later ones within ``width`` of them."""
     if plan.single:
         return plan.assign(df, at)
-    placed = plan.assign(plan.assign(plan.mark_hot(df), at), at + F.lit(width), "_reach")
-    return placed.withColumn(
-        SLICE, F.explode(F.array_distinct(F.array(F.col(SLICE), F.col("_reach"))))
-    ).drop("_reach")
+    marked = plan.mark_hot(df)
+    reached = F.sequence(_slice_of(at), _slice_of(at + F.lit(width)))
+    return marked.withColumn(SLICE, F.explode(reached)).drop(MAP)
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -211,6 +194,7 @@ def number_rows(
     name: str = "_row",
     weight: str | None = None,
     total: str | None = None,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Exact 0-based position of each row in its series.
 
@@ -220,7 +204,7 @@ def number_rows(
     earlier ones, delivered as an extra row in front of it.
     """
     at = order_number(df, order[0])
-    plan = plan_slices(df, key, at)
+    plan = plan or plan_slices(df, key, at)
     rows = plan.assign(plan.mark_hot(df), at).withColumn(
         "_weight", F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     )
@@ -260,11 +244,11 @@ def row_blocks(
     Adds ``_block`` (partition windows by key and it) and ``_margin`` (true on
     the repeated rows at the edges, to be dropped after the windows ran).
     """
-    spark = df.sparkSession
-    if estimated_bytes(df) < setting(spark, SLICE_MIN_BYTES):
+    plan = plan_slices(df, key, order_number(df, order[0]))
+    if plan.single:
         return df.withColumn(BLOCK, F.lit(0)).withColumn(MARGIN, F.lit(False))
-    size = max(setting(spark, SLICE_ROWS), before + after)
-    numbered = number_rows(df, key, order)
+    size = max(setting(df.sparkSession, SLICE_ROWS), before + after)
+    numbered = number_rows(df, key, order, plan=plan)
     block = F.floor(F.col("_row") / size).cast("int")
     place = F.col("_row") % size
 

@@ -806,9 +806,9 @@ def time_bounds(spark, folder):
 
 
 @query(
-    """SELECT CAST(least(floor((value - lo) / ((hi - lo) / 50)) + 1, 50) AS INTEGER) AS bin, count(*) AS n,
-       round(lo + (least(floor((value - lo) / ((hi - lo) / 50)) + 1, 50) - 1) * ((hi - lo) / 50), 6) AS bin_start
-       FROM readings, (SELECT min(value) AS lo, max(value) AS hi FROM readings) GROUP BY 1, 3""",
+    """SELECT CAST(b AS INTEGER) AS bin, count(value) AS n, round(lo + (b - 1) * ((hi - lo) / 50), 6) AS bin_start
+       FROM range(1, 51) bins(b) CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM readings)
+       LEFT JOIN readings ON b = least(floor((value - lo) / ((hi - lo) / 50)) + 1, 50) GROUP BY b, lo, hi""",
     READINGS,
 )
 def histogram(spark, folder):

@@ -10,7 +10,8 @@ from sensorlab.operators.asof import match_and_impute
 from sensorlab.operators.features import add_label, lag_features
 from sensorlab.operators.rolling import mad_filter
 from sensorlab.operators.sets import merge_first, union_all
-from sensorlab.operators.slices import micros, plan_slices, stored_if_large
+from sensorlab.operators.slices import micros, plan_slices
+from sensorlab.session import durable
 
 
 def training_rows(
@@ -34,7 +35,7 @@ def training_rows(
     times = [t.select(*key, ts) for t in [*exports, station]]
     plan = plan_slices(union_all(*times), key, micros(ts))
     merged = merge_first(exports, key, ts, seq)
-    clean = stored_if_large(mad_filter(station, key, ts=ts, seq=seq))
+    clean = durable(mad_filter(station, key, ts=ts, seq=seq))
     matched = match_and_impute(
         merged,
         clean,
@@ -47,5 +48,5 @@ def training_rows(
     )
     labelled = add_label(matched.na.drop(subset=["outdoor_temperature"])).drop("outdoor_temperature")
     return lag_features(
-        stored_if_large(labelled), key, features, lags, windows, ts, seq, drop_incomplete=True
+        durable(labelled), key, features, lags, windows, ts, seq, drop_incomplete=True
     )

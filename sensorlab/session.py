@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_ROWS = "sensorlab.slice.rows"
-SLICE_MIN_BYTES = "sensorlab.slice.minBytes"
 
-_DEFAULTS = {SLICE_ROWS: 250_000, SLICE_MIN_BYTES: 8 * 1024 * 1024}
+_DEFAULTS = {SLICE_ROWS: 250_000}
 
 
 def setting(spark: SparkSession, name: str) -> int:
@@ -46,3 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again, so that Spark knows its size.
+
+    The files are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, label)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -47,7 +47,11 @@ def sensor_catalog(spark: SparkSession, output_dir: str = "") -> DataFrame:
         for suffix, text, unit, ignore in PUMP_QUANTITIES
         for pump in range(PUMP_COUNT)
     ]
-    return spark.createDataFrame(fixed + pumps, SENSOR)
+    # Literals, so that Catalyst knows the size.
+    def sensor(row: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(SENSOR, row, strict=True)])
+
+    return spark.range(1).select(F.inline(F.array(*[sensor(row) for row in fixed + pumps])))
 
 
 def scan_range(
@@ -89,11 +93,14 @@ def filter_range(df: DataFrame, ts: str = "ts", start: str | None = None, end: s
 
 
 def extract_catalog(
-    points: DataFrame, catalog: DataFrame, start: str | None = None, end: str | None = None
+    points: DataFrame, catalog: DataFrame, start: str | None = None, end: str | None = None, until: str | None = None
 ) -> DataFrame:
-    """Points of all sensors that are not ignored, in one job."""
+    """Points of all sensors that are not ignored, in one job.
+
+    With ``until``, of each sensor those of its own last ``days`` before then.
+    """
     wanted = catalog.filter(~F.col("ignore")).select(
-        F.col("name").alias("entity_id"), "measurement", "description", "output_dir"
+        F.col("name").alias("entity_id"), "measurement", "description", "days", "output_dir"
     )
     if estimated_bytes(wanted) <= BROADCAST_LIMIT_BYTES:
         wanted = F.broadcast(wanted)
@@ -102,7 +109,11 @@ def extract_catalog(
         rows = rows.filter(F.col("time") > F.lit(start).cast(dict(points.dtypes)["time"]))
     if end is not None:
         rows = rows.filter(F.col("time") < F.lit(end).cast(dict(points.dtypes)["time"]))
-    return rows.join(wanted, ["entity_id", "measurement"])
+    found = rows.join(wanted, ["entity_id", "measurement"])
+    if until is not None:
+        last = F.lit(until).cast(dict(points.dtypes)["time"])
+        found = found.filter((F.col("time") > last - F.make_dt_interval(F.col("days"))) & (F.col("time") <= last))
+    return found.drop("days")
 
 
 def count_per_measurement(points: DataFrame, entity: str) -> DataFrame:

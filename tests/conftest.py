@@ -30,12 +30,10 @@ def split(spark):
 
     @contextmanager
     def use(rows: int):
-        spark.conf.set("sensorlab.slice.minBytes", "0")
         spark.conf.set("sensorlab.slice.rows", str(rows))
         try:
             yield
         finally:
-            spark.conf.unset("sensorlab.slice.minBytes")
             spark.conf.unset("sensorlab.slice.rows")
 
     return use

@@ -4,7 +4,7 @@ import pytest
 from check import difference, tables
 
 import __spark_entry__ as job
-from sensorlab.plans import batch_queries
+from sensorlab.plans import batch_queries, model_queries, stream_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,14 +20,7 @@ def test_query_equals_sql(spark, con, name):
     assert difference(rows, con.execute(job.oracle_sql()[name]).df()) == ""
 
 
-SPLITTABLE = [
-    "drop_late", "rate_gate", "correction", "asof_nearest", "match_and_label", "fused_rates", "fused_means",
-    "lag_features", "mad_filter", "describe_series", "interval_stats", "time_split", "cv_folds",
-    "training_rows", "asof_correct",
-]
-
-
-@pytest.mark.parametrize("name", SPLITTABLE)
+@pytest.mark.parametrize("name", list(batch_queries.QUERIES))
 def test_split_query_equals_sql(spark, con, split, name):
     with split(40):
         rows = job.queries()[name](spark, FOLDER).toPandas()
@@ -40,7 +33,13 @@ def test_entry(spark):
 
 def test_every_query_but_models_has_sql():
     models = {"train_trees", "train_lasso", "feature_importance", "adjust_temperature", "stream_scoring"}
-    assert set(job.queries()) - set(job.oracle_sql()) == models
+    own = {**batch_queries.QUERIES, **stream_queries.QUERIES, **model_queries.QUERIES}
+    assert set(own) - set(job.oracle_sql()) == models
+
+
+def test_catalog_is_broadcast(spark):
+    plan = job.queries()["catalog_extract"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize("name", ["asof_nearest", "match_and_label", "fused_rates", "fused_means", "lag_features"])
