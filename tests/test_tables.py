@@ -106,9 +106,10 @@ def test_gaps(spark, mode):
 
 def test_histogram_holds_the_greatest_value(spark):
     done = profile.histogram(series(spark, [(0, 0), (1, 100), (2, 99.9), (3, 1)]))
-    assert {r.bin: r.n for r in done.collect()} == {1: 2, 50: 2} or {r.bin: r.n for r in done.collect()} == {1: 2, 50: 2}
+    assert done.count() == 50
+    assert {r.bin: r.n for r in done.filter("n > 0").collect()} == {1: 2, 50: 2}
     flat = profile.histogram(series(spark, [(0, 3), (1, 3)]))
-    assert flat.count() == 1
+    assert flat.filter("n > 0").count() == 1
 
 
 def test_nulls_and_copies(spark):
