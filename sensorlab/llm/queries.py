@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorlab.llm import chat, decontaminate, embeddings, html, licenses, neardup, packing, ppm, toxicity, weaklabel
+from sensorlab.llm import chat, decontaminate, embeddings, html, licenses, neardup, packing, ppm, toxicity, weaklabel, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,10 @@ def op10_pca_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op13_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_deficit_packing": op2_deficit_packing,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_license_windows": op8_license_windows,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_pca_tiles": op10_pca_tiles,
+    "op13_feast_whitening": op13_feast_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
