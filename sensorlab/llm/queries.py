@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorlab.llm import chat, decontaminate, embeddings, html, licenses, neardup, packing, ppm, toxicity, weaklabel, whitening
+from sensorlab.llm import chat, decontaminate, embeddings, html, licenses, neardup, packing, ppm, toxicity, trie, weaklabel, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,10 @@ def op10_pca_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op12_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
 def op13_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
@@ -78,13 +82,48 @@ QUERIES = {
     "op8_license_windows": op8_license_windows,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_pca_tiles": op10_pca_tiles,
+    "op12_turn_trie": op12_turn_trie,
     "op13_feast_whitening": op13_feast_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The checksum bit by bit, over the ASCII digits of an id.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
 SQL = {
+    "op12_turn_trie": f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), picked AS (
+    SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), told AS (
+    SELECT *, sha256(len(role) || ':' || role || text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM picked
+), paths AS (
+    SELECT conv_id, d, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM told
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), sizes AS (SELECT conv_id, max(d) AS size FROM paths GROUP BY conv_id),
+nodes AS (
+    SELECT path, d, min(p.conv_id) AS conv_id, any_value(words) AS words, count(*) AS n,
+        sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (size = d), '')) AS ends
+    FROM paths p JOIN sizes s ON s.conv_id = p.conv_id GROUP BY path, d
+), tree AS (
+    SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n AS n_convs, a.path, a.ends, (a.n - 1) * a.words AS saved,
+        (SELECT count(*) FROM nodes c WHERE c.d = a.d + 1 AND starts_with(c.path, a.path)) AS n_children
+    FROM nodes a LEFT JOIN nodes p ON p.d = a.d - 1 AND p.path = left(a.path, 64 * (a.d - 1))
+)
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, sum((b.n_children = 0)::INT)::BIGINT AS n_leaves,
+    sum(b.saved)::BIGINT AS saved_tokens, a.ends AS ends_sha256
+FROM tree a JOIN tree b ON starts_with(b.path, a.path) GROUP BY ALL""",
     "op9_circulant_minhash": f"""
 WITH RECURSIVE t AS (
     SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
