@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorlab.llm import chat, decontaminate, embeddings, html, licenses, neardup, packing, ppm, toxicity, trie, weaklabel, whitening
+from sensorlab.llm import chat, decontaminate, embeddings, html, licenses, neardup, packing, ppm, secrets, toxicity, trie, weaklabel, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,10 @@ def op10_pca_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op11_grammar_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digests(secrets.find_secrets(_table(spark, folder, "documents")))
+
+
 def op12_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, folder, "conversations"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_license_windows": op8_license_windows,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_pca_tiles": op10_pca_tiles,
+    "op11_grammar_secrets": op11_grammar_secrets,
     "op12_turn_trie": op12_turn_trie,
     "op13_feast_whitening": op13_feast_whitening,
     "pipeline": corpus_pipeline.run,
