@@ -49,8 +49,11 @@ def neighbours(
         read.withColumn(_LEFT, F.lit(False)), allowMissingColumns=True
     )
     rows = rows.withColumn("_us", micros(ts))
-    plan = plan or plan_slices(rows, key, F.col("_us"))
-    sliced = plan.assign(plan.mark_hot(rows), F.col("_us"))
+    # Within an instant the readings come first, so a left row's neighbours are in its slice or among the carried ones.
+    own = F.col(seq).cast("long") if seq and seq in left.columns else F.lit(0)
+    by = [F.col("_us"), F.col(_LEFT).cast("int"), F.coalesce("_r.seq", own)]
+    plan = plan or plan_slices(rows, key, *by)
+    sliced = plan.assign(plan.mark_hot(rows), *by)
     if not plan.single:
         around = carry_around(sliced, plan, "_r").withColumns(
             {_LEFT: F.lit(False), "_us": F.col("_r.us")}

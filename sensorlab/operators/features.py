@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from sensorlab.operators.slices import (
     BLOCK,
+    HOT,
+    SLICE,
     SlicePlan,
-    carry_last,
     drop_margin,
     micros,
     plan_slices,
+    null_safe_join,
     row_blocks,
     tie_order,
-    with_overlap,
 )
 
 PUMPS = (0, 1, 2, 3)
@@ -37,6 +38,9 @@ class Feature:
     carry_forward: bool = False
 
 
+_FRONT, _BACK = -(2**62), 2**62
+
+
 def fused_features(
     base: DataFrame,
     readings: DataFrame,
@@ -59,9 +63,15 @@ def fused_features(
     differences, and the first reading inside is the successor of the second.
     Both come from growing frames, so the cost per row does not depend on how
     many readings a window holds.
+
+    Split series cost a second exchange. Each (slice, channel) gets two more
+    rows: what the channel has come to before it, and its next reading behind
+    it. The base rows first visit the slice that holds ``t - window``, then
+    their own; no reading is placed twice, however long the window is.
     """
     width = int(window_seconds * 1e6)
     quantities = sorted({f.quantity for f in features})
+    channels = [f"{q}_tc{p}" for q in quantities for p in pumps]
     arrival = (F.col(seq) if seq else F.lit(0)).cast("long")
     read = (
         readings.filter(
@@ -82,85 +92,44 @@ def fused_features(
         )
         .withColumn("_base", F.lit(False))
     )
-    rows = base.withColumn("_us", micros(ts)).withColumn("_base", F.lit(True))
-    plan = plan or plan_slices(
-        read.select(*key, "_us").unionByName(rows.select(*key, "_us")), key, F.col("_us")
-    )
-    # Readings near the end of a slice are also needed at the start of the next.
-    sliced = with_overlap(read, plan, F.col("_us"), width)
-    placed = plan.assign(plan.mark_hot(rows), F.col("_us")).unionByName(
-        sliced, allowMissingColumns=True
-    )
-    carried_names: list[str] = []
-    lasting = [
-        f"{f.quantity}_tc{p}"
-        for f in features
-        if f.stat == "latest" or f.carry_forward
-        for p in pumps
-    ]
-    if lasting and not plan.single:
-        # The base rows take part so that slices without readings are carried to.
-        spots = {
-            f"_carry_{c}": F.when(F.col("_channel") == c, F.col("_r")) for c in lasting
-        }
-        carried = carry_last(placed, plan, spots)
-        carried_names = list(spots)
-        carried = carried.withColumn("_base", F.lit(False)).withColumn(
-            "_us", F.lit(-(2**62)).cast("long")
-        )
-        placed = placed.unionByName(carried, allowMissingColumns=True)
-
-    if plan.group:
-        # One exchange serves the windows by channel and those over all channels.
-        placed = placed.repartition(*plan.group)
-    # Along each channel: position, running sum, first reading, successor.
+    tie = F.col(seq).cast("long") if seq and seq in base.columns else F.lit(0).cast("long")
+    rows = base.withColumns({"_us": micros(ts), "_base": F.lit(True), "_tie": tie})
+    by = [F.col("_us"), F.col("_base").cast("int"), F.coalesce("_r.seq", "_tie")]
+    times = read.select(*key, "_us", "_base", "_r").unionByName(rows.select(*key, "_us", "_base", "_tie"), allowMissingColumns=True)
+    plan = plan or plan_slices(times, key, *by)
     stats = {f.stat for f in features}
-    in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")
-    so_far = in_channel.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The position comes first, so the greatest struct is the latest reading.
-    steps: dict[str, Column] = {"_at": F.row_number().over(in_channel)}
-    as_last = [F.col("_at").alias("at"), F.col("_r.v").alias("v")]
-    as_open = [F.col("_at").alias("at")]
-    if "mean" in stats:
-        # Decimal sums are exact, so their difference is too. What a decimal of
-        # nine places leaves of a very large or small value is summed apart.
-        near = F.coalesce(F.col("_r.v").try_cast("decimal(27,9)"), F.lit(0).cast("decimal(27,9)"))
-        steps["_sum"] = F.sum(near).over(so_far)
-        steps["_rest"] = F.sum(F.col("_r.v") - near.cast("double")).over(so_far)
-        for ends in (as_last, as_open):
-            ends += [F.col("_sum").alias("sum"), F.col("_rest").alias("rest")]
-    if "rate" in stats:
-        steps |= {"_first": F.first("_r").over(so_far), "_next": F.lead("_r").over(in_channel)}
-        as_last += [F.col("_r.us").alias("us"), F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
-        as_open += [F.col("_next.us").alias("first_us"), F.col("_next.v").alias("first_v")]
-    is_reading = F.col("_r").isNotNull()
-    placed = placed.withColumns(steps).withColumns(
-        {
-            "_as_last": F.when(is_reading, F.struct(*as_last)),
-            "_as_open": F.when(is_reading, F.struct(*as_open)),
-        }
-    )
+    around = [f"{f.quantity}_tc{p}" for f in features if f.stat != "latest" for p in pumps]
+    if plan.single:
+        placed = plan.assign(rows, F.col("_us")).unionByName(read, allowMissingColumns=True)
+        states = _channel_states(placed, plan, stats)
+    else:
+        # The look-up for split series alone; the other rows make it on the spot.
+        sliced = _with_rims(plan.assign(plan.mark_hot(read), F.col("_us"), F.lit(0), F.col("_r.seq")), plan, channels)
+        rows = plan.mark_hot(rows)
+        if around:
+            opened = rows.filter(HOT).withColumns({"_t": F.col("_us"), "_us": F.col("_us") - width - 1})
+            opened = plan.assign(opened, F.col("_us"), F.lit(1), F.col("_tie"))
+            opened = _channel_states(sliced.filter(HOT).unionByName(opened, allowMissingColumns=True), plan, stats)
+            opened = _look_up(opened, plan, around, "_as_open", "_far", F.col("_us"), 0)
+            opened = opened.filter("_base").withColumn("_us", F.col("_t"))
+            opened = opened.select(*base.columns, "_us", "_base", "_tie", *[f"_{c}_far" for c in around])
+            rows = rows.filter(~F.col(HOT)).unionByName(plan.mark_hot(opened), allowMissingColumns=True)
+        placed = plan.assign(rows, F.col("_us"), F.lit(1), F.col("_tie"))
+        states = _channel_states(placed.unionByName(sliced, allowMissingColumns=True), plan, stats)
+    states = _look_up(states, plan, channels, "_as_last", "_last", F.col("_us"), 0)
+    states = _look_up(states, plan, around, "_as_open", "_open", F.col("_us"), width + 1)
 
-    w = Window.partitionBy(*plan.group).orderBy("_us")
-    until_now = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    until_open = w.rangeBetween(Window.unboundedPreceding, -width - 1)
-    work: dict[str, Column] = {}
     out: list[Column] = []
     zero = F.lit(0.0)
     for f in features:
         for p in pumps:
             c = f"{f.quantity}_tc{p}"
-            mine = F.col("_channel") == c
-            work[f"_{c}_last"] = F.max(F.when(mine, F.col("_as_last"))).over(until_now)
             last, opened = F.col(f"_{c}_last"), F.col(f"_{c}_open")
-            seen = last["v"]
-            if f"_carry_{c}" in carried_names:
-                work[f"_{c}_carry"] = F.max(f"_carry_{c}").over(until_now)
-                seen = F.coalesce(seen, F.col(f"_{c}_carry.v"))
             if f.stat == "latest":
-                out.append(F.coalesce(seen, zero).alias(c))
+                out.append(F.coalesce(last["v"], zero).alias(c))
                 continue
-            work[f"_{c}_open"] = F.max(F.when(mine, F.col("_as_open"))).over(until_open)
+            if not plan.single:
+                opened = F.when(F.col(HOT), F.col(f"_{c}_far")).otherwise(opened)
             n = F.coalesce(last["at"], F.lit(0)) - F.coalesce(opened["at"], F.lit(0))
             if f.stat == "mean":
                 none = F.lit(0).cast("decimal(37,9)")
@@ -174,17 +143,98 @@ def fused_features(
             seconds = (last["us"] - first_us) / F.lit(1e6)
             known = (n > 1) & (seconds > 0)
             rate = F.when(known, (last["v"] - first_v) / seconds).otherwise(zero)
-            fallback = F.coalesce(seen, zero) if f.carry_forward else zero
+            fallback = F.coalesce(last["v"], zero) if f.carry_forward else zero
             out.append(rate.alias(f"{c}_rate"))
             out.append(F.when(known, first_v).otherwise(fallback).alias(f"{c}_value"))
             out.append(n.cast("long").alias(f"{c}_n"))
-    return (
-        placed.withColumns(work)
-        .filter("_base")
-        .select(*base.columns, *out)
+    return states.filter("_base").select(*base.columns, *out)
+
+
+def _near(v: Column) -> Column:
+    """The decimal part of a value: its sums are exact, so their differences are too."""
+    return F.coalesce(v.try_cast("decimal(27,9)"), F.lit(0).cast("decimal(27,9)"))
+
+
+def _with_rims(read: DataFrame, plan: SlicePlan, channels: Sequence[str]) -> DataFrame:
+    """Readings, and for each (slice, channel) of split series a row in front and one behind.
+
+    The row in front is the channel's last reading so far, with the number and
+    sums of all readings up to it (``_many``) and the first one of all. The row
+    behind is the next reading.
+    """
+    r = F.col("_r")
+    parts = []
+    for c in channels:
+        mine = F.when(F.col("_channel") == c, r)
+        v = mine["v"]
+        exact = _near(v)
+        sums = [F.count(mine).alias("n"), F.sum(F.when(v.isNotNull(), exact)).alias("sum"), F.sum(v - exact.cast("double")).alias("rest")]
+        parts.append(F.struct(*sums, F.min(mine).alias("first"), F.max(mine).alias("last")).alias(f"_{c}"))
+    ends = read.filter(HOT).groupBy(*plan.group).agg(*parts)
+    every = plan.every_slice()
+    ends = null_safe_join(every, ends, plan.group, "left")
+    before = Window.partitionBy(*plan.key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*plan.key).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def rims(c: str) -> Column:
+        part = F.col(f"_{c}")
+        many = F.struct(
+            F.sum(part["n"]).over(before).alias("n"), F.sum(part["sum"]).over(before).cast("decimal(37,9)").alias("sum"),
+            F.sum(part["rest"]).over(before).alias("rest"), F.min(part["first"]).over(before).alias("first"),
+        )
+        front = F.struct(F.lit(c).alias("_channel"), F.lit(_FRONT).alias("_us"), F.max(part["last"]).over(before).alias("_r"), many.alias("_many"))
+        nothing = F.lit(None).cast("struct<n: bigint, sum: decimal(37,9), rest: double, first: struct<us: bigint, seq: bigint, v: double>>")
+        back = F.struct(F.lit(c).alias("_channel"), F.lit(_BACK).alias("_us"), F.min(part["first"]).over(behind).alias("_r"), nothing.alias("_many"))
+        return F.array(front, back)
+
+    lists = ends.select(*plan.group, *[rims(c).alias(f"_{c}") for c in channels])
+    rows = lists.select(*plan.group, F.explode(F.concat(*[f"_{c}" for c in channels])).alias("_x")).select(*plan.group, "_x.*")
+    rows = rows.filter(F.col("_r").isNotNull()).withColumns({"_base": F.lit(False), HOT: F.lit(True)})
+    return read.unionByName(rows, allowMissingColumns=True)
+
+
+def _channel_states(placed: DataFrame, plan: SlicePlan, stats: set[str]) -> DataFrame:
+    """Give every reading the state of its channel up to it, as ``_as_last``, and with its successor, as ``_as_open``."""
+    if plan.group:
+        # One exchange serves the windows by channel and those over all channels.
+        placed = placed.repartition(*plan.group)
+    r = F.col("_r")
+    in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")
+    so_far = in_channel.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The position comes first, so the greatest struct is the latest reading.
+    many = None if plan.single else F.col("_many")
+    steps: dict[str, Column] = {"_at": F.row_number().over(in_channel)}
+    if many is not None:
+        steps["_at"] = F.sum(F.coalesce(many["n"], F.lit(1))).over(so_far)
+    as_last = [F.col("_at").cast("long").alias("at"), r["v"].alias("v")]
+    as_open = [F.col("_at").cast("long").alias("at")]
+    if "mean" in stats:
+        # What a decimal of nine places leaves of a very large or small value is summed apart.
+        near, rest = _near(r["v"]), r["v"] - _near(r["v"]).cast("double")
+        if many is not None:
+            near = F.coalesce(many["sum"], near.cast("decimal(37,9)"))
+            rest = F.when(many.isNotNull(), many["rest"]).otherwise(rest)
+        steps["_sum"] = F.sum(near).over(so_far).cast("decimal(37,9)")
+        steps["_rest"] = F.sum(rest).over(so_far)
+        for ends in (as_last, as_open):
+            ends += [F.col("_sum").alias("sum"), F.col("_rest").alias("rest")]
+    if "rate" in stats:
+        first = F.first("_r").over(so_far) if many is None else F.min(F.coalesce(many["first"], r)).over(so_far)
+        steps |= {"_first": first, "_next": F.lead("_r").over(in_channel)}
+        as_last += [r["us"].alias("us"), F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
+        as_open += [F.col("_next.us").alias("first_us"), F.col("_next.v").alias("first_v")]
+    counts = r.isNotNull() & (F.col("_us") < _BACK)
+    return placed.withColumns(steps).withColumns(
+        {"_as_last": F.when(counts, F.struct(*as_last)), "_as_open": F.when(counts, F.struct(*as_open))}
     )
 
 
+def _look_up(states: DataFrame, plan: SlicePlan, channels: Sequence[str], state: str, name: str, at: Column, back: int) -> DataFrame:
+    """Add ``_{channel}{name}``: the latest state of each channel up to ``back`` before every row."""
+    w = Window.partitionBy(*plan.group).orderBy(at).rangeBetween(Window.unboundedPreceding, -back if back else Window.currentRow)
+    return states.withColumns({f"_{c}{name}": F.max(F.when(F.col("_channel") == c, F.col(state))).over(w) for c in channels})
+
+
 def latest_values(base, readings, key, quantity="fanh", **options) -> DataFrame:
     """Last value of each pump seen up to each base row; 0.0 before the first."""
     return fused_features(base, readings, key, [Feature(quantity, "latest")], **options)
@@ -237,6 +287,7 @@ def lag_features(
     ts: str = "ts",
     seq: str | None = None,
     drop_incomplete: bool = False,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Lags and means of the previous rows, over one shared ordering.
 
@@ -246,7 +297,7 @@ def lag_features(
     """
     present = [c for c in columns if c in df.columns]
     order = tie_order(df, key, ts, seq)
-    blocked = row_blocks(df, key, order, before=max([*lags, *windows, 0]))
+    blocked = row_blocks(df, key, order, before=max([*lags, *windows, 0]), plan=plan)
     w = Window.partitionBy(*key, BLOCK).orderBy(*order)
     made: dict[str, Column] = {}
     for c in present:

@@ -157,8 +157,9 @@ def rate_gate(
     arrival = F.col(seq).cast("long") if seq else F.xxhash64(F.col(value))
     rows = df.withColumns({"_us": micros(ts), "_seq": arrival})
     reset_us = None if reset_after_seconds is None else int(reset_after_seconds * 1e6)
-    plan = plan or plan_slices(rows, key, F.col("_us"))
-    sliced = plan.assign(plan.mark_hot(rows), F.col("_us"))
+    by = [F.col("_us"), F.lit(0), F.col("_seq")]
+    plan = plan or plan_slices(rows, key, *by)
+    sliced = plan.assign(plan.mark_hot(rows), *by)
     placed = sliced.drop(HOT).withColumn("_start", F.lit(1))
     if not plan.single:
         # Read several times below, so its three narrow columns are stored once.

@@ -11,6 +11,7 @@ from sensorlab.operators.slices import (
     BLOCK,
     drop_margin,
     micros,
+    null_safe_join,
     number_rows,
     row_blocks,
     tie_order,
@@ -59,15 +60,6 @@ def percentiles_of_counts(
     return placed.groupBy(*key).agg(*edges).select(*key, *found)
 
 
-def same_rows(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join two tables of one row per series."""
-    if not key:
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
-    renamed = right.withColumnsRenamed({k: f"_{k}" for k in key})
-    condition = [left[k].eqNullSafe(renamed[f"_{k}"]) for k in key]
-    return left.join(renamed, condition, how).drop(*[f"_{k}" for k in key])
-
-
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -87,7 +79,7 @@ def describe_series(df: DataFrame, key: Sequence[str], value: str = "value") ->
 
 def with_percentiles(basic: DataFrame, percentiles: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add percentiles to the rows of all series; null for those without a value."""
-    return same_rows(basic, percentiles, key, "left")
+    return null_safe_join(basic, percentiles, key, "left")
 
 
 def with_interval(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlab.operators.slices import BLOCK, drop_margin, row_blocks, tie_order
+from sensorlab.operators.slices import BLOCK, SlicePlan, drop_margin, row_blocks, tie_order
 
 # Scales a mean absolute deviation to a standard deviation (fixed value).
 MAD_SCALE = 1.4826
@@ -31,11 +31,12 @@ def rolling_mean(
     ts: str = "ts",
     seq: str | None = None,
     name: str = "rolling_mean",
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Mean of ``k`` rows around each row; null with too few values."""
     before, after = _reach(k)
     order = tie_order(df, key, ts, seq)
-    blocked = row_blocks(df, key, order, before, after)
+    blocked = row_blocks(df, key, order, before, after, plan)
     w = Window.partitionBy(*key, BLOCK).orderBy(*order).rowsBetween(-before, after)
     return drop_margin(blocked.withColumn(name, _mean(value, w, min_periods)))
 
@@ -48,13 +49,14 @@ def rolling_mad(
     min_periods: int = 5,
     ts: str = "ts",
     seq: str | None = None,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Adds ``rolling_mean`` and ``rolling_mad``, the rolling mean of the
     absolute deviation from it. The second window sees first-window results up
     to one frame away, so blocks get a margin of two frames."""
     before, after = _reach(k)
     order = tie_order(df, key, ts, seq)
-    blocked = row_blocks(df, key, order, 2 * before, 2 * after)
+    blocked = row_blocks(df, key, order, 2 * before, 2 * after, plan)
     w = Window.partitionBy(*key, BLOCK).orderBy(*order).rowsBetween(-before, after)
     first = blocked.withColumn("rolling_mean", _mean(value, w, min_periods)).withColumn(
         "_off", F.abs(F.col(value) - F.col("rolling_mean"))
@@ -71,9 +73,10 @@ def mad_filter(
     n_sigma: float = 3,
     ts: str = "ts",
     seq: str | None = None,
+    plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Keep rows strictly closer to the rolling mean than ``n_sigma`` scaled
     deviations; rows without statistics, and flat stretches, are dropped."""
-    stats = rolling_mad(df, key, value, k, min_periods, ts, seq)
+    stats = rolling_mad(df, key, value, k, min_periods, ts, seq, plan)
     off = F.abs(F.col(value) - F.col("rolling_mean"))
     return stats.filter(off < F.lit(n_sigma * MAD_SCALE) * F.col("rolling_mad")).select(*df.columns)

@@ -28,8 +28,8 @@ def correct_device(
     The slices are planned once, on the raw times: no later step adds rows.
     """
     device, station = (df.select(*key, *COLUMNS) for df in (device, station))
-    times = device.select(*key, "ts").unionByName(station.select(*key, "ts"))
-    plan = plan_slices(times, key, micros("ts"))
+    sides = [df.select(*key, "ts", F.lit(n).alias("_left"), "seq") for n, df in enumerate((station, device))]
+    plan = plan_slices(sides[0].unionByName(sides[1]), key, micros("ts"), F.col("_left"), F.col("seq"))
     once = dedup_first(station, key, seq="seq")
     gated = rate_gate(once, key, seq="seq", max_rate=max_rate, plan=plan)
     gated = gated.withColumn("value", F.col("gated_value")).select(*key, *COLUMNS)

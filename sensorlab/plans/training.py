@@ -35,7 +35,7 @@ def training_rows(
     times = [t.select(*key, ts) for t in [*exports, station]]
     plan = plan_slices(union_all(*times), key, micros(ts))
     merged = merge_first(exports, key, ts, seq)
-    clean = durable(mad_filter(station, key, ts=ts, seq=seq))
+    clean = durable(mad_filter(station, key, ts=ts, seq=seq, plan=plan))
     matched = match_and_impute(
         merged,
         clean,
@@ -48,5 +48,5 @@ def training_rows(
     )
     labelled = add_label(matched.na.drop(subset=["outdoor_temperature"])).drop("outdoor_temperature")
     return lag_features(
-        durable(labelled), key, features, lags, windows, ts, seq, drop_incomplete=True
+        durable(labelled), key, features, lags, windows, ts, seq, drop_incomplete=True, plan=plan
     )
