@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlab.operators.slices import (
     BLOCK,
+    bin_of,
     drop_margin,
+    finite_number,
+    histogram_of,
     micros,
     null_safe_join,
-    number_rows,
     row_blocks,
     tie_order,
 )
-from sensorlab.session import durable
+from sensorlab.session import stored
+
+
+#: So many values of one series and bin are sorted on the spot.
+FEW_VALUES = 10_000
 
 
 def exact_percentiles(
@@ -24,40 +31,61 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per series.
 
-    Values are counted, so that frequent ones shrink first, then numbered in
-    their order across slices; each percentile is read off at the one or two
-    positions around it. Series without a value have no row.
+    All wanted ranks of all series are narrowed together: values are counted in
+    histograms, and only the bins that hold a wanted rank are divided again,
+    over their own range, until a bin holds one value or few enough to sort.
+    Nothing is ordered as a whole, and a value far off costs a round at most.
+    NaN counts as missing; series without a value have no row. Values beyond
+    1e300 count as equal.
     """
-    return percentiles_of_counts(value_counts(df, key, value), key, points)
-
-
-def value_counts(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """Stored ``_x, _n``: how often each value occurs in each series."""
-    values = df.select(*key, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
-    return durable(values.groupBy(*key, "_x").agg(F.count("*").alias("_n")))
-
-
-def percentiles_of_counts(
-    counts: DataFrame, key: Sequence[str], points: dict[str, float]
-) -> DataFrame:
-    placed = number_rows(counts, key, ["_x"], weight="_n", total="_size")
-    first, size = F.col("_row"), F.col("_size")
-
-    def value_at(position: Column) -> Column:
-        inside = (first <= position) & (position < first + F.col("_n"))
-        return F.max(F.when(inside, F.col("_x")))
-
-    edges, found = [], []
+    kind = df.schema[value].dataType.typeName()
+    values = df.select(*key, F.col(value).alias("_x"), F.array().cast("array<int>").alias("_path")).filter(F.col("_x").isNotNull())
+    if kind in ("double", "float"):
+        values = values.filter(~F.isnan("_x"))
+    stats = [F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")]
+    spot = [*key, "_path"]
+    whole = stored(values.groupBy(*spot).agg(*stats), "series")
+    ranks = [f(F.lit(p) * (F.col("_n") - 1)).cast("long") for p in points.values() for f in (F.floor, F.ceil)]
+    # A cell is a bin with the number of values below it; a wanted rank knows its cell.
+    cells = whole.withColumn("_before", F.lit(0).cast("long"))
+    wanted = whole.select(*spot, F.explode(F.array_distinct(F.array(*ranks))).alias("_rank"))
+    rows, found = values, []
+    while True:
+        hit = null_safe_join(wanted, cells, spot)
+        one = finite_number(F.col("_low")) == finite_number(F.col("_high"))
+        few = ~one & (F.col("_n") <= FEW_VALUES)
+        found.append(hit.filter(one).select(*key, "_rank", F.col("_low").alias("_value")))
+        listed = null_safe_join(rows, hit.filter(few).select(*spot).distinct(), spot).groupBy(*spot).agg(F.array_sort(F.collect_list("_x")).alias("_list"))
+        picked = null_safe_join(hit.filter(few), listed, spot)
+        found.append(picked.select(*key, "_rank", F.get("_list", (F.col("_rank") - F.col("_before")).cast("int")).alias("_value")))
+        many = hit.filter(~one & ~few)
+        if many.isEmpty():
+            break
+        spec = F.struct(*histogram_of(finite_number(F.col("_low")), finite_number(F.col("_high")), F.col("_n") / FEW_VALUES)).alias("_spec")
+        open_ = stored(many.select(*spot, "_before", spec).distinct(), "open")
+        binned = null_safe_join(rows, open_.drop("_before"), spot)
+        bin_ = bin_of(finite_number(F.col("_x")), *(F.col(f"_spec.{c}") for c in ("log", "low", "width", "bins")))
+        binned = binned.withColumn("_bin", bin_).drop("_spec")
+        counts = stored(binned.groupBy(*spot, "_bin").agg(*stats), "counts")
+        counts = null_safe_join(counts, open_.drop("_spec"), spot)
+        earlier = Window.partitionBy(*spot).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        chosen = null_safe_join(many.select(*spot, "_rank"), counts, spot).filter(inside)
+        below = F.concat("_path", F.array("_bin"))
+        chosen = stored(chosen.select(*key, below.alias("_path"), "_rank", "_n", "_low", "_high", "_before"), "chosen")
+        wanted, cells = chosen.select(*spot, "_rank"), chosen.drop("_rank").distinct()
+        rows = null_safe_join(binned.select(*key, "_x", below.alias("_path")), chosen.select(*spot).distinct(), spot)
+    known = null_safe_join(reduce(DataFrame.unionByName, found), whole.select(*key, "_n"), key)
+    edges, made = [], []
     for name, p in points.items():
-        at = F.lit(p) * (size - 1)
-        edges += [
-            value_at(F.floor(at)).alias(f"_low_{name}"),
-            value_at(F.ceil(at)).alias(f"_high_{name}"),
-            F.max(at - F.floor(at)).alias(f"_part_{name}"),
-        ]
-        low, high, part = (F.col(f"_{kind}_{name}") for kind in ("low", "high", "part"))
-        found.append((low * (1 - part) + high * part).alias(name))
-    return placed.groupBy(*key).agg(*edges).select(*key, *found)
+        at = F.lit(p) * (F.col("_n") - 1)
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            edges.append(F.max(F.when(F.col("_rank") == rank, F.col("_value"))).alias(f"_{end}_{name}"))
+        edges.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
+        low, high, part = (F.col(f"_{end}_{name}") for end in ("low", "high", "part"))
+        made.append((low * (1 - part) + high * part).alias(name))
+    return known.groupBy(*key).agg(*edges).select(*key, *made) if key else known.agg(*edges).filter(F.col(f"_part_{next(iter(points))}").isNotNull()).select(*made)
 
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -102,7 +130,7 @@ def interval_stats(
 ) -> DataFrame:
     """Mean, median, least and greatest sampling interval per series."""
     gaps = with_interval(df.select(*key, ts, *([seq] if seq else [])), key, ts, seq)
-    gaps = gaps.select(*key, "interval_seconds")
+    gaps = stored(gaps.select(*key, "interval_seconds"), "gaps")  # read in every round of counting
     x = F.col("interval_seconds")
     order = [*key, "mean_interval", "median_interval", "min_interval", "max_interval"]
     basic = gaps.groupBy(*key).agg(

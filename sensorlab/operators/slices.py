@@ -110,7 +110,7 @@ class SlicePlan:
         return self.hot.select(*self.key, F.explode(F.sequence(F.lit(0), F.col(f"{MAP}.slices") - 1)).alias(SLICE))
 
     def _slice_of(self, by: Sequence[Column]) -> Column:
-        numbers = [_number(c) for c in by]
+        numbers = [finite_number(c) for c in by]
 
         def child(node: Column) -> Column:
             # What the plan looks at and the caller hasn't got counts as the least.
@@ -119,7 +119,7 @@ class SlicePlan:
             for i in reversed(range(len(numbers) - 1)):
                 here, beyond = F.get(node["anchor"], F.lit(i)), node["dim"] > i
                 x = F.when(beyond & (numbers[i] < here), F.lit(-FAR)).when(beyond & (numbers[i] > here), F.lit(FAR)).otherwise(x)
-            bin_ = _bin_of(x, node["log"], node["low"], node["width"], F.size(node["children"]))
+            bin_ = bin_of(x, node["log"], node["low"], node["width"], F.size(node["children"]))
             return F.get(node["children"], bin_)
 
         nodes = F.col(f"{MAP}.nodes")
@@ -130,7 +130,7 @@ class SlicePlan:
         return F.coalesce(found, F.lit(0))
 
 
-def _number(column: Column) -> Column:
+def finite_number(column: Column) -> Column:
     """An ordering number as a finite double; nulls sort first, NaN last."""
     x = F.coalesce(F.nanvl(column.cast("double"), F.lit(FAR)), F.lit(-FAR))
     return F.greatest(F.least(x, F.lit(FAR)), F.lit(-FAR))
@@ -142,11 +142,20 @@ def _binade(x: Column) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * size)
 
 
-def _bin_of(x: Column, log: Column, low: Column, width: Column, bins: Column) -> Column:
+def bin_of(x: Column, log: Column, low: Column, width: Column, bins: Column) -> Column:
     place = (F.when(log, _binade(x)).otherwise(x) - low) / width
     return F.floor(F.greatest(F.lit(0.0), F.least(place, bins - F.lit(1.0)))).cast("int")
 
 
+def histogram_of(low: Column, high: Column, parts: Column) -> list[Column]:
+    """``log, low, width, bins`` of a histogram from ``low`` to ``high``, over binades if there are several, else with bins for ``parts`` parts."""
+    log = _binade(low) != _binade(high)
+    even = F.least(F.greatest(F.ceil(parts) * BINS, F.lit(FEW)), F.lit(MANY))
+    bins = F.when(log, _binade(high) - _binade(low) + 1).otherwise(even).cast("int")
+    width = F.when(log, F.lit(1.0)).otherwise(F.greatest((high - low) / bins, F.lit(5e-324)))
+    return [log.alias("log"), F.when(log, _binade(low)).otherwise(low).alias("low"), width.alias("width"), bins.alias("bins")]
+
+
 def plan_slices(df: DataFrame, key: Sequence[str], *by: Column) -> SlicePlan:
     """Decide which series of ``df`` must be split and where.
 
@@ -159,7 +168,7 @@ def plan_slices(df: DataFrame, key: Sequence[str], *by: Column) -> SlicePlan:
     part = max(1, limit // 4)
     key = tuple(key)
     names = [f"_d{i}" for i in range(len(by))]
-    slim = df.select(*key, *[_number(c).alias(n) for c, n in zip(by, names, strict=True)])
+    slim = df.select(*key, *[finite_number(c).alias(n) for c, n in zip(by, names, strict=True)])
     stats = [F.count("*").alias("_n")]
     stats += [f(n).alias(f"{n}{end}") for n in names for f, end in ((F.min, "_low"), (F.max, "_high"))]
     varies = [F.col(f"{n}_low") < F.col(f"{n}_high") for n in names]
@@ -172,13 +181,9 @@ def plan_slices(df: DataFrame, key: Sequence[str], *by: Column) -> SlicePlan:
             return F.coalesce(*[F.when(v, pick(i)) for i, v in enumerate(varies)])
 
         low, high = of_dim(lambda i: F.col(f"{names[i]}_low")), of_dim(lambda i: F.col(f"{names[i]}_high"))
-        log = _binade(low) != _binade(high)
-        even = F.least(F.greatest(F.ceil(F.col("_n") / limit) * BINS, F.lit(FEW)), F.lit(MANY))
-        bins = F.when(log, _binade(high) - _binade(low) + 1).otherwise(even).cast("int")
-        width = F.when(log, F.lit(1.0)).otherwise(F.greatest((high - low) / bins, F.lit(5e-324)))
         anchor = F.array(*[F.col(f"{n}_low") for n in names])
-        spec = [of_dim(F.lit).cast("int").alias("dim"), anchor.alias("anchor"), log.alias("log"), F.when(log, _binade(low)).otherwise(low).alias("low")]
-        return counts.select(*key, path.alias("_path"), F.struct(*spec, width.alias("width"), bins.alias("bins")).alias("_spec"))
+        spec = [of_dim(F.lit).cast("int").alias("dim"), anchor.alias("anchor"), *histogram_of(low, high, F.col("_n") / limit)]
+        return counts.select(*key, path.alias("_path"), F.struct(*spec).alias("_spec"))
 
     sizes = slim.groupBy(*key).agg(*stats).filter((F.col("_n") > limit) & divisible)
     if sizes.isEmpty():
@@ -190,7 +195,7 @@ def plan_slices(df: DataFrame, key: Sequence[str], *by: Column) -> SlicePlan:
     while True:
         joined = null_safe_join(rows, level, spot)
         x = F.get(F.array(*names), F.col("_spec.dim"))
-        bin_ = _bin_of(x, *(F.col(f"_spec.{c}") for c in ("log", "low", "width", "bins")))
+        bin_ = bin_of(x, *(F.col(f"_spec.{c}") for c in ("log", "low", "width", "bins")))
         binned = joined.withColumn("_bin", bin_)
         bins.append(stored(binned.groupBy(*spot, "_bin").agg(*stats), "bins"))
         below = F.concat("_path", F.array("_bin"))
@@ -281,22 +286,18 @@ def number_rows(
     key: Sequence[str],
     order: Sequence[str],
     name: str = "_row",
-    weight: str | None = None,
     total: str | None = None,
     plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Exact 0-based position of each row in its series.
 
-    With ``weight``, a row counts that many times and its position is that of
-    its first copy. ``total`` names a column for the size of the series. Split
-    series are numbered slice by slice; each slice starts at the size of the
-    earlier ones, delivered as an extra row in front of it.
+    ``total`` names a column for the size of the series. Split series are
+    numbered slice by slice; each slice starts at the size of the earlier ones,
+    delivered as an extra row in front of it.
     """
     by = order_numbers(df, order)
     plan = plan or plan_slices(df, key, *by)
-    rows = plan.assign(plan.mark_hot(df), *by).withColumn(
-        "_weight", F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    )
+    rows = plan.assign(plan.mark_hot(df), *by).withColumn("_weight", F.lit(1).cast("long"))
     rows = rows.withColumn("_front", F.lit(1))
     start = F.lit(0)
     if not plan.single:
