@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,12 +131,36 @@ def with_latency(df: DataFrame, produced: str = "produced_at", now: Column | Non
     return df.withColumns({"processing_time": now - F.col(produced), "start_time": F.col(produced)})
 
 
-def with_stage_latency(df: DataFrame, arrived: str = "arrived_at", name: str = "meteo_stage") -> DataFrame:
+def with_stage_latency(
+    df: DataFrame, arrived: str = "arrived_at", name: str = "stage", now: Column | None = None
+) -> DataFrame:
     """Seconds between arrival (e.g. the broker's timestamp) and this step."""
-    seconds = (F.unix_micros(F.current_timestamp()) - F.unix_micros(F.col(arrived).cast("timestamp"))) / 1e6
+    now = F.current_timestamp() if now is None else now
+    seconds = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(arrived).cast("timestamp"))) / F.lit(1e6)
     return df.withColumn(name, seconds)
 
 
+def correction_record(corrected: DataFrame, key: Sequence[str] = (), ts: str = "ts", now: Column | None = None) -> DataFrame:
+    """The eight fields of a corrected reading: both latencies by the clock ``now``, skew, and the station's stage.
+
+    ``corrected`` comes from the correction in batch or as a stream. Without a
+    station reading its producer's clock is 0.
+    """
+    timed = with_latency(corrected, now=now)
+    clock = F.col("processing_time") + F.col("produced_at")
+    return timed.select(
+        *key,
+        F.col(ts).alias("time"),
+        "temperature",
+        "suggested_temperature",
+        "processing_time",
+        (clock - F.col("produced_at_meteo")).alias("processing_time_meteo"),
+        "time_difference",
+        F.col("meteo_stage").alias("processing_of_meteo_stage"),
+        "start_time",
+    )
+
+
 def pump_index(source: Column) -> Column:
     """Number of the heat pump named in ``source``; null if none is.
 

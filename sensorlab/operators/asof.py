@@ -130,12 +130,14 @@ def asof_correct(
     seq: str | None = None,
     tolerance_seconds: float = 20 * 60,
     plan: SlicePlan | None = None,
+    forget_after_seconds: float | None = None,
 ) -> DataFrame:
     """Suggest for each device reading the latest station reading not after it.
 
     Skew within the tolerance: the station value. Older: the device value, with
     the skew kept. None: the device value and zeros. Device readings of one
-    millisecond count once, the last arrival stands.
+    millisecond count once, the last arrival stands. With
+    ``forget_after_seconds`` an older station reading counts as none.
     """
     ms = F.floor(micros(ts) / 1000)
     newest = Window.partitionBy(*key, "_ms").orderBy(
@@ -150,6 +152,8 @@ def asof_correct(
     columns = [value, produced] + ([latency] if latency else [])
     near = neighbours(device, meteo, key, ts, columns, seq, plan=plan)
     hit = F.col("_backward")
+    if forget_after_seconds is not None:
+        hit = F.when(F.col("_us") - hit["us"] <= F.lit(int(forget_after_seconds * 1e6)), hit)
     skew = _seconds(F.col("_us") - hit["us"])
     inside = hit.isNotNull() & (skew <= F.lit(float(tolerance_seconds)))
     stage = hit[latency] if latency else F.lit(0.0)

@@ -52,6 +52,7 @@ def fused_features(
     window_seconds: float = 5 * 60,
     pumps: Sequence[int] = PUMPS,
     plan: SlicePlan | None = None,
+    forget_after_seconds: float | None = None,
 ) -> DataFrame:
     """All channel features of every base row in one exchange.
 
@@ -62,7 +63,8 @@ def fused_features(
     to ``t`` and the last one before ``t - window``: counts and sums are
     differences, and the first reading inside is the successor of the second.
     Both come from growing frames, so the cost per row does not depend on how
-    many readings a window holds.
+    many readings a window holds. With ``forget_after_seconds`` a latest value
+    older than that counts as none.
 
     Split series cost a second exchange. Each (slice, channel) gets two more
     rows: what the channel has come to before it, and its next reading behind
@@ -125,8 +127,11 @@ def fused_features(
         for p in pumps:
             c = f"{f.quantity}_tc{p}"
             last, opened = F.col(f"_{c}_last"), F.col(f"_{c}_open")
+            latest = last["v"]
+            if forget_after_seconds is not None:
+                latest = F.when(F.col("_us") - last["us"] <= F.lit(int(forget_after_seconds * 1e6)), latest)
             if f.stat == "latest":
-                out.append(F.coalesce(last["v"], zero).alias(c))
+                out.append(F.coalesce(latest, zero).alias(c))
                 continue
             if not plan.single:
                 opened = F.when(F.col(HOT), F.col(f"_{c}_far")).otherwise(opened)
@@ -143,7 +148,7 @@ def fused_features(
             seconds = (last["us"] - first_us) / F.lit(1e6)
             known = (n > 1) & (seconds > 0)
             rate = F.when(known, (last["v"] - first_v) / seconds).otherwise(zero)
-            fallback = F.coalesce(last["v"], zero) if f.carry_forward else zero
+            fallback = F.coalesce(latest, zero) if f.carry_forward else zero
             out.append(rate.alias(f"{c}_rate"))
             out.append(F.when(known, first_v).otherwise(fallback).alias(f"{c}_value"))
             out.append(n.cast("long").alias(f"{c}_n"))
@@ -206,7 +211,7 @@ def _channel_states(placed: DataFrame, plan: SlicePlan, stats: set[str]) -> Data
     steps: dict[str, Column] = {"_at": F.row_number().over(in_channel)}
     if many is not None:
         steps["_at"] = F.sum(F.coalesce(many["n"], F.lit(1))).over(so_far)
-    as_last = [F.col("_at").cast("long").alias("at"), r["v"].alias("v")]
+    as_last = [F.col("_at").cast("long").alias("at"), r["v"].alias("v"), r["us"].alias("us")]
     as_open = [F.col("_at").cast("long").alias("at")]
     if "mean" in stats:
         # What a decimal of nine places leaves of a very large or small value is summed apart.
@@ -221,7 +226,7 @@ def _channel_states(placed: DataFrame, plan: SlicePlan, stats: set[str]) -> Data
     if "rate" in stats:
         first = F.first("_r").over(so_far) if many is None else F.min(F.coalesce(many["first"], r)).over(so_far)
         steps |= {"_first": first, "_next": F.lead("_r").over(in_channel)}
-        as_last += [r["us"].alias("us"), F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
+        as_last += [F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
         as_open += [F.col("_next.us").alias("first_us"), F.col("_next.v").alias("first_v")]
     counts = r.isNotNull() & (F.col("_us") < _BACK)
     return placed.withColumns(steps).withColumns(

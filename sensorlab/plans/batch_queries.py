@@ -302,13 +302,28 @@ CORRECT = """SELECT d.site, d.ts, d.value AS temperature,
 FROM {device} d ASOF LEFT JOIN {meteo} m ON d.site = m.site AND d.ts >= m.ts"""
 
 
+#: The clock of the checked records, and the seconds a station reading took to get to the join.
+CLOCK = 10_000.0
+
+
+def with_stage(station: DataFrame) -> DataFrame:
+    """The station's readings with their stage latency, from an arrival time of their own."""
+    arrived = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - F.pmod("seq", F.lit(7)) * F.lit(250_000))
+    rows = station.withColumns({"arrived_at": arrived, "_now": F.col("ts").cast("timestamp")})
+    return wire.with_stage_latency(rows, now=F.col("_now")).drop("arrived_at", "_now")
+
+
 @query(
-    CORRECT.format(us=2 * HOUR * 1_000_000, value="value", device="device", meteo="meteo"), READINGS, DEVICE, METEO
+    CORRECT.format(us=2 * HOUR * 1_000_000, value="value", device="device", meteo="meteo")
+    .replace("AS meteo_used", "AS meteo_used, coalesce(m.seq % 7 * 0.25, 0.0)::DOUBLE AS meteo_stage"),
+    READINGS,
+    DEVICE,
+    METEO,
 )
 def asof_correct(spark, folder):
     device, meteo = (views.of_type(spark, folder, k) for k in ("view", "click"))
-    done = asof.asof_correct(device, meteo, SITE, seq="seq", tolerance_seconds=2 * HOUR)
-    return done.withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False))).drop("meteo_stage")
+    done = asof.asof_correct(device, with_stage(meteo), SITE, latency="stage", seq="seq", tolerance_seconds=2 * HOUR)
+    return done.withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False)))
 
 
 def first_per_minute(name: str, kind: str) -> str:
@@ -317,18 +332,65 @@ def first_per_minute(name: str, kind: str) -> str:
   QUALIFY row_number() OVER (PARTITION BY site, date_trunc('minute', ts) ORDER BY seq) = 1)"""
 
 
-@query(
-    CORRECT.format(us=2 * HOUR * 1_000_000, value="gated_value", device="device1", meteo="gated"),
-    READINGS,
-    first_per_minute("device1", "view"),
-    first_per_minute("meteo1", "click"),
-    gate_sql("meteo1"),
-)
+CORRECTED = f"""corrected AS ({CORRECT.format(us=2 * HOUR * 1_000_000, value="gated_value", device="device1", meteo="gated")
+    .replace("AS meteo_used", "AS meteo_used, coalesce(m.seq % 7 * 0.25, 0.0)::DOUBLE AS meteo_stage")})"""
+RECORD_PARTS = (READINGS, first_per_minute("device1", "view"), first_per_minute("meteo1", "click"), gate_sql("meteo1"), CORRECTED)
+RECORD = """SELECT site, ts AS time, temperature, round(suggested_temperature, 6) AS suggested_temperature,
+  round(10000.0 - produced_at, 6) AS processing_time, round(10000.0 - produced_at_meteo, 6) AS processing_time_meteo,
+  round(time_difference, 6) AS time_difference, meteo_stage AS processing_of_meteo_stage, produced_at AS start_time FROM corrected"""
+
+
+def corrected_rows(spark, folder):
+    device, meteo = (views.minutely(views.of_type(spark, folder, k)) for k in ("view", "click"))
+    return correct_device(device, with_stage(meteo), SITE, tolerance_seconds=2 * HOUR)
+
+
+@query("SELECT * FROM corrected", *RECORD_PARTS)
 def correction(spark, folder):
     """De-duplicate both sides, gate the station, correct the device."""
-    device, meteo = (views.minutely(views.of_type(spark, folder, k)) for k in ("view", "click"))
-    done = correct_device(device, meteo, SITE, tolerance_seconds=2 * HOUR)
-    return done.withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False))).drop("meteo_stage")
+    return corrected_rows(spark, folder).withColumn("meteo_used", F.coalesce("meteo_used", F.lit(False)))
+
+
+@query(RECORD, *RECORD_PARTS)
+def correction_record(spark, folder):
+    """The eight fields of every corrected reading."""
+    return views.rounded(wire.correction_record(corrected_rows(spark, folder), SITE, now=F.lit(CLOCK)))
+
+
+# -- JSON records of every layout ------------------------------------------------
+
+
+def json_sql(layout: str, columns: dict[str, str], source: str, key: str = "seq") -> str:
+    """The layout's fields in order, numbers with three places; ``columns`` tells fields that aren't columns of that name."""
+    fields = []
+    for c in wire.LAYOUTS[layout]:
+        text = columns.get(c, c)
+        if c == "time":
+            text = f"strftime({columns.get(c, 'ts')}, '%Y-%m-%dT%H:%M:%S.%g+00:00')"
+        elif c != "source":
+            text = f"(round({text}, 3) + 0.0)::DOUBLE"
+        fields.append(f"'{c}': {text}")
+    return f"SELECT {key}, CAST(to_json({{{', '.join(fields)}}}) AS VARCHAR) AS value FROM {source}"
+
+
+def as_json(rows: DataFrame, layout: str, key: str = "seq") -> DataFrame:
+    return wire.to_wire_json(views.rounded(rows, 3).select(key, *wire.LAYOUTS[layout]), layout)
+
+
+@query(json_sql("corrected", {"time": "time"}, f"({RECORD})", "site"), *RECORD_PARTS)
+def wire_corrected(spark, folder):
+    return as_json(wire.correction_record(corrected_rows(spark, folder), SITE, now=F.lit(CLOCK)), "corrected", "site")
+
+
+MERGED = {"processing_time": "10000.0 - produced_at", "time_at_arrival": "seq % 100 / 4.0", "start_time": "produced_at"}
+
+
+@query(json_sql("merged", {**MERGED, "temperature": "value"}, "readings"), READINGS)
+def wire_merged(spark, folder):
+    rows = views.readings(spark, folder).withColumns(
+        {"time": F.col("ts"), "temperature": F.col("value"), "time_at_arrival": F.col("seq") % 100 / F.lit(4.0)}
+    )
+    return as_json(wire.with_latency(rows, now=F.lit(CLOCK)), "merged")
 
 
 # -- as-of joins -----------------------------------------------------------------
@@ -550,6 +612,24 @@ def fused_rates(spark, folder):
     return views.rounded(done)
 
 
+RATE_FIELDS = {"processing_time": "10000.0 - seq / 1000.0"}
+
+
+@query(
+    json_sql("rates", RATE_FIELDS, "rates"),
+    READINGS,
+    DEVICE,
+    CHANNELS,
+    "rates AS (" + SQL["fused_rates"].removeprefix(f"WITH RECURSIVE {READINGS}, {DEVICE}, {CHANNELS}\n") + ")",
+)
+def wire_rates(spark, folder):
+    rows = features.fused_features(
+        views.base(spark, folder), views.channels(spark, folder), SITE, RATE_FEATURES, seq="seq", window_seconds=12 * HOUR
+    )
+    rows = rows.withColumns({"time": F.col("ts"), "produced_at": F.col("seq") / F.lit(1000.0)})
+    return as_json(views.rounded(wire.with_latency(rows, now=F.lit(CLOCK))), "rates")
+
+
 @query(
     f"""SELECT w.*, {", ".join(f"fanh_tc{p}" for p in PUMPS)}
     FROM ({window_sql("true", 6, per_pump(MEAN, "prikon"))}) w JOIN ({latest_sql("fanh", "{q}_tc{p}")}) l USING (seq)""",
@@ -833,7 +913,7 @@ def positional_slice(spark, folder):
 )
 def routing_report(spark, folder):
     """Readings per site whose source names a pump, and those that are left out."""
-    pump = views.pump_of(F.col("source"))
+    pump = wire.pump_index(views.entity_of(F.col("source")))
     return views.readings(spark, folder).groupBy("site").agg(
         F.count_if(pump.isNull()).alias("n_unrouted"), F.count_if(pump.isNotNull()).alias("n_routed")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorlab.functions import wire
 from sensorlab.operators import asof, features
 from sensorlab.plans import batch_queries as batch
 from sensorlab.plans import model, stream_queries, views
@@ -153,18 +154,16 @@ def feature_importance(spark, folder):
     return views.rounded(model.top_features(model.feature_importance(spark, done)))
 
 
-def _adjusted_sql(source: str, columns: str) -> str:
+def adjusted(columns: str) -> str:
     delta = predicted(_X)
-    return lasso_sql(
-        f"""SELECT {columns}, round(temperature + {delta}, 6) AS temperature, round({delta}, 6) AS delta,
-        temperature AS original_temperature, true AS model_used FROM {source}, paths WHERE i = 6 AND alpha = {ALPHA}"""
-    )
+    return f"""SELECT {columns}, round(temperature + {delta}, 6) AS temperature, round({delta}, 6) AS delta,
+        temperature AS original_temperature, true AS model_used FROM fused, paths WHERE i = 6 AND alpha = {ALPHA}"""
 
 
 _MADE = ", ".join(f"round({c}, 6) AS {c}" for c in model.MEAN_FEATURES if c != "temperature")
 
 
-@query(_adjusted_sql("fused", f"site, ts, seq, {_MADE}"))
+@query(lasso_sql(adjusted(f"site, ts, seq, {_MADE}")))
 def adjust_temperature(spark, folder):
     """Train, store, load and apply: every device row with its corrected value."""
     done = trained(spark, folder, grid={"regParam": [ALPHA]})
@@ -173,7 +172,19 @@ def adjust_temperature(spark, folder):
     return views.rounded(model.adjust_temperature(device_features(spark, folder), model.load_model(path, "linear")))
 
 
-@query()
+_SCORED = {"time": "ts", "processing_time": "10000.0 - seq / 1000.0"}
+
+
+@query(lasso_sql(batch.json_sql("scored", _SCORED, "(" + adjusted(f"site, ts, seq, {_MADE}") + ")")))
+def wire_scored(spark, folder):
+    """JSON records of the scored readings."""
+    done = trained(spark, folder, grid={"regParam": [ALPHA]})
+    rows = views.rounded(model.adjust_temperature(device_features(spark, folder), done.model))
+    rows = rows.withColumns({"time": F.col("ts"), "produced_at": F.col("seq") / F.lit(1000.0)})
+    return batch.as_json(wire.with_latency(rows, now=F.lit(batch.CLOCK)), "scored")
+
+
+@query(lasso_sql(adjusted(f"site, ts, seq, seq / 1000.0 AS produced_at, {_MADE}")))
 def stream_scoring(spark, folder):
     """The feature job with the model applied to the stream."""
     done = trained(spark, folder, grid={"regParam": [ALPHA]})
@@ -182,4 +193,4 @@ def stream_scoring(spark, folder):
         stream_queries.stream_base(rows), stream_queries.stream_channels(rows), ["site"], batch.MEAN_FEATURES,
         6 * batch.HOUR,
     ).filter("site >= 0")
-    return views.naive(jobs.run_available(model.adjust_temperature(made, done.model), "stream-scoring"))
+    return views.naive(views.rounded(jobs.run_available(model.adjust_temperature(made, done.model), "stream-scoring")))

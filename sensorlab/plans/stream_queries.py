@@ -63,28 +63,27 @@ def side(rows: DataFrame, kind: str) -> DataFrame:
     return rows.filter(F.col("source").isin(kind, ""))
 
 
-@query(
-    batch.CORRECT.format(us=2 * batch.HOUR * 1_000_000, value="gated_value", device="device1", meteo="gated"),
-    batch.READINGS,
-    batch.first_per_minute("device1", "view"),
-    batch.first_per_minute("meteo1", "click"),
-    batch.gate_sql("meteo1"),
-)
+@query(batch.RECORD, *batch.RECORD_PARTS)
 def stream_correction(spark, folder):
+    """The eight fields of every corrected reading, from one stateful step."""
     rows = stream(spark, folder, minutes=True)
-    done = jobs.correction_job(side(rows, "view"), side(rows, "click"), ["site"], tolerance_seconds=2 * batch.HOUR)
-    return views.naive(jobs.run_available(done, "stream-correction"))
+    station = batch.with_stage(side(rows, "click"))
+    done = jobs.correction_job(side(rows, "view"), station, ["site"], tolerance_seconds=2 * batch.HOUR)
+    out = jobs.run_available(done.filter("site >= 0"), "stream-correction")
+    return views.naive(views.rounded(wire.correction_record(out, ["site"], now=F.lit(batch.CLOCK))))
 
 
 @query(
-    "SELECT site, ts, seq, gated_value AS value, rejected FROM gated",
+    """SELECT site, ts, seq, gated_value AS value, rejected,
+       sum(rejected::INT) OVER (PARTITION BY site ORDER BY ts)::BIGINT AS n_rejected FROM gated""",
     batch.READINGS,
     batch.first_per_minute("device1", "view"),
     batch.gate_sql("device1"),
 )
 def stream_gate(spark, folder):
-    done = jobs.sensor_gate_job(side(stream(spark, folder, minutes=True), "view"), ["site"])
-    out = jobs.run_available(done.select("site", "ts", "seq", "value", "rejected"), "stream-gate")
+    """Gated readings with the running count of rejections."""
+    done = jobs.sensor_gate_job(side(stream(spark, folder, minutes=True), "view"), ["site"]).filter("site >= 0")
+    out = jobs.run_available(done.select("site", "ts", "seq", "value", "rejected", "n_rejected"), "stream-gate")
     return views.naive(out)
 
 
@@ -128,16 +127,24 @@ def stream_dedup(spark, folder):
     return views.naive(jobs.run_available(jobs.dedup_stream(rows, ["site"], "1 minute"), "stream-dedup"))
 
 
-@query(
-    """SELECT DISTINCT d.site, d.ts FROM (SELECT site, ts FROM minutes WHERE source = 'view') d
-       JOIN (SELECT site, ts FROM minutes WHERE source = 'error') m USING (site, ts)""",
-    batch.READINGS,
-    batch.MINUTES,
-)
+@query(batch.SQL["exact_join"])
 def stream_exact_join(spark, folder):
+    """Pairs of equal time with the values of both sides."""
     rows = stream(spark, folder, minutes=True)
-    left, right = (rows.filter(F.col("source") == k).select("site", "ts") for k in ("view", "error"))
-    return views.naive(jobs.run_available(jobs.exact_join_stream(left, right, ["site"]), "stream-join"))
+    left = side(rows, "view").select("site", "ts", "seq", F.col("value").alias("temperature"))
+    right = side(rows, "error").select("site", "ts", "seq", F.col("value").alias("power"))
+    done = jobs.exact_join_stream(left, right, ["site"], seq="seq").filter("site >= 0")
+    return views.naive(jobs.run_available(done, "stream-join"))
+
+
+@query("SELECT site, ts, seq, value FROM readings WHERE source = 'view'", batch.READINGS)
+def stream_once(spark, folder):
+    """Readings written batch by batch, each batch once however often it runs; read back by their marks."""
+    rows = side(stream(spark, folder), "view").filter("site >= 0").select("site", "ts", "seq", "value")
+    place = fresh_folder(spark, "once")
+    for _ in range(2):  # the second run finds nothing to do
+        jobs.start_once(rows, place, f"{place}/checkpoint").awaitTermination()
+    return views.naive(jobs.read_once(spark, place, rows.schema))
 
 
 @query("SELECT site, ts, value, source FROM readings WHERE source IN ('view', 'click')", batch.READINGS)

@@ -70,11 +70,18 @@ POINT_NAMES = {
 }
 
 
+def entity_of(source: Column) -> Column:
+    """The series name of an event type; null if it has none."""
+    entity = F.lit(None).cast("string")
+    for kind, (name, _) in POINT_NAMES.items():
+        entity = F.when(source == kind, F.lit(name)).otherwise(entity)
+    return entity
+
+
 def points(spark: SparkSession, folder: str) -> DataFrame:
     """Database points ``measurement, entity_id, time, value``."""
-    entity, unit = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, (name, measurement) in POINT_NAMES.items():
-        entity = F.when(F.col("source") == kind, F.lit(name)).otherwise(entity)
+    entity, unit = entity_of(F.col("source")), F.lit(None).cast("string")
+    for kind, (_, measurement) in POINT_NAMES.items():
         unit = F.when(F.col("source") == kind, F.lit(measurement)).otherwise(unit)
     return readings(spark, folder).select(
         unit.alias("measurement"), entity.alias("entity_id"), F.col("ts").alias("time"), "value"

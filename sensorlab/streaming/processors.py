@@ -9,10 +9,13 @@ of arrival within the watermark's delay.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from sensorlab.operators.gate import fold_gate
@@ -22,42 +25,66 @@ from sensorlab.operators.gate import fold_gate
 PIECE_MS = 86_400_000
 
 
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+LONG, DOUBLE, BYTES = T.LongType(), T.DoubleType(), _struct(rows=T.BinaryType())
+
+
+def _pack(frame: pd.DataFrame, fields: T.StructType) -> tuple[bytes]:
+    """Rows as one value of the state: an Arrow batch."""
+    batch = pa.RecordBatch.from_pandas(frame[fields.names], to_arrow_schema(fields), preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return (out.getvalue().to_pybytes(),)
+
+
+def _unpack(values: Sequence[tuple]) -> pd.DataFrame:
+    return pa.concat_tables([pa.ipc.open_stream(bytes(v[0])).read_all() for v in values]).to_pandas(integer_object_nulls=True)
+
+
 class OrderedProcessor(StatefulProcessor):
     """Keeps rows back until complete; ``take`` gets them sorted by time, arrival.
 
     ``fields`` are the columns kept of a row, the event time as microseconds
     under ``us``. A row is complete once the watermark has reached it, or has
-    passed its whole millisecond if ``take`` needs those together. Rows wait in pieces of event time and are taken piece by
-    piece, so memory holds one piece of one series however long the backlog.
-    One timer per series stands at its earliest waiting row.
+    passed its whole millisecond if ``take`` needs those together. Every
+    micro-batch adds one value of Arrow rows for each day of event time it
+    holds and touches none of the earlier ones; days are taken one by one, so
+    memory holds one day of one series however long the backlog. One timer per
+    series stands at its earliest waiting row or, if ``forget_us`` is given and
+    nothing waits, that long after its last one: then the series' state goes.
     """
 
     fields: T.StructType
     order: Sequence[str] = ("us", "seq")
     whole_ms = False
+    forget_us: int | None = None
 
     def init(self, handle) -> None:
         self.handle = handle
-        number = T.StructType([T.StructField("number", T.LongType())])
-        rows = T.StructType([T.StructField("rows", T.ArrayType(self.fields))])
-        self.waiting = handle.getMapState("waiting", number, rows)
-        self.alarm = handle.getValueState("alarm", number)
+        self.waiting = handle.getMapState("waiting", _struct(piece=LONG, part=LONG), BYTES)
+        # When the timer stands, how many parts were added, and the last time taken.
+        self.mark = handle.getValueState("mark", _struct(alarm=LONG, parts=LONG, seen=LONG))
+
+    def _marked(self) -> tuple[int | None, int, int | None]:
+        return tuple(self.mark.get()) if self.mark.exists() else (None, 0, None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        earliest = None
+        kept = []
         for frame in rows:
-            us = frame["ts"].astype("datetime64[us]").astype("int64")
-            frame = self.keep(frame.assign(us=us))
-            if not len(frame):
-                continue
-            first = self.due(us.min())
-            earliest = first if earliest is None else min(earliest, first)
+            frame = self.keep(frame.assign(us=frame["ts"].astype("datetime64[us]").astype("int64")))
+            if len(frame):
+                kept.append(frame)
+        if kept:
+            frame = pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+            alarm, parts, seen = self._marked()
             for piece, part in frame.groupby(frame["us"] // (PIECE_MS * 1000)):
-                at = (int(piece),)
-                held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
-                self.waiting.updateValue(at, ([tuple(r) for r in held] + _tuples(part, self.fields),))
-        if earliest is not None:
-            self.wake(earliest)
+                parts += 1
+                self.waiting.updateValue((int(piece), parts), _pack(part, self.fields))
+            self.wake(self.due(frame["us"].min()), alarm, parts, seen)
         return iter(())
 
     def due(self, us: int) -> int:
@@ -66,23 +93,23 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        self.alarm.clear()
+        _, parts, seen = self._marked()
         self.load(key)
         earliest = None
-        for piece in sorted(at[0] for at in self.waiting.keys()):
+        for piece, keys in groupby(sorted(tuple(k) for k in self.waiting.keys()), key=lambda k: k[0]):
             first = piece * PIECE_MS
             if first <= now:
-                rows = pd.DataFrame(
-                    [tuple(r) for r in self.waiting.getValue((piece,))[0]], columns=self.fields.names
-                )
+                keys = list(keys)
+                rows = _unpack([self.waiting.getValue(k) for k in keys])
                 ready = rows["us"] <= (now * 1000 - 1 if self.whole_ms else now * 1000)
                 later = rows[~ready]
-                if not len(later):
-                    self.waiting.removeKey((piece,))
-                elif ready.any():
-                    self.waiting.updateValue((piece,), (_tuples(later, self.fields),))
                 if ready.any():
+                    for k in keys:
+                        self.waiting.removeKey(k)
+                    if len(later):
+                        self.waiting.updateValue(keys[0], _pack(later, self.fields))
                     complete = rows[ready].sort_values(list(self.order), kind="stable", ignore_index=True)
+                    seen = int(complete["us"].iloc[-1])
                     out = self.take(complete)
                     if len(out):
                         yield self.named(key, out)
@@ -90,9 +117,19 @@ class OrderedProcessor(StatefulProcessor):
                     continue
                 first = self.due(later["us"].min())
             earliest = first if earliest is None else min(earliest, first)
-        self.store()
-        if earliest is not None:
-            self.wake(max(earliest, now + 1))
+        silent = None if self.forget_us is None or seen is None else (seen + self.forget_us) // 1000 + 1
+        if silent is not None and now >= silent:
+            self.forget()
+            seen = silent = None
+        else:
+            self.store()
+        times = [t for t in (earliest, silent) if t is not None]
+        if times:
+            self.wake(max(min(times), now + 1), None, parts, seen)
+        elif seen is None:
+            self.mark.clear()
+        else:
+            self.mark.update((None, parts, seen))
 
     def named(self, key, out: pd.DataFrame) -> pd.DataFrame:
         for name, part in zip(self.key_names, key):
@@ -100,14 +137,13 @@ class OrderedProcessor(StatefulProcessor):
         out["ts"] = pd.to_datetime(out.pop("us"), unit="us")
         return out[self.output.names]
 
-    def wake(self, ms: int) -> None:
-        if self.alarm.exists():
-            (old,) = self.alarm.get()
-            if old <= ms:
-                return
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(ms)
-        self.alarm.update((ms,))
+    def wake(self, ms: int, alarm: int | None, parts: int, seen: int | None) -> None:
+        if alarm is None or alarm > ms:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            self.handle.registerTimer(ms)
+            alarm = ms
+        self.mark.update((alarm, parts, seen))
 
     def keep(self, frame: pd.DataFrame) -> pd.DataFrame:
         return frame
@@ -118,6 +154,9 @@ class OrderedProcessor(StatefulProcessor):
     def store(self) -> None:
         """Put it back afterwards."""
 
+    def forget(self) -> None:
+        """Clear it after a long silence."""
+
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -125,186 +164,182 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
-def _tuples(frame: pd.DataFrame, fields: T.StructType) -> list[tuple]:
-    """Rows as plain Python values, missing ones as None."""
-    columns = [frame[n].astype(object).where(frame[n].notna(), None).tolist() for n in fields.names]
-    return list(zip(*columns))
-
-
 def first_per_time(rows: pd.DataFrame, by: Sequence[str] = ("us",)) -> pd.DataFrame:
     return rows.drop_duplicates(list(by), keep="first", ignore_index=True)
 
 
+class Gate:
+    """The rate gate of one series, going on from the reading it held last."""
+
+    def __init__(self, max_rate: float, reset_us: int | None, last: tuple | None) -> None:
+        self.max_rate, self.reset_us, self.last = max_rate, reset_us, last
+
+    def fold(self, us: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gated values, and which readings were rejected."""
+        before = 0
+        if self.last is not None:
+            us, v, before = np.r_[self.last[0], us], np.r_[self.last[1], v], 1
+        stands = fold_gate(us, v, self.max_rate, self.reset_us)
+        known = np.flatnonzero(~np.isnan(v))
+        if len(known):
+            end = stands[known[-1]]
+            self.last = (int(us[end]), float(v[end]))
+        return v[stands][before:], (stands != np.arange(len(us)))[before:]
+
+
 class GateProcessor(OrderedProcessor):
     """De-duplicates by time and applies the rate gate to the gated sides."""
 
-    fields = T.StructType(
-        [
-            T.StructField("us", T.LongType()),
-            T.StructField("seq", T.LongType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("source", T.StringType()),
-            T.StructField("produced_at", T.DoubleType()),
-        ]
-    )
+    fields = _struct(us=LONG, seq=LONG, value=DOUBLE, source=T.StringType(), produced_at=DOUBLE)
 
     def __init__(self, key_names, output, gated: Sequence[str], max_rate: float, reset_us: int | None):
         self.key_names, self.output = key_names, output
         self.gated, self.max_rate, self.reset_us = tuple(gated), max_rate, reset_us
+        self.forget_us = reset_us
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.held = handle.getValueState(
-            "held",
-            T.StructType(
-                [
-                    T.StructField("us", T.LongType()),
-                    T.StructField("v", T.DoubleType()),
-                    T.StructField("rejected", T.LongType()),
-                ]
-            ),
-        )
+        self.held = handle.getValueState("held", _struct(us=LONG, v=DOUBLE, rejected=LONG))
 
     def load(self, key) -> None:
         self.open_gate = key[-1] in self.gated
-        self.last = self.held.get() if self.open_gate and self.held.exists() else None
+        held = tuple(self.held.get()) if self.open_gate and self.held.exists() else (None, None, 0)
+        self.gate = Gate(self.max_rate, self.reset_us, held[:2] if held[0] is not None else None)
+        self.rejected = held[2]
 
     def store(self) -> None:
-        if self.open_gate and self.last is not None:
-            self.held.update(self.last)
+        if self.open_gate and self.gate.last is not None:
+            self.held.update((*self.gate.last, self.rejected))
+
+    def forget(self) -> None:
+        self.held.clear()
 
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
         rows = first_per_time(rows)
         if not self.open_gate:
             return rows.assign(rejected=False, n_rejected=0)
-        us, v = rows["us"].to_numpy("int64"), rows["value"].to_numpy("float64")
-        before, so_far = 0, 0
-        if self.last is not None:
-            held_us, held_v, so_far = self.last
-            us, v, before = np.r_[held_us, us], np.r_[held_v, v], 1
-        stands = fold_gate(us, v, self.max_rate, self.reset_us)
-        rejected = (stands != np.arange(len(us)))[before:]
-        end = stands[-1]
-        self.last = (int(us[end]), float(v[end]), so_far + int(rejected.sum()))
-        return rows.assign(
-            value=v[stands][before:], rejected=rejected, n_rejected=so_far + rejected.cumsum()
-        )
+        gated, rejected = self.gate.fold(rows["us"].to_numpy("int64"), rows["value"].to_numpy("float64"))
+        counts = self.rejected + rejected.cumsum()
+        self.rejected = int(counts[-1])
+        return rows.assign(value=gated, rejected=rejected, n_rejected=counts)
 
 
-class CorrectProcessor(OrderedProcessor):
-    """Latest station reading not after each device reading, with fallback."""
+class CorrectionProcessor(OrderedProcessor):
+    """Both sides of a site in one state: gates the station and gives each device
+    reading the latest station reading not after it, with fallback."""
 
     order = ("us", "is_device", "seq")
     whole_ms = True
-    fields = T.StructType(
-        [
-            T.StructField("us", T.LongType()),
-            T.StructField("seq", T.LongType()),
-            T.StructField("is_device", T.BooleanType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("produced_at", T.DoubleType()),
-        ]
-    )
-
-    def __init__(self, key_names, output, device_side: str, tolerance_seconds: float):
+    fields = _struct(us=LONG, seq=LONG, is_device=T.BooleanType(), value=DOUBLE, produced_at=DOUBLE, stage=DOUBLE)
+
+    def __init__(self, key_names, output, device_side: str, tolerance_seconds: float, max_rate: float, forget_us: int | None):
         self.key_names, self.output = key_names, output
         self.device_side, self.tolerance = device_side, float(tolerance_seconds)
+        self.max_rate, self.forget_us = max_rate, forget_us
 
     def init(self, handle) -> None:
         super().init(handle)
         self.station = handle.getValueState(
-            "station",
-            T.StructType(
-                [
-                    T.StructField("us", T.LongType()),
-                    T.StructField("v", T.DoubleType()),
-                    T.StructField("produced", T.DoubleType()),
-                ]
-            ),
+            "station", _struct(held_us=LONG, held=DOUBLE, us=LONG, v=DOUBLE, produced=DOUBLE, stage=DOUBLE)
         )
 
     def load(self, key) -> None:
-        self.last = self.station.get() if self.station.exists() else None
+        known = tuple(self.station.get()) if self.station.exists() else None
+        self.gate = Gate(self.max_rate, self.forget_us, known[:2] if known and known[0] is not None else None)
+        self.last = known[2:] if known else None
 
     def store(self) -> None:
         if self.last is not None:
-            self.station.update(self.last)
+            self.station.update((*(self.gate.last or (None, None)), *self.last))
+
+    def forget(self) -> None:
+        self.station.clear()
 
     def keep(self, frame: pd.DataFrame) -> pd.DataFrame:
         return frame.assign(is_device=frame["side"] == self.device_side)
 
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
-        device = rows[rows["is_device"].astype(bool)]
-        station = rows[~rows["is_device"].astype(bool)]
-        us = station["us"].to_numpy("int64")
-        v = station["value"].to_numpy("float64")
-        produced = station["produced_at"].to_numpy("float64")
+        rows = first_per_time(rows, ["is_device", "us"])
+        is_device = rows["is_device"].to_numpy(bool)
+        device, station = rows[is_device], rows[~is_device]
+        gated, _ = self.gate.fold(station["us"].to_numpy("int64"), station["value"].to_numpy("float64"))
+        known = [station["us"].to_numpy("int64"), gated, station["produced_at"].to_numpy("float64"), station["stage"].to_numpy("float64")]
         if self.last is not None:
-            held = self.last
-            us, v, produced = np.r_[held[0], us], np.r_[held[1], v], np.r_[held[2], produced]
-        if len(us):
-            self.last = (int(us[-1]), float(v[-1]), float(produced[-1]))
+            known = [np.r_[old, new] for old, new in zip(self.last, known, strict=True)]
+        if len(known[0]):
+            self.last = (int(known[0][-1]), *(float(c[-1]) for c in known[1:]))
         # One row per millisecond, the last arrival stands.
         device = device.assign(ms=device["us"] // 1000).sort_values(["seq", "us"], kind="stable")
         device = device.drop_duplicates("ms", keep="last").sort_values("us", kind="stable")
-        at = device["us"].to_numpy("int64")
-        own = device["value"].to_numpy("float64")
-        last = np.searchsorted(us, at, side="right") - 1
-        found = last >= 0
-        hit = np.where(found, last, 0)
-        us, v, produced = (x if len(x) else np.zeros(1, x.dtype) for x in (us, v, produced))
-        skew = np.where(found, (at - us[hit]) / 1e6, 0.0)
+        at, own = device["us"].to_numpy("int64"), device["value"].to_numpy("float64")
+        place = np.searchsorted(known[0], at, side="right") - 1
+        hit = np.maximum(place, 0)
+        us, v, produced, stage = (c[hit] if len(c) else np.zeros(len(at), c.dtype) for c in known)
+        skew = (at - us) / 1e6
+        found = place >= 0
+        if self.forget_us is not None:
+            found &= at - us <= self.forget_us
         used = found & (skew <= self.tolerance)
         return pd.DataFrame(
             {
                 "us": at,
                 "temperature": own,
-                "suggested_temperature": np.where(used, v[hit], own),
+                "suggested_temperature": np.where(used, v, own),
                 "produced_at": device["produced_at"].to_numpy("float64"),
-                "produced_at_meteo": np.where(used, produced[hit], 0.0),
-                "time_difference": skew,
+                "produced_at_meteo": np.where(used, produced, 0.0),
+                "time_difference": np.where(found, skew, 0.0),
+                "meteo_stage": np.where(found, stage, 0.0),
                 "meteo_used": used,
             }
         )
 
 
+class ExactJoinProcessor(OrderedProcessor):
+    """Pairs rows of two sides that have the same time, the first arrival of each.
+
+    Both sides wait in one state under one watermark, so a side that is idle
+    holds nothing back; rows without a partner go when the watermark has
+    reached them.
+    """
+
+    order = ("us", "seq")
+
+    def __init__(self, key_names, output, fields: T.StructType, left: Sequence[str], right: Sequence[str]):
+        self.key_names, self.output, self.fields = key_names, output, fields
+        self.left, self.right = list(left), list(right)
+
+    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
+        once = first_per_time(rows, ["is_left", "us"])
+        is_left = once["is_left"].to_numpy(bool)
+        return once[is_left][["us", *self.left]].merge(once[~is_left][["us", *self.right]], on="us")
+
+
 class FeatureProcessor(OrderedProcessor):
     """Channel features of base rows; see ``fused_features`` for their meaning."""
 
-    fields = T.StructType(
-        [
-            T.StructField("us", T.LongType()),
-            T.StructField("seq", T.LongType()),
-            T.StructField("channel", T.StringType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("produced_at", T.DoubleType()),
-        ]
-    )
-    _READING = T.StructType(
-        [
-            T.StructField("us", T.LongType()),
-            T.StructField("seq", T.LongType()),
-            T.StructField("channel", T.StringType()),
-            T.StructField("v", T.DoubleType()),
-        ]
-    )
-
-    def __init__(self, key_names, output, features, pumps, window_us: int):
+    fields = _struct(us=LONG, seq=LONG, channel=T.StringType(), value=DOUBLE, produced_at=DOUBLE)
+    _READING = _struct(us=LONG, seq=LONG, channel=T.StringType(), v=DOUBLE)
+
+    def __init__(self, key_names, output, features, pumps, window_us: int, forget_us: int | None = None):
         self.key_names, self.output = key_names, output
         # Plain tuples travel to the workers.
         self.features = [(f.quantity, f.stat, f.carry_forward) for f in features]
-        self.pumps, self.width = list(pumps), window_us
+        self.pumps, self.width, self.forget_us = list(pumps), window_us, forget_us
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.recent = handle.getListState("recent", self._READING)
+        self.recent = handle.getValueState("recent", BYTES)
 
     def load(self, key) -> None:
-        self.old = pd.DataFrame(list(self.recent.get()), columns=self._READING.names)
+        known = self.recent.exists()
+        self.old = _unpack([self.recent.get()]) if known else pd.DataFrame(columns=self._READING.names)
 
     def store(self) -> None:
         if len(self.old):
-            self.recent.put(_tuples(self.old, self._READING))
+            self.recent.update(_pack(self.old, self._READING))
+
+    def forget(self) -> None:
+        self.recent.clear()
 
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
         is_base = rows["channel"].isna()
@@ -327,6 +362,8 @@ class FeatureProcessor(OrderedProcessor):
         # Keep what later windows reach, and the last reading of each channel.
         horizon = int(rows["us"].max()) - self.width
         last = ~read.duplicated("channel", keep="last")
+        if self.forget_us is not None:
+            last &= read["us"] >= int(rows["us"].max()) - self.forget_us
         self.old = read[(read["us"] >= horizon) | last]
         out = {"us": at, "seq": base["seq"].to_numpy("int64"), "temperature": base["value"].to_numpy("float64")}
         return pd.DataFrame({**out, "produced_at": base["produced_at"].to_numpy("float64"), **made})
@@ -336,7 +373,10 @@ class FeatureProcessor(OrderedProcessor):
         high = np.searchsorted(us, at, side="right")
         n = high - low
         us, v = np.r_[us, 0], np.r_[v, 0.0]
-        seen = np.where(high > 0, v[high - 1], 0.0)
+        known = high > 0
+        if self.forget_us is not None:
+            known &= at - us[high - 1] <= self.forget_us
+        seen = np.where(known, v[high - 1], 0.0)
         if stat == "latest":
             return {channel: seen}
         if stat == "mean":

@@ -5,12 +5,15 @@ import uuid
 
 import pytest
 from helpers import at
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from sensorlab.functions.wire import LAYOUTS, correction_record
 from sensorlab.operators.asof import asof_correct
 from sensorlab.operators.features import Feature, fused_features
 from sensorlab.operators.gate import rate_gate
 from sensorlab.operators.sets import dedup_first
+from sensorlab.plans.correction import correct_device
 from sensorlab.streaming import jobs
 
 SCHEMA = "site long, ts timestamp, value double, seq long, produced_at double, source string"
@@ -165,15 +168,142 @@ def test_dedup_within_the_delay(spark, tmp_path):
 
 
 def test_exact_join_of_streams(spark, tmp_path):
-    left = [(0, at(s), 1.0, s, 0.0, "device") for s in (0, 60, 120)]
-    right = [(0, at(s), 2.0, s, 0.0, "station") for s in (60, 90, 120)]
+    """Each side's first arrival of a time, with the values of both."""
+    left = [(0, at(s), 1.0 + s, s, 0.0, "device") for s in (0, 60, 120)]
+    right = [(0, at(s), 2.0 + s, s, 0.0, "station") for s in (60, 90, 120)]
     folder = str(tmp_path / "in")
-    write_files(spark, folder, [left + right, right])
+    write_files(spark, folder, [left + right, [(0, at(120), -1.0, 900, 0.0, "station")], right, closing()])
+    rows = source(spark, folder)
+    a = rows.filter("source = 'device'").select("site", "ts", "seq", F.col("value").alias("a"))
+    b = rows.filter("source = 'station'").select("site", "ts", "seq", F.col("value").alias("b"), F.col("source").alias("kind"))
+    done, _ = run(spark, jobs.exact_join_stream(a, b, ["site"], seq="seq"), tmp_path)
+    assert as_rows(done, "ts", "a", "b", "kind") == [(at(60), 61.0, 62.0, "station"), (at(120), 121.0, 122.0, "station")]
+
+
+def test_an_idle_side_holds_nothing_back(spark, tmp_path):
+    """The station stops; the device's later rows alone move the watermark on."""
+    folder = str(tmp_path / "in")
+    pairs = [(0, at(s), 1.0, s, 0.0, side) for s in (0, 60) for side in ("device", "station")]
+    write_files(spark, folder, [pairs, [(0, at(s), 1.0, s, 0.0, "device") for s in range(120, 3600, 60)], [(0, at(3600), 1.0, 3600, 0.0, "device")]])
     rows = source(spark, folder)
     a = rows.filter("source = 'device'").select("site", "ts", F.col("value").alias("a"))
     b = rows.filter("source = 'station'").select("site", "ts", F.col("value").alias("b"))
-    done, _ = run(spark, jobs.exact_join_stream(a, b, ["site"]), tmp_path)
-    assert as_rows(done, "ts") == [(at(60),), (at(120),)]
+    done, progress = run(spark, jobs.exact_join_stream(a, b, ["site"]), tmp_path)
+    assert as_rows(done, "ts") == [(at(0),), (at(60),)]
+    (operator,) = progress[-1].stateOperators  # one stateful step
+    assert operator.numRowsTotal <= 3  # the rows of the last minutes, their mark and timer
+
+
+def parted(df):
+    return (df.filter(F.col("source") == s) for s in ("device", "station"))
+
+
+def test_correction_has_one_stateful_step_and_carries_the_stage(spark, tmp_path):
+    rows = readings(150, 11)
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, [*chunks(rows, 50), closing()])
+    device, station = parted(source(spark, folder))
+    station = station.withColumn("stage", F.pmod("seq", F.lit(5)) / 4)
+    done, progress = run(spark, jobs.correction_job(device, station, ["site"], "1 minute", 120), tmp_path)
+    assert {len(p.stateOperators) for p in progress} == {1}
+    df = spark.createDataFrame(rows, SCHEMA)
+    device, station = parted(df)
+    station = station.withColumn("stage", F.pmod("seq", F.lit(5)) / 4)
+    twin = correct_device(device, station, ["site"], 120)
+    columns = [*COLUMNS, "produced_at", "produced_at_meteo", "meteo_stage", "meteo_used"]
+    assert as_rows(done.filter("site >= 0"), *columns) == as_rows(twin, *columns)
+    record = correction_record(done, ["site"], now=F.lit(1000.0))
+    assert record.columns[1:] == LAYOUTS["corrected"]
+    assert all(r["processing_time_meteo"] == pytest.approx(1000 - p["produced_at_meteo"]) for r, p in zip(record.collect(), done.collect(), strict=True))
+
+
+def silent_rows():
+    """Two stretches an hour apart, the second on another level."""
+    return [(0, at(s), 10.0 + s / 600, s, s / 10, side) for s in (0, 60, 120) for side in ("device", "station")] + [
+        (0, at(3720 + s), 900.0, 3720 + s, 1.0, side) for s in (0, 60) for side in ("device", "station")
+    ]
+
+
+@pytest.mark.parametrize("forget", [None, 1200])
+def test_silent_series_are_forgotten(spark, tmp_path, forget):
+    """After the silence a level is accepted anew, as in batch; no state is left at the end."""
+    rows = silent_rows()
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, [rows[:6], rows[6:], closing(), [(-2, at(2 * FAR), 0.0, -2, 0.0, "device")]])
+    device, station = parted(source(spark, folder))
+    job = jobs.correction_job(device, station, ["site"], "1 second", 300, forget_after_seconds=forget)
+    done, progress = run(spark, job, tmp_path)
+    device, station = parted(spark.createDataFrame(rows, SCHEMA))
+    twin = correct_device(device, station, ["site"], 300, forget_after_seconds=forget)
+    assert as_rows(done.filter("site >= 0"), *COLUMNS) == as_rows(twin, *COLUMNS)
+    last = done.filter(F.col("ts") == F.lit(at(3720))).first()
+    assert last.suggested_temperature == (900.0 if forget else pytest.approx(10.2))
+    left = progress[-1].stateOperators[0].numRowsTotal
+    # The newest row still waits: its part, mark and timer.
+    assert left <= 3 if forget else left > 3
+
+
+def test_forgetting_gate_and_features(spark, tmp_path):
+    rows = silent_rows()
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, [rows[:6], rows[6:], closing(), [(-2, at(2 * FAR), 0.0, -2, 0.0, "device")]])
+    device, _ = parted(source(spark, folder))
+    done, progress = run(spark, jobs.sensor_gate_job(device, ["site"], reset_after_seconds=1200), tmp_path, "gate")
+    twin = rate_gate(next(parted(spark.createDataFrame(rows, SCHEMA))), ["site"], seq="seq", reset_after_seconds=1200)
+    twin = twin.withColumn("value", F.col("gated_value"))
+    assert as_rows(done.filter("site >= 0"), "seq", "value", "rejected") == as_rows(twin, "seq", "value", "rejected")
+    assert progress[-1].stateOperators[0].numRowsTotal <= 3
+
+    def sides(df):
+        base, read = parted(df)
+        return base.withColumnRenamed("value", "temperature"), read.filter("seq < 3000").withColumns({"quantity": F.lit("fanh"), "pump": F.lit(0)})
+
+    wanted = [Feature("fanh", "latest")]
+    made, progress = run(spark, jobs.feature_job(*sides(source(spark, folder)), ["site"], wanted, pumps=(0,), forget_after_seconds=1200), tmp_path, "features")
+    twin = fused_features(*sides(spark.createDataFrame(rows, SCHEMA)), ["site"], wanted, seq="seq", pumps=(0,), forget_after_seconds=1200)
+    assert as_rows(made.filter("site >= 0"), "seq", "fanh_tc0") == as_rows(twin, "seq", "fanh_tc0")
+    assert [r.fanh_tc0 for r in twin.orderBy("ts").collect()][-2:] == [0.0, 0.0]
+    assert progress[-1].stateOperators[0].numRowsTotal <= 3
+
+
+def test_parts_are_only_added(spark, tmp_path):
+    """A micro-batch touches no rows kept before: one new part for each day it holds."""
+    rows = [(0, at(s), float(s), s, 0.0, "device") for s in range(0, 600, 10)]
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, chunks(rows, 10))
+    device, station = parted(source(spark, folder))
+    _, progress = run(spark, jobs.correction_job(device, station, ["site"], "1 day"), tmp_path)
+    updated = [p.stateOperators[0].numRowsUpdated for p in progress if p.numInputRows]
+    assert len(updated) == 6 and max(updated) <= 4  # part, mark, timer, its index
+    assert progress[-1].stateOperators[0].numRowsTotal >= 6
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path, monkeypatch):
+    """The second batch fails behind its write, before its mark: after a restart every row is there once."""
+    rows = readings(90, 12)
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_files(spark, folder, chunks(rows, 30))
+    df = source(spark, folder).select("site", "ts", "seq", "value")
+    real, calls = jobs.mark, []
+
+    def failing(spark_, done, number):
+        calls.append(number)
+        if number == 1 and calls.count(1) == 1:
+            raise RuntimeError("lost")
+        real(spark_, done, number)
+
+    monkeypatch.setattr(jobs, "mark", failing)
+    with pytest.raises(StreamingQueryException):
+        jobs.start_once(df, out, state).awaitTermination()
+    assert jobs.read_once(spark, out, df.schema).count() == 30  # what failed half-way does not show
+    jobs.start_once(df, out, state).awaitTermination()
+    assert calls == [0, 1, 1, 2]
+    done = jobs.read_once(spark, out, df.schema)
+    assert sorted(r.seq for r in done.collect()) == list(range(90))
+    # A batch whose mark is there, but not the query's own, is not written again.
+    jobs.start_once(df, out, str(tmp_path / "state-lost")).awaitTermination()
+    assert jobs.read_once(spark, out, df.schema).count() == 90
+    assert jobs.read_once(spark, str(tmp_path / "nothing"), df.schema).count() == 0
 
 
 def test_merge_keeps_all_rows(spark, tmp_path):
