@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from sensorlab.operators.sets import observed_filter
 from sensorlab.operators.slices import BLOCK, SlicePlan, drop_margin, row_blocks, tie_order
 
 # Scales a mean absolute deviation to a standard deviation (fixed value).
@@ -74,9 +75,11 @@ def mad_filter(
     ts: str = "ts",
     seq: str | None = None,
     plan: SlicePlan | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Keep rows strictly closer to the rolling mean than ``n_sigma`` scaled
-    deviations; rows without statistics, and flat stretches, are dropped."""
+    deviations; rows without statistics, and flat stretches, are dropped.
+    ``observation`` counts the rows that come in and stay."""
     stats = rolling_mad(df, key, value, k, min_periods, ts, seq, plan)
     off = F.abs(F.col(value) - F.col("rolling_mean"))
-    return stats.filter(off < F.lit(n_sigma * MAD_SCALE) * F.col("rolling_mad")).select(*df.columns)
+    return observed_filter(stats, off < F.lit(n_sigma * MAD_SCALE) * F.col("rolling_mad"), observation).select(*df.columns)

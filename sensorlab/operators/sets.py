@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sensorlab.operators.slices import (
@@ -65,6 +65,13 @@ def keep_unique(df: DataFrame, key: Sequence[str], ts: str = "ts") -> DataFrame:
     return once.select(*[F.col(f"_row.{c}").alias(c) if c in others else F.col(c) for c in df.columns])
 
 
+def observed_filter(df: DataFrame, keep: Column, observation: Observation | None = None) -> DataFrame:
+    """The rows to keep; ``observation`` gets ``n_rows`` and ``n_kept`` as they pass, without a second look."""
+    if observation is not None:
+        df = df.observe(observation, F.count(F.lit(1)).alias("n_rows"), F.count_if(keep).alias("n_kept"))
+    return df.filter(keep)
+
+
 def distinct_times(df: DataFrame, key: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     return df.select(*key, ts).distinct()
 

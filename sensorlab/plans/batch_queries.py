@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlab.functions import wire
@@ -12,7 +13,9 @@ from sensorlab.operators import asof, features, gate, profile, resample, rolling
 from sensorlab.plans import views
 from sensorlab.plans.correction import correct_device
 from sensorlab.plans.training import training_rows as training_table
-from sensorlab.sources import catalog
+from sensorlab.plans import model as model_features
+from sensorlab.session import fresh_folder, stored
+from sensorlab.sources import catalog, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,6 +173,57 @@ def catalog_extract(spark, folder):
     return catalog.extract_catalog(views.points(spark, folder), sensors).drop("output_dir")
 
 
+def own_days(sensors: DataFrame) -> DataFrame:
+    """The catalog with other days for each pump."""
+    pump = wire.pump_index(F.col("name"))
+    return sensors.withColumns({"days": F.coalesce(pump * 3 + 2, F.lit(4)), "ignore": F.lit(False), "output_dir": F.col("measurement")})
+
+
+OWN_DAYS = """own AS (SELECT p.entity_id, p.measurement, p.time, p.value FROM points p WHERE time < TIMESTAMP '2024-01-20 06:00:00'
+  AND time > TIMESTAMP '2024-01-20 06:00:00' - to_days(CASE WHEN entity_id LIKE 'xcc_tcstav%' THEN CAST(substr(entity_id, 11, 1) AS INT) * 3 + 2 ELSE 4 END))"""
+
+
+def stored_points(spark, folder):
+    path = fresh_folder(spark, "points")
+    catalog.store_points(views.points(spark, folder), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT entity_id, measurement, time, value, measurement AS output_dir FROM own", POINTS, OWN_DAYS)
+def extract_days(spark, folder):
+    """Each sensor's own last days, from points stored by sensor and day."""
+    sensors = own_days(catalog.sensor_catalog(spark))
+    return catalog.extract_days(stored_points(spark, folder), sensors, "2024-01-20 06:00:00").drop("description")
+
+
+@query("SELECT entity_id, measurement AS output_dir, time, value FROM own", POINTS, OWN_DAYS)
+def export_files(spark, folder):
+    """The same, written as CSV by output folder and sensor, and read back."""
+    sensors = own_days(catalog.sensor_catalog(spark))
+    root = fresh_folder(spark, "export")
+    catalog.export_extract(catalog.extract_days(stored_points(spark, folder), sensors, "2024-01-20 06:00:00"), root)
+    rows = files.read_readings_csv(spark, root).withColumn("value", F.col("value").cast("double"))
+    return views.naive(rows.select("entity_id", "output_dir", "time", "value"))
+
+
+@query(
+    """SELECT CASE WHEN entity_id LIKE 'gw%' THEN 'JOM' ELSE 'pump' END AS label,
+       CASE WHEN entity_id LIKE 'gw%' THEN 'Gw1100a Outdoor Temperature' ELSE 'Xcc Tcstav0 Tl' END AS series, time, value FROM points
+       WHERE entity_id IN ('gw1100a_outdoor_temperature', 'xcc_tcstav0_tl') AND time >= TIMESTAMP '2024-01-03' AND time <= TIMESTAMP '2024-01-20'""",
+    POINTS,
+)
+def series_files(spark, folder):
+    """Two series of one collection, written and read as CSV; a third one is missing."""
+    root = fresh_folder(spark, "series")
+    wanted = [("teplota", "gw1100a_outdoor_temperature.csv", "JOM"), ("tl", "xcc_tcstav0_tl.csv", "pump"), ("tl", "none.csv", "none")]
+    for place, name, _ in wanted[:2]:
+        rows = views.points(spark, folder).filter(F.col("entity_id") == name.removesuffix(".csv")).select("time", "value")
+        files.write_csv(rows, f"{root}/sarze_1/{place}/{name}")
+    rows, missing = files.read_series(spark, root, 1, wanted, "2024-01-03 00:00:00", "2024-01-20 00:00:00")
+    assert len(missing) == 1
+    return views.naive(rows.select("label", "series", "time", "value"))
+
+
 @query(
     """SELECT measurement, count(value) AS n_points FROM points
        WHERE entity_id = 'xcc_tcstav2_fanh' GROUP BY 1 ORDER BY 1 LIMIT 1""",
@@ -749,6 +803,65 @@ def training_rows(spark, folder):
     return views.rounded(done)
 
 
+M2_COLUMNS = ["temperature", *model_features.RATE_FEATURES[1:]]
+M2_COLUMNS = [c for c in M2_COLUMNS if c not in ("fanh_tc2_rate", "fanh_tc3_rate")]
+
+
+def _shifts(c: str) -> str:
+    means = (f"round(avg({c}) OVER (PARTITION BY site ORDER BY ts, seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS {c}_roll{n}_mean" for n in (3, 6))
+    return ", ".join([f"lag({c}, {n}) OVER w AS {c}_lag{n}" for n in (1, 2)] + list(means))
+
+
+M2_RATES = SQL["fused_rates"].removeprefix(f"WITH RECURSIVE {READINGS}, {DEVICE}, {CHANNELS}\n").replace(", 6)", ", 4)")
+M2_MERGED = f"""merged AS (SELECT site, ts, seq, {", ".join(M2_COLUMNS)} FROM ({M2_RATES})
+    QUALIFY row_number() OVER (PARTITION BY site, ts ORDER BY seq % 3 = 0, seq) = 1)"""
+
+
+@query(
+    f"""SELECT * EXCLUDE (rn) FROM (SELECT *, {", ".join(_shifts(c) for c in M2_COLUMNS)},
+    row_number() OVER w AS rn FROM (SELECT m.*, temperature_delta FROM merged m JOIN (SELECT site, seq, temperature_delta FROM labelled) USING (site, seq))
+    WINDOW w AS (PARTITION BY site ORDER BY ts, seq)) WHERE rn > 6""",
+    READINGS,
+    DEVICE,
+    METEO,
+    CHANNELS,
+    CLEAN,
+    M2_MERGED,
+    TRAINING,
+)
+def training_table_m2(spark, folder):
+    """Two exports of 23 columns merged, matched, labelled, and 92 columns derived from them."""
+    made = features.fused_features(
+        views.base(spark, folder), views.channels(spark, folder), SITE, RATE_FEATURES, seq="seq", window_seconds=12 * HOUR
+    )
+    rows = stored(views.rounded(made, 4).select("site", "ts", "seq", *M2_COLUMNS), "export")
+    station = views.of_type(spark, folder, "click").select("site", "ts", "value", "seq")
+    exports = [rows.filter(F.col("seq") % 3 != 0), rows]
+    return views.rounded(training_table(exports, station, SITE, M2_COLUMNS, seq="seq", gap_seconds=2 * HOUR))
+
+
+@query(
+    """SELECT 'outliers' AS step, (SELECT count(*) FROM meteo) AS n_rows, (SELECT count(*) FROM meteo) - (SELECT count(*) FROM clean) AS n_removed
+       UNION ALL SELECT 'unmatched', (SELECT count(*) FROM merged), (SELECT count(*) FROM merged) - (SELECT count(*) FROM labelled)""",
+    READINGS,
+    METEO,
+    CLEAN,
+    MERGED,
+    TRAINING,
+)
+def removed_rows(spark, folder):
+    """What the filters of the training table removed, counted while it was made."""
+    watch = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("outliers", "unmatched")}
+    exports = [
+        views.of_type(spark, folder, k).select("site", "ts", F.col("value").alias("temperature"), "seq")
+        for k in ("view", "error")
+    ]
+    station = views.of_type(spark, folder, "click").select("site", "ts", "value", "seq")
+    training_table(exports, station, SITE, ["temperature"], seq="seq", gap_seconds=2 * HOUR, observed=watch)
+    rows = [(name, o.get["n_rows"], o.get["n_rows"] - o.get["n_kept"]) for name, o in watch.items()]
+    return spark.createDataFrame(rows, "step string, n_rows long, n_removed long")
+
+
 # -- resampling ------------------------------------------------------------------
 
 # Sums are taken over exact decimals on both sides.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorlab.operators.slices import estimated_bytes
 from sensorlab.schemas import SENSOR
+from sensorlab.sources.files import write_csv
 
 # Sensors outside the pumps: name, description (fixed values).
 OUTDOOR_SENSORS = [
@@ -116,6 +117,37 @@ def extract_catalog(
     return found.drop("days")
 
 
+def store_points(points: DataFrame, path: str) -> None:
+    """Write points by sensor and day; a full day of a busy sensor may be written by several tasks."""
+    days = points.withColumn("day", F.to_date("time"))
+    days.hint("rebalance", "entity_id", "day").write.mode("overwrite").partitionBy("entity_id", "day").parquet(path)
+
+
+def extract_days(points: DataFrame, catalog: DataFrame, until: str) -> DataFrame:
+    """Of each sensor that isn't ignored, the points of its own last ``days`` before ``until``.
+
+    ``points`` are partitioned by ``entity_id`` and ``day``, as `store_points`
+    writes them. The catalog becomes the sensors' days; joined on both, they
+    reach the scan at run time, which then opens these folders only.
+    """
+    last = F.lit(until).cast("timestamp")
+    days = F.sequence(F.to_date(last - F.make_dt_interval(F.col("days"))), F.to_date(last))
+    wanted = catalog.filter(~F.col("ignore") & (F.col("days") > 0)).select(
+        F.col("name").alias("entity_id"), "measurement", "description", "output_dir", "days", F.explode(days).alias("day")
+    )
+    if estimated_bytes(wanted) <= BROADCAST_LIMIT_BYTES:
+        wanted = F.broadcast(wanted)
+    found = points.join(wanted, ["entity_id", "day", "measurement"])
+    t = F.col("time").cast("timestamp")
+    return found.filter((t > last - F.make_dt_interval(F.col("days"))) & (t < last)).drop("days", "day")
+
+
+def export_extract(found: DataFrame, root: str) -> int:
+    """Write an extract as CSV: the sensor's ``output_dir`` and name as folders below ``root``; the number of rows."""
+    rows = found.select("output_dir", "entity_id", "time", "value")
+    return write_csv(rows.hint("rebalance", "output_dir", "entity_id"), root, ["output_dir", "entity_id"])
+
+
 def count_per_measurement(points: DataFrame, entity: str) -> DataFrame:
     """Measurements that hold points of a sensor, with their number."""
     held = points.filter(F.col("entity_id") == entity).groupBy("measurement")

@@ -56,11 +56,14 @@ def read_series(
         empty = spark.createDataFrame([], SENSOR_CSV)
         return empty.withColumns({"series": F.lit(""), "label": F.lit("")}), missing
     rows = read_readings_csv(spark, [path for path, _ in found.values()])
+    path = F.col("_path")
     rows = rows.withColumn("_path", F.col("_metadata.file_path"))
-    label = F.lit(None).cast("string")
+    label, series = F.lit(None).cast("string"), F.lit(None).cast("string")
     for ending, (_, name) in found.items():
-        label = F.when(F.col("_path").endswith(f"/{ending}"), F.lit(name)).otherwise(label)
-    rows = rows.withColumns({"label": label, "series": series_label(F.col("_path"))}).drop("_path")
+        # The name may be that of a file or of a folder of part files.
+        here = path.endswith(f"/{ending}") | path.contains(f"/{ending}/")
+        label, series = F.when(here, F.lit(name)).otherwise(label), F.when(here, series_label(F.lit(ending))).otherwise(series)
+    rows = rows.withColumns({"label": label, "series": series}).drop("_path")
     if start is not None:
         rows = rows.filter(F.col("time") >= F.lit(start).cast("timestamp"))
     if end is not None:
@@ -78,5 +81,6 @@ def write_csv(
     writer = counted.write.mode(mode).option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+    plain = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    writer.option("timestampFormat", f"{plain}XXX").option("timestampNTZFormat", plain).csv(path)
     return observed.get["n"]
