@@ -127,8 +127,9 @@ def extract_days(points: DataFrame, catalog: DataFrame, until: str) -> DataFrame
     """Of each sensor that isn't ignored, the points of its own last ``days`` before ``until``.
 
     ``points`` are partitioned by ``entity_id`` and ``day``, as `store_points`
-    writes them. The catalog becomes the sensors' days; joined on both, they
-    reach the scan at run time, which then opens these folders only.
+    writes them. The catalog becomes the sensors' days; joined on both, sensors
+    and days reach the scan at run time, which opens the wanted days of the
+    wanted sensors only. A catalog whose size Spark can't tell should be stored.
     """
     last = F.lit(until).cast("timestamp")
     days = F.sequence(F.to_date(last - F.make_dt_interval(F.col("days"))), F.to_date(last))

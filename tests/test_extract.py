@@ -25,10 +25,12 @@ def stored(spark, tmp_path_factory):
 
 
 def sensors(spark, days):
-    names = [f"xcc_tcstav{p}_tl" for p in days]
-    rows = [(n, "°C", "", d, f"out{d}/", False) for n, d in zip(names, days.values(), strict=True)]
-    rows.append(("xcc_tcstav0_tl2", "°C", "", 50, "none/", True))
-    return spark.createDataFrame(rows, "name string, measurement string, description string, days int, output_dir string, ignore boolean")
+    name = F.col("name")
+    own = F.lit(0)
+    for p, n in days.items():
+        own = F.when(name == f"xcc_tcstav{p}_tl", n).otherwise(own)
+    wanted = name.isin(*[f"xcc_tcstav{p}_tl" for p in days])
+    return catalog.sensor_catalog(spark).withColumns({"days": own, "output_dir": F.concat(F.lit("out"), own.cast("string"), F.lit("/")), "ignore": ~wanted})
 
 
 def files_read(df):
@@ -51,13 +53,14 @@ def files_read(df):
     raise AssertionError("no scan")
 
 
-def test_each_sensor_opens_its_own_days_only(spark, stored):
+def test_only_wanted_sensors_and_days_are_opened(spark, stored):
     points, table = stored
     found = catalog.extract_days(table, sensors(spark, {0: 1, 1: 4}), str(at(0)))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
     _, folders = files_read(found)
-    assert folders == 2 + 5  # one day from midnight back touches two dates, of 21 x 3 folders
+    # Sensors and days prune one by one: two sensors, the five dates of the longer one, of 3 x 21 folders.
+    assert folders == 2 * 5
     counts = dict(values(found.groupBy("entity_id").count(), "entity_id", "count", order=("entity_id",)))
     assert counts == {"xcc_tcstav0_tl": 3, "xcc_tcstav1_tl": 15}
 
