@@ -1,5 +1,6 @@
 """Decontamination, quality, toxicity, licences."""
 
+import itertools
 import random
 
 import numpy as np
@@ -16,50 +17,105 @@ def leak_pairs(df):
     return {(r["doc_id"], r["item_id"]) for r in df.collect()}
 
 
-def test_leaks_equal_brute_force(spark, documents):
-    items = {i: prose(500 + i, 15 + 3 * i) for i in range(8)} | {20: prose(600, 7), 21: "only four words here"}
-    texts = {}
-    rng = random.Random(1)
-    for i in range(8):
-        words = items[i].split()
-        for _ in range(i):  # substitutions, more with each item
-            words[rng.randrange(len(words))] = "other"
-        texts[i] = prose(i, 40) + " " + " ".join(words).upper() + "! " + prose(50 + i, 40)
-        texts[100 + i] = " ".join(items[i].split()[: 9 + i])
-    texts |= {30: "x " + items[20] + " y", 31: "only four words here", **{200 + i: t for i, t in enumerate(odd_texts())}}
-    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(documents(list(texts.items())), spark.createDataFrame(list(items.items()), BENCH)).collect()}
+def longest_by_trying(a, b, percent=80):
+    """Length and matches of the longest aligned stretch of two rows of words, all beginnings and ends tried; ties the first."""
+    same = [x == y for x, y in zip(a, b, strict=True)]
+    best = (0, 0)
+    for i in range(len(same)):
+        for j in range(i + 1, len(same) + 1):
+            n = sum(same[i:j])
+            if same[i] and same[j - 1] and 100 * n >= percent * (j - i) and j - i > best[0]:
+                best = (j - i, n)
+    return best
+
+
+def plain(text):
+    return [w.strip(".!").lower() for w in (text or "").split()]
 
-    def plain(text):
-        return [w.strip(".!").lower() for w in (text or "").split()]
 
+def brute_leaks(texts, items, least=13):
+    """Every shift of every item along every text."""
     want = {}
     for d, text in texts.items():
         for i, item in items.items():
             a, b = plain(text), plain(item)
-            if len(b) < decontaminate.SHORTEST or len(a) > 5_000:
-                continue
             longest = (0, 0)
             for shift in range(-len(b) + 1, len(a)):
                 low, high = max(0, -shift), min(len(b), len(a) - shift)
-                n = decontaminate.longest_overlap(np.array(a[low + shift : high + shift]), np.array(b[low:high]), 80)
-                longest = max(longest, n[1:])
-            if longest[0] >= min(13, len(b)):
+                if sum(x == y for x, y in zip(a[low + shift : high + shift], b[low:high], strict=True)):
+                    longest = max(longest, longest_by_trying(a[low + shift : high + shift], b[low:high]))
+            if b and longest[0] >= min(least, len(b)):
                 want[d, i] = longest
-    assert got.keys() <= want.keys()
-    # A pair may have no seed in common only if a substitution is in every one of them.
-    assert {k for k in want if want[k][0] == want[k][1]} <= got.keys()
-    assert len(want.keys() - got.keys()) <= 1 and len(got) > 12
-    assert all((r["n_words"], r["n_matches"]) == want[k] for k, r in got.items())
+    return want
+
+
+def test_leaks_equal_brute_force(spark, documents):
+    items = {i: prose(500 + i, 15 + 3 * i) for i in range(8)} | {20: prose(600, 7), 21: "only four words here", 22: "unheard-of", 23: "two here"}
+    texts = {}
+    rng = random.Random(1)
+    for i in range(8):
+        words = items[i].split()
+        for _ in range(i):  # substitutions, more with each item
+            words[rng.randrange(len(words))] = "other"
+        texts[i] = prose(i, 40) + " " + " ".join(words).upper() + "! " + prose(50 + i, 40)
+        texts[100 + i] = " ".join(items[i].split()[: 9 + i])
+    texts |= {30: "x " + items[20] + " y", 31: "only four words here", 32: "ta unheard-of re", **{200 + i: t for i, t in enumerate(odd_texts())}}
+    short = {d: t for d, t in texts.items() if len(t or "") < 5_000}
+    found = decontaminate.find_leaks(documents(list(texts.items())), spark.createDataFrame(list(items.items()), BENCH)).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["n_matches"]) for r in found if r["doc_id"] in short}
+    assert got == brute_leaks(short, items) and len(got) > 12
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 12, 13])
+def test_no_pattern_of_substitutions_escapes(spark, documents, n):
+    """All ways to replace a fifth of the words of a short item."""
+    words = [f"w{n}x{i}" for i in range(n)]
+    texts = []
+    for places in itertools.combinations(range(n), n // 5):
+        copy = list(words)
+        for p in places:
+            copy[p] = f"other{p}"
+        texts.append("before it " + " ".join(copy) + " behind it")
+    found = decontaminate.find_leaks(documents(texts), spark.createDataFrame([(1, " ".join(words))], BENCH)).collect()
+    # A substitution at an end shortens the overlap: then the item isn't there as a whole.
+    whole = {i for i, t in enumerate(texts) if longest_by_trying(t.split()[2:-2], words)[0] >= min(13, n)}
+    assert {r["doc_id"] for r in found} == whole and len(whole) > 0
+
+
+def test_sampled_substitutions_of_longer_items(spark, documents):
+    rng = random.Random(4)
+    items = {n: " ".join(f"i{n}w{k}" for k in range(n)) for n in range(14, 41)}
+    texts = []
+    for n, item in items.items():
+        for _ in range(12):
+            copy = item.split()
+            for p in rng.sample(range(n), n // 5):
+                copy[p] = "other"
+            texts.append((len(texts), " ".join(copy)))
+    want = {(d, n) for d, t in texts for n in [int(next(w for w in t.split() if w != "other").split("w")[0][1:])] if longest_by_trying(t.split(), items[n].split())[0] >= 13}
+    found = decontaminate.find_leaks(documents(texts), spark.createDataFrame(list(items.items()), BENCH)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(want) > 250
+
+
+def test_a_long_item_and_a_repetitive_one(spark, documents):
+    """20,000 words, every tenth replaced; and one word repeated, which hits at all shifts."""
+    rng = random.Random(5)
+    item = [f"v{rng.randrange(5_000)}" for _ in range(20_000)]
+    copy = [w if i % 10 else "other" for i, w in enumerate(item)]
+    docs = documents([(1, "x " * 50 + " ".join(copy)), (2, "ta " * 3_000), (3, "clean")])
+    rows = decontaminate.find_leaks(docs, spark.createDataFrame([(1, " ".join(item)), (2, "ta " * 400)], BENCH)).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["n_matches"]) for r in rows}
+    assert found == {(1, 1): (51, 19_999, 18_000), (2, 2): (0, 400, 400)}
 
 
 def test_longest_overlap_is_the_longest():
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        same = rng.random(30) < 0.7
-        a, b = np.ones(30), np.where(same, 1, 0)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.7, 0.85])
+        a, b = np.ones(len(same)), np.where(same, 1, 0)
         start, n, matches = decontaminate.longest_overlap(a, b, 80)
-        best = max((j - i for i in range(30) for j in range(i + 1, 31) if same[i] and same[j - 1] and same[i:j].mean() >= 0.8), default=0)
-        assert n == best and (n == 0 or same[start : start + n].sum() == matches)
+        assert (n, matches) == longest_by_trying(a.tolist(), b.tolist())
+        assert n == 0 or (same[start] and same[start + n - 1] and same[start : start + n].sum() == matches)
 
 
 def test_leaks_of_odd_tables(spark, documents, clashing):
