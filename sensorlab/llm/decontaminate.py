@@ -174,20 +174,23 @@ def find_leaks(
 
     # A document comes first, then its lines, each with its item.
     asked = lines.join(items.withColumnRenamed("_words", "_item_words"), "_item").withColumn("_text", F.lit(None).cast("string"))
-    read = maybe_in(texts, "_id", lines.select("_id")).join(lines.select("_id", "_key").distinct(), ["_id", "_key"], "left_semi")
-    read = read.dropDuplicates(["_id", "_key"])
+    # A bit map again, of some 64 bits for each of these documents: the few others that pass have no lines.
+    n = lines.select("_id").distinct().count()
+    read = maybe_in(texts, "_id", lines.select("_id"), bits=min(max((64 * n).bit_length(), 16), 27)).dropDuplicates(["_id", "_key"])
     both = read.unionByName(asked, allowMissingColumns=True).withColumn("_line", F.col("_item").isNotNull())
     both = both.repartition("_id", "_key").sortWithinPartitions("_id", "_key", "_line", "_item", "_shift")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc = np.empty(0, np.uint64)
+        text_, doc = None, np.empty(0, np.uint64)
         for batch in batches:
             rows = []
             columns = [batch.column(c) for c in ("_line", "_text", "_id", "_item", "_shift", "_item_words")]
             for line, text, id_, item_id, shift, words_ in zip(*columns, strict=True):
                 if not line.as_py():
-                    doc, _ = _hashes(pa.array([text.as_py()]))
+                    text_ = text.as_py()
                     continue
+                if text_ is not None:
+                    (doc, _), text_ = _hashes(pa.array([text_])), None
                 item, at = words_.values.to_numpy().view(np.uint64), shift.as_py()
                 low, high = max(0, -at), min(len(item), len(doc) - at)
                 start, n, same = longest_overlap(doc[low + at : high + at], item[low:high], percent)
