@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def hash_share(column: Column, wanted: int, total: int) -> Column:
+    """Whether a row belongs to about `wanted` of `total`, by the 64-bit hash of a column: as fine as that for any number of rows."""
+    if wanted >= total:
+        return F.lit(True)
+    return F.xxhash64(column) < F.lit(-(2**63) + (wanted << 64) // total)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:

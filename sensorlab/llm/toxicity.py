@@ -1,9 +1,9 @@
 """Toxicity: a lexicon learned from labels, misspellings by Levenshtein automata, context windows.
 
 1. Words, and beginnings of words, that occur in toxic documents far more often
-   than in clean ones (log-likelihood ratio of at least EVIDENCE) make the
-   lexicon. Documents with the same smallest shingle hash count once, so that
-   copies of one text don't make its words evidence.
+   than in clean ones (log-likelihood ratio, see `learn_lexicon`) make the
+   lexicon. Near copies count once, so that copies of one text don't make its
+   words evidence.
 2. The lexicon is a trie. The Levenshtein automaton of a word that allows one
    edit is intersected with it; the product's states are made when first met,
    so that most words end after two or three steps. A beginning counts for any
@@ -28,13 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import keep_rows, map_arrow, stored
+from sensorlab.llm.common import hash_share, keep_rows, map_arrow, stored
 from sensorlab.llm.linear import fit_dense, sigmoid
 from sensorlab.llm.words import plain_words, shingle_hashes, split_words, word_hashes
 
-EVIDENCE = 25.0
-SUPPORT = 6
+#: Least toxic texts of a term; likelihood ratio beyond that of the luckiest of all tested terms.
+MARGIN = 4.0
+SUPPORT = 3
 FUZZY_FROM = 5
+#: So many states of the product are kept.
+STATES = 200_000
 BEGINNINGS = (4, 5, 6, 7)
 WINDOW = 8
 QUOTES = '["“”„«»]'
@@ -58,6 +61,10 @@ class Lexicon:
                     self.ends.append(None)
                 node = self.children[node][c]
             self.ends[node] = (weight, is_open, len(term))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin with the first state alone."""
         self._ids: dict[frozenset, int] = {}
         self._states: list[frozenset] = []
         self._next: list[dict[str, int]] = []
@@ -97,6 +104,8 @@ class Lexicon:
 
     def look_up(self, word: str) -> tuple[float, int]:
         """Weight and kind of the best match: 1 exact or by its beginning, 2 by one edit, 0 none."""
+        if len(self._states) > STATES:
+            self._forget()
         state, begun = 0, 0.0
         for c in word:
             step = self._next[state].get(c)
@@ -124,8 +133,13 @@ def _entries(texts: pa.Array, beginnings: bool = True) -> tuple[pa.Array, np.nda
     return terms.dictionary, pairs // (len(terms.dictionary) + 1), pairs % (len(terms.dictionary) + 1)
 
 
-def learn_lexicon(labelled: DataFrame, max_terms: int = 50_000) -> Lexicon:
-    """Lexicon from ``_text, _toxic`` rows; of the terms in SUPPORT or more toxic texts the `max_terms` commonest are tried."""
+def learn_lexicon(labelled: DataFrame) -> Lexicon:
+    """Lexicon from ``_text, _toxic`` rows: every term in SUPPORT or more toxic texts is tested.
+
+    The likelihood ratio of its shares in toxic and other texts must exceed
+    what the best of that many terms reaches by chance. Near copies count once:
+    of texts with the same least shingle hash, the least text.
+    """
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, ends = shingle_hashes(*word_hashes(batch.column("_text")), 5)
         least = np.zeros(len(ends), np.uint64)
@@ -135,40 +149,34 @@ def learn_lexicon(labelled: DataFrame, max_terms: int = 50_000) -> Lexicon:
             least[full] = np.minimum.reduceat(values, starts[full])
         return pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), batch.column("_text"), batch.column("_toxic")], ["_near", "_text", "_toxic"])
 
-    rows = map_arrow(labelled, key, "_near long, _text string, _toxic int").dropDuplicates(["_near", "_toxic"])
-    rows = stored(rows, "labelled")
+    rows = map_arrow(labelled, key, "_near long, _text string, _toxic int")
+    rows = stored(rows.groupBy("_near", "_toxic").agg(F.min("_text").alias("_text")).select("_text", "_toxic"), "labelled")
     n = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon({})
 
-    def counted(known: set[str] | None):
-        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-            terms, _, codes = _entries(batch.column("_text"))
-            times = np.bincount(codes, minlength=len(terms))
-            if known is not None:
-                keep = pa.array([t in known for t in terms.to_pylist()], pa.bool_())
-                terms, times = terms.filter(keep), times[keep.to_numpy(zero_copy_only=False)]
-            return pa.RecordBatch.from_arrays([terms, pa.array(times)], ["term", "times"])
-        return count
-
-    def totals(kind: int, known: set[str] | None) -> DataFrame:
-        texts = rows.filter(F.col("_toxic") == kind).select("_text")
-        return map_arrow(texts, counted(known), "term string, times long").groupBy("term").agg(F.sum("times").alias("times"))
-
-    toxic = totals(1, None).filter((F.col("times") >= SUPPORT) & (F.length("term") >= 3))
-    toxic = {r["term"]: r["times"] for r in toxic.orderBy(F.desc("times"), "term").limit(max_terms).collect()}
-    clean = {r["term"]: r["times"] for r in totals(0, set(toxic)).collect()}
-    terms = {}
-    longer = {(term.removesuffix("*")[:k], t, clean.get(term, 0)) for term, t in toxic.items() for k in BEGINNINGS if len(term.removesuffix("*")) > k}
-    for term, t in toxic.items():
-        c = clean.get(term, 0)
-        if term.endswith("*") and (term[:-1], t, c) in longer:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        toxic = batch.column("_toxic").to_numpy()
+        terms, text, codes = _entries(batch.column("_text"))
+        times = [np.bincount(codes[toxic[text] == kind], minlength=len(terms)) for kind in (1, 0)]
+        return pa.RecordBatch.from_arrays([terms, *map(pa.array, times)], ["term", "t", "c"])
+
+    counts = map_arrow(rows, count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = stored(counts.filter((F.col("t") >= SUPPORT) & (F.length("term") >= 3)), "terms")
+    tested = counts.count()
+    t, c = F.col("t"), F.col("c")
+    share = (t + c) / (n[0] + n[1])
+    gain = t * F.log(t / (n[1] * share)) + F.when(c > 0, c * F.log(c / (n[0] * share))).otherwise(0.0)
+    weight = F.log((t + 0.5) / (n[1] + 1)) - F.log((c + 0.5) / (n[0] + 1))
+    passed = counts.withColumn("weight", weight).filter((2 * gain >= 2 * np.log(max(tested, 1)) + MARGIN) & (weight >= 1.5))
+    passed = passed.collect()  # terms of at most max_labelled texts
+    terms: dict[str, tuple[float, bool]] = {}
+    longer = {(r["term"].removesuffix("*")[:k], r["t"], r["c"]) for r in passed for k in BEGINNINGS if len(r["term"].removesuffix("*")) > k}
+    for r in sorted(passed, key=lambda r: r["term"]):
+        term = r["term"].removesuffix("*")
+        if r["term"].endswith("*") and (term, r["t"], r["c"]) in longer:
             continue  # every word with this beginning goes on alike
-        share = (t + c) / (n[0] + n[1])
-        gain = t * np.log(t / (n[1] * share)) + (c * np.log(c / (n[0] * share)) if c else 0.0)
-        weight = np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
-        if 2 * gain >= EVIDENCE and weight >= 1.5:
-            terms[term.removesuffix("*")] = max(terms.get(term.removesuffix("*"), (0.0, False)), (float(weight), term.endswith("*")))
+        terms[term] = max(terms.get(term, (0.0, False)), (float(r["weight"]), r["term"].endswith("*")))
     return Lexicon(terms)
 
 
@@ -215,8 +223,7 @@ def fit_toxicity(
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     truth = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     truth = truth.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
-    part = min(1.0, max_labelled / max(truth.count(), 1))
-    truth = truth.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    truth = truth.filter(hash_share(F.col("_id"), max_labelled, truth.count()))
     # At most about max_labelled rows of 12 bytes: small enough to broadcast.
     labelled = stored(texts.join(F.broadcast(truth), "_id").select("_text", "_toxic"), "labelled")
     lexicon = learn_lexicon(labelled)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import keep_rows, list_array, map_arrow
+from sensorlab.llm.common import hash_share, keep_rows, list_array, map_arrow
 from sensorlab.llm.linear import fit_sparse, sigmoid
 from sensorlab.llm.words import hash_words, split_words, sums
 
@@ -141,16 +141,22 @@ def _decoded(codes: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000, sample_bytes: int = 64_000_000
 ) -> tuple[Callable[[pa.Array], np.ndarray], Callable[[pa.Array], np.ndarray]]:
-    """Functions from texts to posteriors and to scores, learned from all documents' votes and a sample's words."""
+    """Functions from texts to posteriors and to scores, learned from all documents' votes and a sample's words.
+
+    The sample has about `sample` documents, or fewer where these would have
+    more than about `sample_bytes` of text.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def vote_codes(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = _encoded(votes(batch.column("_text")))
-        return pa.RecordBatch.from_arrays([pa.array(codes)], ["pattern"])
+        size = pc.fill_null(pc.binary_length(batch.column("_text")), 0).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(codes), size], ["pattern", "size"])
 
-    found = map_arrow(texts.select("_text"), vote_codes, "pattern long").groupBy("pattern").count().toPandas()
+    found = map_arrow(texts.select("_text"), vote_codes, "pattern long, size long").groupBy("pattern")
+    found = found.agg(F.count("*").alias("count"), F.sum("size").alias("size")).toPandas()
     found = found.sort_values("pattern")
     codes, counts = found["pattern"].to_numpy(), found["count"].to_numpy()
     patterns = _decoded(codes) if len(codes) else np.zeros((0, len(LABELLERS)), int)
@@ -174,8 +180,9 @@ def fit_quality(
             ["index", "value", "target"],
         )
 
-    part = min(1.0, sample / max(int(counts.sum()), 1))
-    chosen = texts.filter((F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(part * 1_000_000)) & F.col("_id").isNotNull())
+    total, size = int(counts.sum()), int(found["size"].sum())
+    wanted = min(sample, total * sample_bytes // max(size, 1))
+    chosen = texts.filter(hash_share(F.col("_id"), wanted, total) & F.col("_id").isNotNull())
     table = map_arrow(chosen, sampled, "index array<int>, value array<float>, target double").toArrow().combine_chunks()
     cuts = np.cumsum(pc.list_value_length(table["index"]).to_numpy()) if table.num_rows else np.zeros(0, np.int64)
     weights = fit_sparse(

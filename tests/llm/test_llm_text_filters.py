@@ -6,9 +6,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from samples import odd_texts, prose
 
 from sensorlab.llm import decontaminate, licenses, toxicity, weaklabel
+from sensorlab.llm.common import hash_share
 
 BENCH = "item_id long, text string"
 
@@ -269,3 +271,98 @@ def test_licences_of_odd_tables(documents, clashing):
     assert [(r["doc_id"], r["start"], r["containment"]) for r in sorted(rows, key=lambda r: r["doc_id"] or 0)] == [(None, 0, 1.0), (1, 0, 1.0), (1, 0, 1.0)]
     assert licenses.scan_licenses(documents([])).count() == 0
     assert licenses.scan_licenses(documents([text]), notices={"none": "", "null": None}).count() == 0
+
+
+@pytest.mark.parametrize("total", [10, 10**4, 10**10, 10**15])
+def test_samples_of_any_share(spark, total):
+    """Of 10^10 and more rows a few thousand are one in millions: the share is as fine as the hash."""
+    spark_rows = 200_000
+    wanted = 8_000
+    share = min(1.0, wanted / total)
+    expected = spark_rows * share
+    n = spark.range(spark_rows).filter(hash_share(F.col("id"), wanted, total)).count()
+    assert abs(n - expected) <= 5 * max(expected, 1) ** 0.5
+    if total > wanted:
+        text = hash_share(F.col("id"), wanted, total)._jc.toString()
+        assert str(-(2**63) + (wanted << 64) // total) in text and (wanted << 64) // total >= 2**64 * 8_000 // 10**15
+
+
+def test_lexicon_forgets_states(monkeypatch):
+    lexicon = toxicity.Lexicon({"worthless": (3.0, False), "clown": (2.0, True)})
+    words = ["".join(random.Random(i).choices("worthlescln", k=9)) for i in range(300)] + ["worthles", "clowns", "wortless"]
+    whole = [lexicon.look_up(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 5)
+    assert [lexicon.look_up(w) for w in words] == whole and len(lexicon._states) < 60
+    assert whole[-3:] == [(3.0, 2), (2.0, 1), (3.0, 2)]
+
+
+def one_edit(a, b):
+    """Whether one word comes from the other by at most one insertion, deletion or substitution."""
+    if a == b:
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def test_terms_and_scores_by_brute_force(spark, documents):
+    """Every term's counts, test and weight from plain loops; then hits of all words against all terms."""
+    rng = random.Random(8)
+    bad = ["worthless", "pathetic", "loser"]
+    texts, toxic = [], {}
+    for i in range(120):
+        words = prose(i, 25).split()
+        if i % 3 == 0:
+            toxic[i] = 1
+            words[rng.randrange(25)] = rng.choice(bad)
+        else:
+            toxic[i] = 0
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([(t, toxic[i]) for i, t in enumerate(texts)], "_text string, _toxic int")
+    lexicon = toxicity.learn_lexicon(rows)
+    n = {k: sum(v == k for v in toxic.values()) for k in (0, 1)}
+    times = {}
+    for i, text in enumerate(texts):
+        words = {w.strip(".").lower() for w in text.split()}
+        terms = words | {w[:k] + "*" for w in words for k in toxicity.BEGINNINGS if len(w) >= k}
+        for term in terms:
+            times.setdefault(term, [0, 0])[toxic[i]] += 1
+    tested = {term: v for term, v in times.items() if v[1] >= toxicity.SUPPORT and len(term) >= 3}
+    want = set()
+    for term, (c, t) in tested.items():
+        share = (t + c) / 120
+        gain = t * np.log(t / (n[1] * share)) + (c * np.log(c / (n[0] * share)) if c else 0)
+        weight = np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
+        if 2 * gain >= 2 * np.log(len(tested)) + toxicity.MARGIN and weight >= 1.5:
+            want.add(term)
+    assert {t for t in lexicon.terms} <= {t.removesuffix("*") for t in want}
+    assert set(bad) & {t for t in want} and all(lexicon.look_up(w)[1] for w in bad if w in want)
+    words = [w[:k] + c + w[k + d :] for w in bad for k in range(len(w)) for c in ("", "x", w[k] + "y") for d in (0, 1)] + prose(1, 50).replace(".", "").split()
+    for word in words:
+        exact = [v for t, (v, is_open) in lexicon.terms.items() if word == t or (is_open and word.startswith(t))]
+        near = [v for t, (v, is_open) in lexicon.terms.items() if not is_open and len(t) >= toxicity.FUZZY_FROM and one_edit(t, word)]
+        assert lexicon.look_up(word)[1] == (1 if exact else 2 if near else 0), word
+
+
+def test_expectation_maximisation_by_brute_force():
+    """One round of the estimates of the labellers, from the definition, changes nothing at the end."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(4_000) < 0.6
+    accuracy = [0.9, 0.8, 0.7, 0.85]
+    votes = np.stack([np.where(rng.random(4_000) < 0.3, 2, np.where(rng.random(4_000) < a, truth, ~truth)) for a in accuracy], axis=1).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    posterior, says = weaklabel.estimate(patterns, counts)
+    expected = np.zeros(len(patterns))
+    for p, pattern in enumerate(patterns):
+        good = bad = 1.0
+        for j, vote in enumerate(pattern):
+            good, bad = good * says[1, j, vote], bad * says[0, j, vote]
+        w = (posterior * counts).sum()
+        prior = (w + 1) / (counts.sum() + 2)
+        expected[p] = good * prior / (good * prior + bad * (1 - prior))
+    assert np.allclose(posterior, expected, atol=1e-6)
+    found = posterior[[int(np.flatnonzero((patterns == v).all(axis=1))[0]) for v in votes]] >= 0.5
+    assert (found == truth).mean() > 0.88
