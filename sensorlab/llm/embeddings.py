@@ -38,6 +38,9 @@ def _cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = vector.as_py()
         ok = bool(values) and None not in values
         x = np.array(values, np.float64) if ok else np.empty(0)
+        top = np.abs(x).max(initial=0.0)
+        if 0 < top < np.inf and not 1e-140 < top < 1e140:
+            x = np.ldexp(x, -int(np.frexp(top)[1]))  # squares must neither overflow nor vanish; this is exact
         with np.errstate(over="ignore", invalid="ignore"):
             norm = np.sqrt((x * x).sum())
         out.append((x + 0.0).tobytes() if ok and np.isfinite(x).all() and np.isfinite(norm) and norm > 0 else None)
