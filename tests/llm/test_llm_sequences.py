@@ -284,6 +284,14 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    base = [3.0, -1.0, 2.0]
+    rows = [(i, [x * scale for x in base], 1) for i, scale in enumerate([1.0, 1e200, 1e-200, 1e-310, 7e150])]
+    rows += [(9, [1e200, 1e200, -1e200], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 9: (0, 9)}
+
+
 def test_pairs_stop_early_but_miss_none():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 64)) * np.linspace(3, 0.1, 64)
