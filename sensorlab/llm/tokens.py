@@ -9,6 +9,7 @@ keeps the ids of the pieces it has met, at most CACHE of them.
 from __future__ import annotations
 
 import json
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
-        self._ids = [np.empty(0, np.int32)]
-        self._ends = [0]
+        # The ids of all known pieces, and where each piece's ids end, with room to grow.
+        self._ids, self._ends = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
     def encode(self, text: str) -> list[int]:
         if any(s in text for s in self._special):
@@ -57,15 +58,29 @@ class Encoder:
         if len(self._known) > CACHE:
             self._forget()
         known = self._known
-        new = [p for p in pieces if p not in known]
-        if new:
-            ids = [self.encode(p) for p in new]
+        found = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            new = list(dict.fromkeys(pieces[i] for i in lacking.tolist()))
+            # Control strings are rare: one look at all pieces tells that none needs care.
+            joined = "\x00".join(new)
+            plain = not any(s in joined for s in self._special)
+            ids = [*map(self._coder.encode_ordinary if plain else self.encode, new)]
+            self._add(np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self._ids.append(np.fromiter((i for row in ids for i in row), np.int32))
-            self._ends.extend(np.cumsum([len(row) for row in ids]) + self._ends[-1])
-            if len(self._ids) > 64:
-                self._ids = [np.concatenate(self._ids)]
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+            found[lacking] = [known[pieces[i]] for i in lacking.tolist()]
+        return found
+
+    def _add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Behind what is there; twice the room whenever it is used up."""
+        k = len(self._known)
+        before = int(self._ends[k])
+        if before + len(ids) > len(self._ids):
+            self._ids = np.resize(self._ids, 2 * (before + len(ids)))
+        if k + 1 + len(ends) > len(self._ends):
+            self._ends = np.resize(self._ends, 2 * (k + 1 + len(ends)))
+        self._ids[before : before + len(ids)] = ids
+        self._ends[k + 1 : k + 1 + len(ends)] = before + ends
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's ids end; a null text has none."""
@@ -93,7 +108,7 @@ class Encoder:
         keep = ~(np.repeat(odd, ends - starts) & ~first)
         at[starts[lone]] = places[n + len(heads) + np.arange(len(lone))]
         at, text = at[keep], np.repeat(np.arange(len(ends)), ends - starts)[keep]
-        ids, bounds = (self._ids[0] if len(self._ids) == 1 else np.concatenate(self._ids)), np.asarray(self._ends)
+        ids, bounds = self._ids, self._ends
         begin, size = bounds[at], bounds[at + 1] - bounds[at]
         total = np.cumsum(size)
         index = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
