@@ -1032,6 +1032,13 @@ def routing_report(spark, folder):
     )
 
 
+@query("SELECT site, value, seq, produced_at FROM readings", READINGS)
+def numeric_columns(spark, folder):
+    """What a selection of numbers by type keeps."""
+    rows = views.readings(spark, folder)
+    return rows.select(*profile.numeric_columns(rows))
+
+
 # -- splits ----------------------------------------------------------------------
 
 

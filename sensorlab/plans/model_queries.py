@@ -154,6 +154,18 @@ def feature_importance(spark, folder):
     return views.rounded(model.top_features(model.feature_importance(spark, done)))
 
 
+@query(
+    lasso_sql(
+        """SELECT count(*) AS n, count(*) FILTER (v <> 0) AS n_nonzero, count(*) FILTER (v <> 0) = 0 AS all_zero
+        FROM (SELECT unnest(w) AS v FROM paths WHERE i = 6 AND alpha = 10.0)"""
+    )
+)
+def importance_summary(spark, folder):
+    """How many features a strong penalty leaves."""
+    done = trained(spark, folder, grid={"regParam": [10.0]})
+    return model.importance_summary(model.feature_importance(spark, done))
+
+
 def adjusted(columns: str) -> str:
     delta = predicted(_X)
     return f"""SELECT {columns}, round(temperature + {delta}, 6) AS temperature, round({delta}, 6) AS delta,

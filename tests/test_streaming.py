@@ -306,6 +306,16 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path, monkeypatch):
     assert jobs.read_once(spark, str(tmp_path / "nothing"), df.schema).count() == 0
 
 
+def test_console_sink(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, [[(0, at(0), 123.25, 0, 0.0, "device")]])
+    query = jobs.start_console(source(spark, folder).select("site", "value"), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    assert "console" in query.lastProgress.sink.description.lower()
+    assert sum(p.numInputRows for p in query.recentProgress) == 1
+
+
 def test_merge_keeps_all_rows(spark, tmp_path):
     rows = readings(30, 9)
     folder = str(tmp_path / "in")
