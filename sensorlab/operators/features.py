@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ from sensorlab.operators.slices import (
     drop_margin,
     micros,
     plan_slices,
-    null_safe_join,
     row_blocks,
     tie_order,
 )
+from sensorlab.session import stored
 
 PUMPS = (0, 1, 2, 3)
 
@@ -59,22 +60,22 @@ def fused_features(
     plan: SlicePlan | None = None,
     forget_after_seconds: float | None = None,
 ) -> DataFrame:
-    """All channel features of every base row in one exchange.
+    """All channel features of every base row.
 
     ``readings`` has ``quantity`` and ``pump`` besides key, time and value.
-    The window is ``[t - window, t]``. Every reading first gets its position
-    and running sum along its channel, the channel's first reading and its own
-    successor. A window then follows from just two readings, the last one up
-    to ``t`` and the last one before ``t - window``: counts and sums are
-    differences, and the first reading inside is the successor of the second.
-    Both come from growing frames, so the cost per row does not depend on how
-    many readings a window holds. With ``forget_after_seconds`` a latest value
+    The window is ``[t - window, t]``. It follows from two points of each
+    channel: counts and sums up to ``t`` less those before ``t - window``, the
+    last reading up to ``t`` and the first one from ``t - window`` on. So every
+    base row visits the series twice, at the opening of its window and at its
+    own time, and takes what its channels have come to there from one ordered
+    pass over Arrow batches. The cost per row does not depend on how many
+    readings a window holds. With ``forget_after_seconds`` a latest value
     older than that counts as none.
 
-    Split series cost a second exchange. Each (slice, channel) gets two more
-    rows: what the channel has come to before it, and its next reading behind
-    it. The base rows first visit the slice that holds ``t - window``, then
-    their own; no reading is placed twice, however long the window is.
+    The opening of a window of rates is visited against time, so that its first
+    reading is the last one seen. In split series each (slice, channel) gets a
+    row more in a pass, with what lies before or behind the slice; no reading
+    is placed twice in one, however long the window is.
     """
     width = int(window_seconds * 1e6)
     quantities = sorted({f.quantity for f in features})
@@ -104,60 +105,77 @@ def fused_features(
     by = [F.col("_us"), F.col("_base").cast("int"), F.coalesce("_r.seq", "_tie")]
     times = read.select(*key, "_us", "_base", "_r").unionByName(rows.select(*key, "_us", "_base", "_tie"), allowMissingColumns=True)
     plan = plan or plan_slices(times, key, *by)
-    stats = {f.stat for f in features}
-    around = [f"{f.quantity}_tc{p}" for f in features if f.stat != "latest" for p in pumps]
-    if plan.single:
-        placed = plan.assign(rows, F.col("_us")).unionByName(read, allowMissingColumns=True)
-        states = _channel_states(placed, plan, stats)
-    else:
-        # The look-up for split series alone; the other rows make it on the spot.
-        sliced = _with_rims(plan.assign(plan.mark_hot(read), F.col("_us"), F.lit(0), F.col("_r.seq")), plan, channels)
-        rows = plan.mark_hot(rows)
-        if around:
-            opened = rows.filter(HOT).withColumns({"_t": F.col("_us"), "_us": F.col("_us") - width - 1})
-            opened = plan.assign(opened, F.col("_us"), F.lit(1), F.col("_tie"))
-            opened = _channel_states(sliced.filter(HOT).unionByName(opened, allowMissingColumns=True), plan, stats)
-            opened = _look_up(opened, plan, around, "_as_open", "_far", F.col("_us"), 0)
-            opened = opened.filter("_base").withColumn("_us", F.col("_t"))
-            opened = opened.select(*base.columns, "_us", "_base", "_tie", *[f"_{c}_far" for c in around])
-            rows = rows.filter(~F.col(HOT)).unionByName(plan.mark_hot(opened), allowMissingColumns=True)
-        placed = plan.assign(rows, F.col("_us"), F.lit(1), F.col("_tie"))
-        states = _channel_states(placed.unionByName(sliced, allowMissingColumns=True), plan, stats)
-    states = _look_up(states, plan, channels, "_as_last", "_last", F.col("_us"), 0)
-    states = _look_up(states, plan, around, "_as_open", "_open", F.col("_us"), width + 1)
+    # The look-up for split series alone; the other rows make it on the spot.
+    opening = {s: [f"{f.quantity}_tc{p}" for f in features if f.stat == s for p in pumps] for s in ("mean", "rate")}
+    opening = {s: list(dict.fromkeys(found)) for s, found in opening.items() if found}
+    sums = _SUMS["mean"] if "mean" in opening else _SUMS["rate"]
+    read = plan.assign(plan.mark_hot(read), F.col("_us"), F.lit(0), F.col("_r.seq")).drop(HOT)
+    read = read.withColumns(_added(F.col("_r.v")) if "mean" in opening else {}).withColumn("_n", F.lit(1).cast("long"))
+    if not plan.single:
+        # Every pass reads it, and the look-up is dear.
+        read = stored(read, "readings")
+    front = back = None
+    if not plan.single or "rate" in opening:
+        front, back = _rims(read, plan, channels, sums)
+
+    def visit(rows: DataFrame, read: DataFrame, rims: DataFrame | None) -> DataFrame:
+        placed = plan.assign(rows, F.col("_us"), F.lit(1), F.col("_tie")).drop(HOT).unionByName(read, allowMissingColumns=True)
+        return placed if rims is None else placed.unionByName(rims, allowMissingColumns=True)
+
+    for stat, some in opening.items():
+        wanted = F.col("_channel").isin(*some)
+        opened = rows.withColumns({"_t": F.col("_us"), "_us": F.col("_us") - width - 1})
+        if stat == "rate":
+            # Against time, readings are taken off what has come up to the slice's end.
+            placed = visit(opened, read.filter(wanted).withColumn("_n", F.lit(-1).cast("long")), back.filter(wanted))
+            states = _channel_states(placed, plan, {stat}, backward=True)
+        else:
+            placed = visit(opened, read.filter(wanted), None if plan.single else front.filter(wanted))
+            states = _channel_states(placed, plan, {stat})
+        kept = [c for c in opened.columns if c not in ("_us", "_base")]
+        rows = _look_up(states, plan, some, kept, f"_{stat}", _SUMS[stat], seen=stat == "rate")
+        rows = rows.withColumnRenamed("_t", "_us").withColumn("_base", F.lit(True))
+    states = _channel_states(visit(rows, read, None if plan.single else front), plan, set(opening))
+    kept = [c for c in rows.columns if c != "_base"]
+    states = _look_up(states, plan, channels, kept, "_last", sums if opening else [], seen=True)
 
     out: list[Column] = []
     zero = F.lit(0.0)
     for f in features:
         for p in pumps:
             c = f"{f.quantity}_tc{p}"
-            last, opened = F.col(f"_{c}_last"), F.col(f"_{c}_open")
-            latest = last["v"]
+            latest, us = F.col(f"_{c}_last_v"), F.col(f"_{c}_last_us")
+            known = latest
             if forget_after_seconds is not None:
-                latest = F.when(F.col("_us") - last["us"] <= F.lit(int(forget_after_seconds * 1e6)), latest)
+                latest = F.when(F.col("_us") - us <= F.lit(int(forget_after_seconds * 1e6)), latest)
             if f.stat == "latest":
                 out.append(F.coalesce(latest, zero).alias(c))
                 continue
-            if not plan.single:
-                opened = F.when(F.col(HOT), F.col(f"_{c}_far")).otherwise(opened)
-            n = F.coalesce(last["at"], F.lit(0)) - F.coalesce(opened["at"], F.lit(0))
+
+            def inside(part: str, c=c, stat=f.stat) -> Column:
+                return F.col(f"_{c}_last{part}") - F.col(f"_{c}_{stat}{part}")
+
+            n = inside("_n")
             if f.stat == "mean":
-                none = F.lit(0).cast("decimal(37,9)")
-                total = last["sum"] - F.coalesce(opened["sum"], none)
-                rest = last["rest"] - F.coalesce(opened["rest"], zero)
-                out.append(F.when(n > 0, (total.cast("double") + rest) / n).otherwise(zero).alias(c))
+                total = _decimal(*[inside(d) for d in _DIGITS])
+                out.append(F.when(n > 0, (total.cast("double") + inside("_rest")) / n).otherwise(zero).alias(c))
                 continue
-            alone = opened.isNull()
-            first_us = F.when(alone, last["first_us"]).otherwise(opened["first_us"])
-            first_v = F.when(alone, last["first_v"]).otherwise(opened["first_v"])
-            seconds = (last["us"] - first_us) / F.lit(1e6)
-            known = (n > 1) & (seconds > 0)
-            rate = F.when(known, (last["v"] - first_v) / seconds).otherwise(zero)
+            first_us, first_v = F.col(f"_{c}_rate_us"), F.col(f"_{c}_rate_v")
+            seconds = (us - first_us) / F.lit(1e6)
+            timed = (n > 1) & (seconds > 0)
+            rate = F.when(timed, (known - first_v) / seconds).otherwise(zero)
             fallback = F.coalesce(latest, zero) if f.carry_forward else zero
             out.append(rate.alias(f"{c}_rate"))
-            out.append(F.when(known, first_v).otherwise(fallback).alias(f"{c}_value"))
-            out.append(n.cast("long").alias(f"{c}_n"))
-    return states.filter("_base").select(*base.columns, *out)
+            out.append(F.when(timed, first_v).otherwise(fallback).alias(f"{c}_value"))
+            out.append(n.alias(f"{c}_n"))
+    return states.select(*base.columns, *out)
+
+
+#: A sum of decimals with nine places travels as sums of digits to base 1e9, the last one first; these stay
+#: below a long for nine billion readings. What a decimal leaves of a value is summed as a double.
+_DIGITS = ["_s0", "_s1", "_s2"]
+_BASE = 10**9
+_SUMS = {"mean": ["_n", *_DIGITS, "_rest"], "rate": ["_n"]}
 
 
 def _near(v: Column) -> Column:
@@ -165,84 +183,137 @@ def _near(v: Column) -> Column:
     return F.coalesce(v.try_cast("decimal(27,9)"), F.lit(0).cast("decimal(27,9)"))
 
 
-def _with_rims(read: DataFrame, plan: SlicePlan, channels: Sequence[str]) -> DataFrame:
-    """Readings, and for each (slice, channel) of split series a row in front and one behind.
+def _added(v: Column) -> dict[str, Column]:
+    """What one value adds to the sums."""
+    near, unit = _near(v), F.lit(_BASE).cast("long")
+    whole = F.floor(near).cast("long")
+    place = ((near - F.floor(near)) * F.lit(_BASE)).cast("long")
+    return {"_s0": place, "_s1": whole % unit, "_s2": F.call_function("div", whole, unit), "_rest": v - near.cast("double")}
+
 
-    The row in front is the channel's last reading so far, with the number and
-    sums of all readings up to it (``_many``) and the first one of all. The row
-    behind is the next reading.
+def _decimal(low: Column, middle: Column, high: Column) -> Column:
+    whole = high.cast("decimal(19,0)") * F.lit(Decimal(_BASE)) + middle.cast("decimal(19,0)")
+    return whole.cast("decimal(28,0)") + low.cast("decimal(19,0)") * F.lit(1 / Decimal(_BASE))
+
+
+def _rims(read: DataFrame, plan: SlicePlan, channels: Sequence[str], sums: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """For each (slice, channel) a row in front, for passes in time, and one behind, for those against it.
+
+    The row in front is the channel's last reading before the slice, with the
+    number and ``sums`` of all readings up to it. The row behind is the next
+    reading, with the number and sums of all up to the slice's end.
     """
-    r = F.col("_r")
-    parts = []
-    for c in channels:
-        mine = F.when(F.col("_channel") == c, r)
-        v = mine["v"]
-        exact = _near(v)
-        sums = [F.count(mine).alias("n"), F.sum(F.when(v.isNotNull(), exact)).alias("sum"), F.sum(v - exact.cast("double")).alias("rest")]
-        parts.append(F.struct(*sums, F.min(mine).alias("first"), F.max(mine).alias("last")).alias(f"_{c}"))
-    ends = read.filter(HOT).groupBy(*plan.group).agg(*parts)
-    every = plan.every_slice()
-    ends = null_safe_join(every, ends, plan.group, "left")
-    before = Window.partitionBy(*plan.key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*plan.key).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
-
-    def rims(c: str) -> Column:
-        part = F.col(f"_{c}")
-        many = F.struct(
-            F.sum(part["n"]).over(before).alias("n"), F.sum(part["sum"]).over(before).cast("decimal(37,9)").alias("sum"),
-            F.sum(part["rest"]).over(before).alias("rest"), F.min(part["first"]).over(before).alias("first"),
-        )
-        front = F.struct(F.lit(c).alias("_channel"), F.lit(_FRONT).alias("_us"), F.max(part["last"]).over(before).alias("_r"), many.alias("_many"))
-        nothing = F.lit(None).cast("struct<n: bigint, sum: decimal(37,9), rest: double, first: struct<us: bigint, seq: bigint, v: double>>")
-        back = F.struct(F.lit(c).alias("_channel"), F.lit(_BACK).alias("_us"), F.min(part["first"]).over(behind).alias("_r"), nothing.alias("_many"))
-        return F.array(front, back)
-
-    lists = ends.select(*plan.group, *[rims(c).alias(f"_{c}") for c in channels])
-    rows = lists.select(*plan.group, F.explode(F.concat(*[f"_{c}" for c in channels])).alias("_x")).select(*plan.group, "_x.*")
-    rows = rows.filter(F.col("_r").isNotNull()).withColumns({"_base": F.lit(False), HOT: F.lit(True)})
-    return read.unionByName(rows, allowMissingColumns=True)
-
-
-def _channel_states(placed: DataFrame, plan: SlicePlan, stats: set[str]) -> DataFrame:
-    """Give every reading the state of its channel up to it, as ``_as_last``, and with its successor, as ``_as_open``."""
-    if plan.group:
-        # One exchange serves the windows by channel and those over all channels.
-        placed = placed.repartition(*plan.group)
-    r = F.col("_r")
-    in_channel = Window.partitionBy(*plan.group, "_channel").orderBy("_us", "_r")
-    so_far = in_channel.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The position comes first, so the greatest struct is the latest reading.
-    many = None if plan.single else F.col("_many")
-    steps: dict[str, Column] = {"_at": F.row_number().over(in_channel)}
-    if many is not None:
-        steps["_at"] = F.sum(F.coalesce(many["n"], F.lit(1))).over(so_far)
-    as_last = [F.col("_at").cast("long").alias("at"), r["v"].alias("v"), r["us"].alias("us")]
-    as_open = [F.col("_at").cast("long").alias("at")]
-    if "mean" in stats:
-        # What a decimal of nine places leaves of a very large or small value is summed apart.
-        near, rest = _near(r["v"]), r["v"] - _near(r["v"]).cast("double")
-        if many is not None:
-            near = F.coalesce(many["sum"], near.cast("decimal(37,9)"))
-            rest = F.when(many.isNotNull(), many["rest"]).otherwise(rest)
-        steps["_sum"] = F.sum(near).over(so_far).cast("decimal(37,9)")
-        steps["_rest"] = F.sum(rest).over(so_far)
-        for ends in (as_last, as_open):
-            ends += [F.col("_sum").alias("sum"), F.col("_rest").alias("rest")]
-    if "rate" in stats:
-        first = F.first("_r").over(so_far) if many is None else F.min(F.coalesce(many["first"], r)).over(so_far)
-        steps |= {"_first": first, "_next": F.lead("_r").over(in_channel)}
-        as_last += [F.col("_first.us").alias("first_us"), F.col("_first.v").alias("first_v")]
-        as_open += [F.col("_next.us").alias("first_us"), F.col("_next.v").alias("first_v")]
-    counts = r.isNotNull() & (F.col("_us") < _BACK)
-    return placed.withColumns(steps).withColumns(
-        {"_as_last": F.when(counts, F.struct(*as_last)), "_as_open": F.when(counts, F.struct(*as_open))}
-    )
+    spot = [*plan.key, SLICE]
+    parts = [F.sum(name).alias(name) for name in sums]
+    ends = read.groupBy(*spot, "_channel").agg(*parts, F.min("_r").alias("_first"), F.max("_r").alias("_final"))
+    if not plan.single:
+        every = plan.every_slice().withColumn("_channel", F.explode(F.array(*[F.lit(c) for c in channels])))
+        every = every.withColumns({name: F.lit(0).cast("double" if name == "_rest" else "long") for name in sums})
+        ends = ends.unionByName(every, allowMissingColumns=True).groupBy(*spot, "_channel")
+        ends = stored(ends.agg(*parts, F.min("_first").alias("_first"), F.max("_final").alias("_final")), "ends")
+    series = Window.partitionBy(*plan.key, "_channel")
+    before = series.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    through = series.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = series.orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def rim(us: int, reading: Column, over) -> DataFrame:
+        many = [F.sum(name).over(over).alias(name) for name in sums]
+        rows = ends.select(*spot, "_channel", F.lit(us).cast("long").alias("_us"), reading.alias("_r"), *many)
+        return rows.filter("_n > 0 OR _r IS NOT NULL").withColumn("_base", F.lit(False))
+
+    return rim(_FRONT, F.max("_final").over(before), before), rim(_BACK, F.min("_first").over(behind), through)
+
+
+def _channel_states(placed: DataFrame, plan: SlicePlan, stats: set[str], backward: bool = False) -> DataFrame:
+    """Every slice in one place, ordered with or against time, and the sums that ``stats`` need."""
+    order = [F.col(c).desc() if backward else F.col(c).asc() for c in ("_us", "_base", "_r")]
+    unused = [] if "mean" in stats else [c for c in _SUMS["mean"] if c not in _SUMS["rate"]]
+    placed = placed.drop(*unused)
+    placed = placed.repartition(*plan.group) if plan.group else placed.repartition(1)
+    return placed.sortWithinPartitions(*plan.group, *order)
+
+
+def _look_up(
+    states: DataFrame, plan: SlicePlan, channels: Sequence[str], keep: Sequence[str], name: str, sums: Sequence[str], seen: bool
+) -> DataFrame:
+    """The base rows' ``keep`` with what every channel has come to before them in its slice.
 
+    Adds ``_{channel}{name}{sum}`` for each of ``sums`` and, of the reading
+    ``seen`` last, ``_us`` and ``_v``, null before the first.
+    """
+    group = plan.group
+    number = (F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("_channel")) - 1).cast("int")
+    slim = states.select(
+        *dict.fromkeys([*keep, *group]), "_base", F.coalesce(number, F.lit(-1)).alias("_number"),
+        F.col("_r.us").alias("_seen_us"), F.col("_r.v").alias("_seen_v"), *sums,
+    )
+    parts = {s: T.DoubleType() if s == "_rest" else T.LongType() for s in sums}
+    parts |= {"_us": T.LongType(), "_v": T.DoubleType()} if seen else {}
+    fields = [T.StructField(f"_{c}{name}{s}", kind) for c in channels for s, kind in parts.items()]
+    schema = T.StructType([*slim.select(*keep).schema.fields, *fields])
+    names = schema.names
 
-def _look_up(states: DataFrame, plan: SlicePlan, channels: Sequence[str], state: str, name: str, at: Column, back: int) -> DataFrame:
-    """Add ``_{channel}{name}``: the latest state of each channel up to ``back`` before every row."""
-    w = Window.partitionBy(*plan.group).orderBy(at).rangeBetween(Window.unboundedPreceding, -back if back else Window.currentRow)
-    return states.withColumns({f"_{c}{name}": F.max(F.when(F.col("_channel") == c, F.col(state))).over(w) for c in channels})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fresh = _changes(batch, group)
+            if last is not None and all(batch.column(c)[0].equals(v) for c, v in zip(group, last, strict=True)):
+                fresh[0] = False
+            else:
+                carry = None
+            last = [batch.column(c)[n - 1] for c in group]
+            base = np.flatnonzero(batch.column("_base").to_numpy(zero_copy_only=False))
+            # The batch's end is looked up, too, for the next one.
+            at = np.append(base, n)
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+            begin = np.append(begin[base], begin[-1])
+            ongoing = int(np.argmax(fresh)) if fresh.any() else n  # rows of the group that the last batch began
+            number = batch.column("_number").to_numpy()
+            adds = {s: pc.fill_null(batch.column(s), 0).to_numpy(zero_copy_only=False) for s in sums}
+            us, v = batch.column("_seen_us"), batch.column("_seen_v")
+            known = us.is_valid().to_numpy(zero_copy_only=False)
+            us, v = pc.fill_null(us, 0).to_numpy(), pc.fill_null(v, 0.0).to_numpy()
+            made, ends = [], []
+            for c in range(len(channels)):
+                mine = np.flatnonzero(number == c)
+                upto, since = np.searchsorted(mine, at), np.searchsorted(mine, begin)
+                old = carry[c] if carry else {**dict.fromkeys(sums, 0), "at": None}
+                goes_on = at < ongoing if ongoing < n else np.ones(len(at), bool)
+                end = {}
+                for s in sums:
+                    total = _running(adds[s][mine], since, upto, int(np.searchsorted(mine, ongoing)), old[s], goes_on)
+                    made.append(pa.array(total[:-1]))
+                    end[s] = total[-1]
+                if seen:
+                    here = upto > since
+                    spot = mine[np.maximum(upto - 1, 0)] if len(mine) else np.zeros(len(at), int)
+                    then = old["at"] or (0, 0.0)
+                    is_known = np.where(here, known[spot], goes_on & (old["at"] is not None))
+                    last_us, last_v = np.where(here, us[spot], then[0]), np.where(here, v[spot], then[1])
+                    made += [pa.array(x[:-1], mask=~is_known[:-1]) for x in (last_us, last_v)]
+                    end["at"] = (last_us[-1], last_v[-1]) if is_known[-1] else None
+                ends.append(end)
+            carry = ends
+            kept = batch.take(pa.array(base))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *made], names)
+
+    return slim.mapInArrow(run, schema)
+
+
+def _running(x: np.ndarray, since: np.ndarray, upto: np.ndarray, ongoing: int, old, goes_on: np.ndarray) -> np.ndarray:
+    """Sums of ``x[since:upto]``, those that go on from the last batch with its sum ``old``; no sum is a difference of doubles."""
+    if x.dtype.kind == "i" or not (x.any() or old):
+        total = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
+        return total[upto] - total[since] + np.where(goes_on, old, 0).astype(x.dtype)
+    total = np.zeros(len(x) + 1)
+    total[: ongoing + 1] = np.cumsum(np.concatenate([[old], x[:ongoing]]))
+    cuts = np.unique(np.append(since[since >= ongoing], ongoing))
+    for a, b in zip(cuts, np.append(cuts[1:], len(x)), strict=True):
+        total[a + 1 : b + 1] = np.cumsum(x[a:b])
+    return np.where(goes_on, total[upto], np.where(upto > since, total[upto], 0.0))
 
 
 def latest_values(base, readings, key, quantity="fanh", **options) -> DataFrame:

@@ -103,14 +103,17 @@ class SlicePlan:
         if self.single:
             return df.withColumn(name, F.lit(0))
         mapped = df if MAP in df.columns else self.mark_hot(df)
-        return mapped.withColumn(name, self._slice_of(by)).drop(MAP)
+        places = [f"_place{i}" for i in range(len(by))]
+        mapped = mapped.withColumns({p: finite_number(c) for p, c in zip(places, by, strict=True)})
+        return mapped.withColumn(name, self._slice_of(places)).drop(MAP, *places)
 
     def every_slice(self) -> DataFrame:
         """A row for each slice of the split series."""
         return self.hot.select(*self.key, F.explode(F.sequence(F.lit(0), F.col(f"{MAP}.slices") - 1)).alias(SLICE))
 
-    def _slice_of(self, by: Sequence[Column]) -> Column:
-        numbers = [finite_number(c) for c in by]
+    def _slice_of(self, places: Sequence[str]) -> Column:
+        """The slice of a position; numbers and nodes are looked at many times, so each is made just once."""
+        numbers = [F.col(p) for p in places]
 
         def child(node: Column) -> Column:
             # What the plan looks at and the caller hasn't got counts as the least.
@@ -122,11 +125,14 @@ class SlicePlan:
             bin_ = bin_of(x, node["log"], node["low"], node["width"], F.size(node["children"]))
             return F.get(node["children"], bin_)
 
+        def child_of(node: Column) -> Column:
+            return F.get(F.transform(F.array(node), child), F.lit(0))
+
         nodes = F.col(f"{MAP}.nodes")
-        found = child(F.get(nodes, F.lit(0)))
+        found = child_of(F.get(nodes, F.lit(0)))
         if self.depth > 1:
             deeper = F.sequence(F.lit(2), F.lit(self.depth))
-            found = F.aggregate(deeper, found, lambda c, _: F.when(c < 0, child(F.get(nodes, -c))).otherwise(c))
+            found = F.aggregate(deeper, found, lambda c, _: F.when(c < 0, child_of(F.get(nodes, -c))).otherwise(c))
         return F.coalesce(found, F.lit(0))
 
 

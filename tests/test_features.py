@@ -12,6 +12,7 @@ from sensorlab.operators.features import (
     rolling_features,
     window_features,
 )
+from sensorlab.operators.slices import micros, plan_slices
 
 
 def features(spark, base, rows, stat="mean", **options):
@@ -113,6 +114,24 @@ def test_split_series_equals_brute_force(spark, split):
         check_against_brute(done, base, rows, 300)
 
 
+def test_split_readings_are_made_once(spark, split):
+    """However many passes follow, what the readings come from runs once."""
+    rows, base = random_rows(200, 4000, 4), list(range(0, 4500, 500))
+    read, first = pump_rows(spark, rows).coalesce(2), base_rows(spark, base)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    with split(50):
+        plan = plan_slices(read.select("site", "ts").unionByName(first.select("site", "ts")), ["site"], micros("ts"))
+        done = fused_features(first, read.mapInArrow(counted, read.schema), ["site"], ALL, seq="seq", window_seconds=300, plan=plan)
+        check_against_brute(done, base, rows, 300)
+    assert not plan.single and made.value == len(rows)
+
+
 def test_dense_readings_in_one_window(spark, split):
     """All readings within one window: slices are at least a window wide."""
     rows, base = random_rows(800, 200, 3), list(range(0, 200, 7))
