@@ -144,7 +144,9 @@ def train_delta_model(
     """
     if grid is None:
         grid = LASSO_GRID if kind == "lasso" else TREE_GRIDS[metric]
-    marked = time_split(rows.select(ts, *([seq] if seq else []), *features, label), (), ts, seq, test_fraction)
+    # Numbering reads the rows several times.
+    rows = stored(rows.select(ts, *([seq] if seq else []), *features, label), "rows")
+    marked = time_split(rows, (), ts, seq, test_fraction)
     marked = stored(marked, "labelled")
     train = stored(time_series_folds(marked.filter(~F.col("is_test")), n_splits, (), ts, seq), "folds")
     test = marked.filter("is_test")

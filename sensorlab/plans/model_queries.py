@@ -9,7 +9,7 @@ from sensorlab.functions import wire
 from sensorlab.operators import asof, features
 from sensorlab.plans import batch_queries as batch
 from sensorlab.plans import model, stream_queries, views
-from sensorlab.session import fresh_folder
+from sensorlab.session import fresh_folder, stored
 from sensorlab.streaming import jobs
 
 QUERIES = {}
@@ -30,26 +30,26 @@ def query(sql: str | None = None):
     return keep
 
 
-def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Features of every device row with the station's matched or imputed value."""
-    base = asof.match_and_impute(
-        views.base(spark, folder), views.of_type(spark, folder, "click"), ["site"], seq="seq", gap_seconds=2 * batch.HOUR
-    ).na.drop(subset=["outdoor_temperature"])
+def device_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of every device row; stored, as training and scoring both start from them."""
     made = features.fused_features(
-        base, views.channels(spark, folder), ["site"], batch.MEAN_FEATURES, seq="seq", window_seconds=6 * batch.HOUR
+        views.base(spark, folder), views.channels(spark, folder), ["site"], batch.MEAN_FEATURES, seq="seq",
+        window_seconds=6 * batch.HOUR,
     )
-    return features.add_label(made)
+    return stored(made, "features")
 
 
-def trained(spark, folder, kind="lasso", grid=None, metric="rmse", n_splits=5) -> model.Trained:
-    return model.train_delta_model(labelled(spark, folder), model.MEAN_FEATURES, kind, grid, metric, n_splits, seq="seq")
+def labelled(spark: SparkSession, folder: str, made: DataFrame | None = None) -> DataFrame:
+    """Features of every device row with the station's matched or imputed value."""
+    matched = asof.match_and_impute(
+        device_features(spark, folder) if made is None else made, views.of_type(spark, folder, "click"), ["site"], seq="seq",
+        gap_seconds=2 * batch.HOUR,
+    )
+    return features.add_label(matched.na.drop(subset=["outdoor_temperature"]))
 
 
-def device_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features.fused_features(
-        views.base(spark, folder), views.channels(spark, folder), ["site"], batch.MEAN_FEATURES, seq="seq",
-        window_seconds=6 * batch.HOUR,
-    )
+def trained(spark, folder, kind="lasso", grid=None, metric="rmse", n_splits=5, made=None) -> model.Trained:
+    return model.train_delta_model(labelled(spark, folder, made), model.MEAN_FEATURES, kind, grid, metric, n_splits, seq="seq")
 
 
 # -- the same by SQL: normal numbers of every window, coordinate descent as a recursion --------
@@ -178,10 +178,11 @@ _MADE = ", ".join(f"round({c}, 6) AS {c}" for c in model.MEAN_FEATURES if c != "
 @query(lasso_sql(adjusted(f"site, ts, seq, {_MADE}")))
 def adjust_temperature(spark, folder):
     """Train, store, load and apply: every device row with its corrected value."""
-    done = trained(spark, folder, grid={"regParam": [ALPHA]})
+    made = device_features(spark, folder)
+    done = trained(spark, folder, grid={"regParam": [ALPHA]}, made=made)
     path = fresh_folder(spark, "model")
     model.save_model(done.model, path, spark)
-    return views.rounded(model.adjust_temperature(device_features(spark, folder), model.load_model(path, "linear")))
+    return views.rounded(model.adjust_temperature(made, model.load_model(path, "linear")))
 
 
 _SCORED = {"time": "ts", "processing_time": "10000.0 - seq / 1000.0"}
@@ -190,8 +191,9 @@ _SCORED = {"time": "ts", "processing_time": "10000.0 - seq / 1000.0"}
 @query(lasso_sql(batch.json_sql("scored", _SCORED, "(" + adjusted(f"site, ts, seq, {_MADE}") + ")")))
 def wire_scored(spark, folder):
     """JSON records of the scored readings."""
-    done = trained(spark, folder, grid={"regParam": [ALPHA]})
-    rows = views.rounded(model.adjust_temperature(device_features(spark, folder), done.model))
+    made = device_features(spark, folder)
+    done = trained(spark, folder, grid={"regParam": [ALPHA]}, made=made)
+    rows = views.rounded(model.adjust_temperature(made, done.model))
     rows = rows.withColumns({"time": F.col("ts"), "produced_at": F.col("seq") / F.lit(1000.0)})
     return batch.as_json(wire.with_latency(rows, now=F.lit(batch.CLOCK)), "scored")
 

@@ -5,7 +5,7 @@ import pytest
 from helpers import at
 from pyspark.sql import functions as F
 
-from sensorlab.plans import model
+from sensorlab.plans import model, model_queries
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,27 @@ def test_scoring_with_and_without_model(spark, rows, tmp_path):
     assert done[1].model_used and done[1].temperature == done[1].original_temperature + done[1].delta
     plain = model.adjust_temperature(holed, model.load_model(str(tmp_path / "none")))
     assert plain.columns == list(done[0].asDict()) and plain.filter("delta <> 0 or model_used").count() == 0
+
+
+def test_training_reads_its_rows_once(spark, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    done = model.train_delta_model(rows.mapInArrow(counted, rows.schema), ["a", "b"], "lasso", seq="seq")
+    assert done.test["n"] == 48 and made.value == 240
+
+
+def test_training_and_scoring_share_their_features(spark, monkeypatch):
+    calls, fused = [], model_queries.features.fused_features
+
+    def counted(*args, **options):
+        calls.append(1)
+        return fused(*args, **options)
+
+    monkeypatch.setattr(model_queries.features, "fused_features", counted)
+    assert model_queries.wire_scored(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
