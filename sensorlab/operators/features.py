@@ -137,14 +137,15 @@ def fused_features(
         rows = rows.withColumnRenamed("_t", "_us").withColumn("_base", F.lit(True))
     states = _channel_states(visit(rows, read, None if plan.single else front), plan, set(opening))
     kept = [c for c in rows.columns if c != "_base"]
-    states = _look_up(states, plan, channels, kept, "_last", sums if opening else [], seen=True)
+    last_sums = sums if opening else []
+    states = _look_up(states, plan, channels, kept, "_last", last_sums, seen=True)
 
     out: list[Column] = []
     zero = F.lit(0.0)
     for f in features:
         for p in pumps:
             c = f"{f.quantity}_tc{p}"
-            latest, us = F.col(f"_{c}_last_v"), F.col(f"_{c}_last_us")
+            latest, us = (_part("_last", channels.index(c), part, last_sums, True) for part in ("_v", "_us"))
             known = latest
             if forget_after_seconds is not None:
                 latest = F.when(F.col("_us") - us <= F.lit(int(forget_after_seconds * 1e6)), latest)
@@ -152,15 +153,18 @@ def fused_features(
                 out.append(F.coalesce(latest, zero).alias(c))
                 continue
 
-            def inside(part: str, c=c, stat=f.stat) -> Column:
-                return F.col(f"_{c}_last{part}") - F.col(f"_{c}_{stat}{part}")
+            def opened_at(part: str, c=c, stat=f.stat) -> Column:
+                return _part(f"_{stat}", opening[stat].index(c), part, _SUMS[stat], stat == "rate")
+
+            def inside(part: str, c=c, opened_at=opened_at) -> Column:
+                return _part("_last", channels.index(c), part, last_sums, True) - opened_at(part)
 
             n = inside("_n")
             if f.stat == "mean":
                 total = _decimal(*[inside(d) for d in _DIGITS])
                 out.append(F.when(n > 0, (total.cast("double") + inside("_rest")) / n).otherwise(zero).alias(c))
                 continue
-            first_us, first_v = F.col(f"_{c}_rate_us"), F.col(f"_{c}_rate_v")
+            first_us, first_v = opened_at("_us"), opened_at("_v")
             seconds = (us - first_us) / F.lit(1e6)
             timed = (n > 1) & (seconds > 0)
             rate = F.when(timed, (known - first_v) / seconds).otherwise(zero)
@@ -175,6 +179,7 @@ def fused_features(
 #: below a long for nine billion readings. What a decimal leaves of a value is summed as a double.
 _DIGITS = ["_s0", "_s1", "_s2"]
 _BASE = 10**9
+_KINDS = {"_longs": T.LongType(), "_doubles": T.DoubleType()}
 _SUMS = {"mean": ["_n", *_DIGITS, "_rest"], "rate": ["_n"]}
 
 
@@ -183,6 +188,10 @@ def _near(v: Column) -> Column:
     return F.coalesce(v.try_cast("decimal(27,9)"), F.lit(0).cast("decimal(27,9)"))
 
 
+def _kind(part: str) -> str:
+    return "_doubles" if part in ("_rest", "_v") else "_longs"
+
+
 def _added(v: Column) -> dict[str, Column]:
     """What one value adds to the sums."""
     near, unit = _near(v), F.lit(_BASE).cast("long")
@@ -238,8 +247,9 @@ def _look_up(
 ) -> DataFrame:
     """The base rows' ``keep`` with what every channel has come to before them in its slice.
 
-    Adds ``_{channel}{name}{sum}`` for each of ``sums`` and, of the reading
-    ``seen`` last, ``_us`` and ``_v``, null before the first.
+    Of each channel ``sums`` and, of the reading ``seen`` last, ``_us`` and
+    ``_v``, null before the first. They are packed into two arrays, which cost
+    the rows of readings in the next pass nothing; ``_part`` unpacks them.
     """
     group = plan.group
     number = (F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("_channel")) - 1).cast("int")
@@ -247,10 +257,8 @@ def _look_up(
         *dict.fromkeys([*keep, *group]), "_base", F.coalesce(number, F.lit(-1)).alias("_number"),
         F.col("_r.us").alias("_seen_us"), F.col("_r.v").alias("_seen_v"), *sums,
     )
-    parts = {s: T.DoubleType() if s == "_rest" else T.LongType() for s in sums}
-    parts |= {"_us": T.LongType(), "_v": T.DoubleType()} if seen else {}
-    fields = [T.StructField(f"_{c}{name}{s}", kind) for c in channels for s, kind in parts.items()]
-    schema = T.StructType([*slim.select(*keep).schema.fields, *fields])
+    packs = [T.StructField(f"{name}{kind}", T.ArrayType(of)) for kind, of in _KINDS.items()]
+    schema = T.StructType([*slim.select(*keep).schema.fields, *packs])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +284,8 @@ def _look_up(
             us, v = batch.column("_seen_us"), batch.column("_seen_v")
             known = us.is_valid().to_numpy(zero_copy_only=False)
             us, v = pc.fill_null(us, 0).to_numpy(), pc.fill_null(v, 0.0).to_numpy()
-            made, ends = [], []
+            made: dict[str, list] = {kind: [] for kind in _KINDS}
+            ends = []
             for c in range(len(channels)):
                 mine = np.flatnonzero(number == c)
                 upto, since = np.searchsorted(mine, at), np.searchsorted(mine, begin)
@@ -285,7 +294,7 @@ def _look_up(
                 end = {}
                 for s in sums:
                     total = _running(adds[s][mine], since, upto, int(np.searchsorted(mine, ongoing)), old[s], goes_on)
-                    made.append(pa.array(total[:-1]))
+                    made[_kind(s)].append((total[:-1], np.ones(len(base), bool)))
                     end[s] = total[-1]
                 if seen:
                     here = upto > since
@@ -293,16 +302,33 @@ def _look_up(
                     then = old["at"] or (0, 0.0)
                     is_known = np.where(here, known[spot], goes_on & (old["at"] is not None))
                     last_us, last_v = np.where(here, us[spot], then[0]), np.where(here, v[spot], then[1])
-                    made += [pa.array(x[:-1], mask=~is_known[:-1]) for x in (last_us, last_v)]
+                    made["_longs"].append((last_us[:-1], is_known[:-1]))
+                    made["_doubles"].append((last_v[:-1], is_known[:-1]))
                     end["at"] = (last_us[-1], last_v[-1]) if is_known[-1] else None
                 ends.append(end)
             carry = ends
             kept = batch.take(pa.array(base))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *made], names)
+            packed = [_packed(made[kind], len(base), pa.int64() if kind == "_longs" else pa.float64()) for kind in _KINDS]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *packed], names)
 
     return slim.mapInArrow(run, schema)
 
 
+def _packed(columns: list[tuple[np.ndarray, np.ndarray]], rows: int, kind: pa.DataType) -> pa.Array:
+    """A list for each row of its values in all ``columns``, null where they aren't known."""
+    if not columns:
+        return pa.nulls(rows, pa.list_(kind))
+    flat = pa.array(np.column_stack([x for x, _ in columns]).ravel(), kind, mask=~np.column_stack([known for _, known in columns]).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(columns)), flat)
+
+
+def _part(name: str, channel: int, part: str, sums: Sequence[str], seen: bool) -> Column:
+    """One part of what `_look_up` has packed."""
+    kind = _kind(part)
+    of_kind = [p for p in (*sums, *(("_us", "_v") if seen else ())) if _kind(p) == kind]
+    return F.get(F.col(f"{name}{kind}"), F.lit(channel * len(of_kind) + of_kind.index(part)))
+
+
 def _running(x: np.ndarray, since: np.ndarray, upto: np.ndarray, ongoing: int, old, goes_on: np.ndarray) -> np.ndarray:
     """Sums of ``x[since:upto]``, those that go on from the last batch with its sum ``old``; no sum is a difference of doubles."""
     if x.dtype.kind == "i" or not (x.any() or old):
