@@ -1,25 +1,28 @@
 """Prediction by partial matching over bytes, trained and applied as Spark jobs.
 
-A text is lower-cased (A-Z) and cut into units, each a word with the space or
-line feed that ends it, or with the end of the text. A byte's context are up to
-ORDER bytes before it, not reaching back beyond its unit's start, which is a
-symbol of the context. The trie's nodes are these contexts with the counts of
-the bytes that followed. A byte is coded at the longest context that has seen
-it; each longer one is left by an escape, and bytes seen there are excluded
-below. Below the empty context all bytes not yet excluded are alike. Escapes
-are estimated by method D: of 2n, a symbol seen c times has 2c - 1 and the
-escape one for each different symbol.
-
-Above the bytes stands one context of no limited length, the unit from its
-start: a unit seen in training is coded there as a whole, a new one escapes to
-its bytes. By update exclusion the contexts below count every unit once.
+A text is lower-cased (A-Z) and read as its bytes and an end. A byte's context
+are the ORDER bytes before it, across words and lines; marks stand before the
+text's start. The trie's nodes are these contexts with the counts of the bytes
+that followed. A byte is coded at the longest context that has seen it; each
+longer one is left by an escape, and bytes seen there are excluded below. Below
+the empty context all bytes not yet excluded are alike. Escapes are estimated by
+method D: of 2n, a symbol seen c times has 2c - 1 and the escape one for each
+different symbol. A text's score is the sum over its bytes and its end; the
+probabilities of what may follow a context sum to 1 (`score_bytes`).
 
 Nothing is kept whole in one place. Blocks of documents have dictionaries of
-their units, and blocks of units have dictionaries of their byte sequences
-(context and byte); only dictionaries travel. Counts of a sequence are summed
-over blocks where all contexts that share their last two bytes meet, which is
-all that a byte's chain of contexts needs but for the counts of single bytes
-and pairs (at most 256 and 65,536 numbers). The logarithms go back the same way.
+their words and of their byte sequences (context and byte); the texts stay with
+their block. Counts of a sequence are summed over blocks where all contexts that
+share their last two bytes meet, which is all that a byte's chain of contexts
+needs but for the counts of single bytes and pairs (at most 256 and 65,536
+numbers). The logarithms go back the same way.
+
+`score_texts` is another model with the same chain: contexts stop at the start
+of a unit (a word with the space or line feed that ends it, or with the end of
+the text), and above the bytes stands one context of no limited length, the unit
+from its start. A unit seen in training is coded there as a whole, a new one
+escapes to its bytes. By update exclusion the contexts below count every unit
+once. It does not tell a text from its words in another order.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -34,13 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlab.llm.common import discard, list_array, runs, small_batches, stored
-from sensorlab.llm.words import sums
+from sensorlab.llm.words import hash_words, split_words, sums
 
 ORDER = 5
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 SYMBOLS = 255
 ENTRIES = 400_000
 CHUNK = 10_000
+BLOCK_ENTRIES = 1 << 20  # words or sequences of a block of texts
+BUNDLE = 1 << 23  # bytes of text at a time
+WINDOW = 1 << 20  # byte sequences at a time
+BUCKETS = 1024  # of words
 
 
 def bundles(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -328,3 +336,258 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("known").cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score",
     )
+
+
+def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], size: int | None = None) -> Iterator[pa.Table]:
+    """Tables of neighbouring rows with equal long keys; a table of `size` bytes or more gets no further batch."""
+    held, held_bytes, last = [], 0, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        fresh = np.zeros(n - 1, bool)
+        for c in columns:
+            fresh |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = [c[a] for c in columns]
+            if held and (key != last or size is not None and held_bytes >= size):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, held_bytes = [], 0
+            held.append(batch.slice(a, b - a))
+            held_bytes += held[-1].nbytes
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, ORDER START marks before and END behind each, and where each text ends."""
+    before, end, none = (pa.scalar(b, pa.large_binary()) for b in (bytes([START]) * ORDER, bytes([END]), b""))
+    marked = pc.binary_join_element_wise(before, texts.cast(pa.large_binary()), end, none)
+    offsets = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    return np.frombuffer(marked.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
+def byte_windows(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Context and byte, ORDER + 1 bytes in one number, of all bytes from ORDER on; with each window, the place of its first byte.
+
+    Those of the marks before a text have START as their byte.
+    """
+    for a in range(0, len(data) - ORDER, WINDOW):
+        part = data[a : a + WINDOW + ORDER]
+        two = part[:-1].astype(np.uint16) << 8 | part[1:]
+        four = two[:-2].astype(np.uint32) << 16 | two[2:]
+        yield a + ORDER, (four[:-2].astype(np.uint64) << np.uint64(16) | two[4:]).view(np.int64)
+
+
+def coded_texts(rows: DataFrame) -> DataFrame:
+    """Stored blocks of rows ``_row, _weight, _text``, of lower-cased texts, and of their dictionaries.
+
+    `_kind` 0 is a row; 1 the block's words of one bucket, `_near`, the text's
+    end being the word " "; 2 its byte sequences whose contexts share their last
+    two bytes, `_near`, which `_items` leave out; 3 its pairs of bytes. `_counts`
+    sum the weights, 0 or 1, over the block's rows. A block is what one task met
+    until a dictionary had BLOCK_ENTRIES entries.
+    """
+    kinds = {"_words": pa.list_(pa.string()), "_items": pa.list_(pa.int32()), "_counts": pa.list_(pa.int64())}
+    fields = {"_block": pa.int64(), "_kind": pa.int32(), "_row": pa.int64(), "_weight": pa.int64(), "_text": pa.string(), "_near": pa.int64(), **kinds}
+
+    def table(n: int, block: int, kind: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+        columns = {"_block": pa.array(np.full(n, block)), "_kind": pa.array(np.full(n, kind, np.int32)), **columns}
+        yield pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in fields.items()], list(fields))
+
+    def summed(parts: list[pa.Table]) -> list[pa.Table]:
+        return [pa.concat_tables(parts).group_by("item", use_threads=False).aggregate([("n", "sum")]).rename_columns(["item", "n"])]
+
+    def counted(texts: pa.Array, weight: int) -> tuple[pa.Table, list[pa.Table]]:
+        found = split_words(texts, lower=False)[0].value_counts()
+        item = pa.concat_arrays([found.field("values"), pa.array([" "])])
+        n = np.append(found.field("counts").to_numpy(), len(texts)) * weight
+        sequences = []
+        for _, keys in byte_windows(text_bytes(texts)[0]):
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size, keys = np.diff(first, append=len(keys)) * weight, keys[first]
+            real = keys & 0xFF != START
+            sequences.append(pa.table({"item": keys[real], "n": size[real]}))
+        return pa.table({"item": item, "n": n}), sequences
+
+    def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """An order by key, where each key's entries end, and the keys."""
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        return order, ends, pa.array(key[ends - 1])
+
+    def dictionaries(block: int, words: list[pa.Table], sequences: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        (found,) = summed(words)
+        word = found["item"].combine_chunks()
+        hashes = [hash_words(word.slice(a, CHUNK)) for a in range(0, len(word), CHUNK)]
+        bucket = (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+        order, ends, near = grouped(bucket)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), word.take(pa.array(order)))
+        yield from table(len(ends), block, 1, _near=near, _words=lists, _counts=list_array(found["n"].to_numpy()[order], ends))
+        (found,) = summed(sequences)
+        item, n = found["item"].to_numpy(), found["n"].to_numpy()
+        order, ends, near = grouped(item >> 8 & 0xFFFF)
+        rest = (item >> 24 << 8 | item & 0xFF).astype(np.uint32).view(np.int32)
+        yield from table(len(ends), block, 2, _near=near, _items=list_array(rest[order], ends), _counts=list_array(n[order], ends))
+        pairs = np.bincount(item & 0xFFFF, n, 1 << 16).astype(np.int64)
+        some = np.flatnonzero(pairs).astype(np.int32)
+        yield from table(1, block, 3, _items=list_array(some, np.array([len(some)])), _counts=list_array(pairs[some], np.array([len(some)])))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        words: list[pa.Table] = []
+        sequences: list[pa.Table] = []
+        for piece in pieces(batches, [], BUNDLE):
+            texts = pc.ascii_lower(pc.fill_null(piece["_text"].combine_chunks(), ""))
+            yield from table(len(texts), block, 0, _row=piece["_row"].combine_chunks(), _weight=piece["_weight"].combine_chunks(), _text=texts)
+            for weight in (0, 1):
+                some = texts.filter(pc.equal(piece["_weight"].combine_chunks(), weight))
+                if len(some):
+                    of_words, of_bytes = counted(some, weight)
+                    words.append(of_words)
+                    sequences.extend(of_bytes)
+            if max(sum(map(len, words)), sum(map(len, sequences))) >= 1.5 * BLOCK_ENTRIES:
+                words, sequences = summed(words), summed(sequences)
+                if max(len(words[0]), len(sequences[0])) >= BLOCK_ENTRIES:
+                    yield from dictionaries(block, words, sequences)
+                    words, sequences, block = [], [], block + 1
+        if words:
+            yield from dictionaries(block, words, sequences)
+
+    small_batches(rows.sparkSession)
+    schema = "_block long, _kind int, _row long, _weight long, _text string, _near long, _words array<string>, _items array<int>, _counts array<long>"
+    return stored(rows.mapInArrow(encode, schema), "texts")
+
+
+def whole_items(rest: np.ndarray, near: np.ndarray | int) -> np.ndarray:
+    """Byte sequences, from their bytes but the context's last two, and these."""
+    rest = rest.view(np.uint32).astype(np.int64)
+    return rest >> 8 << 24 | near << 8 | rest & 0xFF
+
+
+def text_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, 0 for a text without any."""
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
+    out = np.zeros(len(ends))
+    some = starts < ends
+    if some.any():
+        out[some] = np.add.reduceat(values, starts[some], dtype=np.float64)
+    return out
+
+
+def byte_scores(texts: pa.Array, index: pd.Index, logs: np.ndarray) -> np.ndarray:
+    """Each text's sum of the `logs` of its byte sequences, which `index` holds; the last of `logs` is 0."""
+    data, ends = text_bytes(texts)
+    out = np.zeros(len(texts))
+    for place, keys in byte_windows(data):
+        at = index.get_indexer(keys)
+        assert np.count_nonzero(at < 0) == np.count_nonzero(data[place : place + len(keys)] == START)
+        first, last = np.searchsorted(ends, [place, place + len(keys) - 1], "right")
+        out[first : last + 1] += np.add.reduceat(logs[at], np.concatenate([[0], ends[first:last] - place]))
+    return out
+
+
+def score_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    The model learns from the rows that aren't held out. `score` is the log10
+    probability of all bytes of the lower-cased text and of its end, each after
+    the ORDER bytes before it; `base_score` that of its words under the word
+    counts of training, one added to each. Null texts count as empty, repeated
+    rows count each time, a null id is scored as any.
+    """
+    held = held_out(id_col) if held is None else held
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("_row"), (~held).cast("long").alias("_weight"), F.col(text_col).alias("_text")
+    )
+    coded = coded_texts(rows)
+
+    # Base: each block's words with their counts in all blocks; a bucket's first row has its tokens and different words.
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in pieces(batches, ["_near"]):
+            words = group["_words"].combine_chunks()
+            word = words.flatten().dictionary_encode()
+            at = word.indices.to_numpy()
+            count = np.bincount(at, group["_counts"].combine_chunks().flatten().to_numpy(), len(word.dictionary)).astype(np.int64)
+            first = np.arange(len(words)) == 0
+            counts = list_array(count[at], np.cumsum(pc.list_value_length(words).to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [group["_block"].combine_chunks(), words, counts, pa.array(first * count.sum()), pa.array(first * np.count_nonzero(count))],
+                ["_block", "_words", "_counts", "_tokens", "_kinds"],
+            )
+
+    words = coded.filter("_kind = 1").select("_block", "_near", "_words", "_counts").repartition("_near").sortWithinPartitions("_near")
+    words = stored(words.mapInArrow(total, "_block long, _words array<string>, _counts array<long>, _tokens long, _kinds long"), "words")
+    n, v = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("_tokens", "_kinds"))).first()
+
+    # The trie's sequences, where contexts with the same last two bytes meet.
+    pairs = np.zeros((256, 256), np.int64)
+    two = coded.filter("_kind = 3").select(F.explode(F.arrays_zip("_items", "_counts")).alias("e")).groupBy(F.col("e._items").alias("ab"))
+    for r in two.agg(F.sum("e._counts").alias("n")).collect():
+        pairs[r["ab"] >> 8, r["ab"] & 0xFF] = r["n"]
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in pieces(batches, ["_near"]):
+            items = group["_items"].combine_chunks()
+            item, at = np.unique(whole_items(items.flatten().to_numpy(), group["_near"][0].as_py()), return_inverse=True)
+            count = np.bincount(at, group["_counts"].combine_chunks().flatten().to_numpy(), len(item))
+            ends = np.cumsum(pc.list_value_length(items).to_numpy())
+            values = list_array(sequence_logs(item, count, pairs)[at], ends)
+            yield pa.RecordBatch.from_arrays([group["_block"].combine_chunks(), group["_near"].combine_chunks(), items, values], ["_block", "_near", "_items", "_logs"])
+
+    near = coded.filter("_kind = 2").select("_block", "_near", "_items", "_counts").repartition("_near").sortWithinPartitions("_near")
+    near = near.mapInArrow(logs, "_block long, _near long, _items array<int>, _logs array<double>")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = ready = None
+        for piece in pieces(batches, ["_block", "_kind"], BUNDLE):
+            kind = piece["_kind"][0].as_py()
+            if piece["_block"][0].as_py() != block:
+                block, ready, known, found = piece["_block"][0].as_py(), None, [], []
+            if kind == -2:
+                known.append((piece["_words"].combine_chunks().flatten(), piece["_counts"].combine_chunks().flatten().to_numpy()))
+                continue
+            if kind == -1:
+                items = piece["_items"].combine_chunks()
+                near_of = np.repeat(piece["_near"].to_numpy(), pc.list_value_length(items).to_numpy())
+                found.append((whole_items(items.flatten().to_numpy(), near_of), piece["_logs"].combine_chunks().flatten().to_numpy()))
+                continue
+            if ready is None:
+                word, count = pa.concat_arrays([k[0] for k in known]), np.concatenate([k[1] for k in known])
+                index = pd.Index(np.concatenate([f[0] for f in found]))
+                ready = np.concatenate([*(f[1] for f in found), [0.0]])
+                known, found = [], []
+                one = np.log10((count + 1) / float(n + v + 1))
+                end = pc.index(word, " ").as_py()
+            texts = piece["_text"].combine_chunks()
+            flat, ends = split_words(texts, lower=False)
+            flat = flat.dictionary_encode()
+            at = pc.index_in(flat.dictionary, value_set=word).to_numpy()[flat.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece["_row"].combine_chunks(), piece["_weight"].combine_chunks(), pa.array(byte_scores(texts, index, ready)),
+                    pa.array(text_sums(one[at], ends) + one[end]), pa.array(np.diff(ends, prepend=0) + 1),
+                    pa.array(text_sums(count[at] > 0, ends).astype(np.int64) + int(count[end] > 0)),
+                ],
+                ["_row", "_weight", "score", "base", "tokens", "known"],
+            )
+
+    none = {"_row": "long", "_weight": "long", "_text": "string", "_near": "long", "_words": "array<string>", "_counts": "array<long>", "_items": "array<int>", "_logs": "array<double>"}
+
+    def filled(df: DataFrame, kind: int) -> DataFrame:
+        return df.select("_block", F.lit(kind).alias("_kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    texts = coded.filter("_kind = 0").select("_block", "_row", "_weight", "_text")
+    both = filled(texts, 0).union(filled(words, -2)).union(filled(near, -1))
+    both = both.repartition("_block").sortWithinPartitions("_block", "_kind")
+    out = both.mapInArrow(score, "_row long, _weight long, score double, base double, tokens long, known long")
+    return out.select(
+        F.col("_row").alias(id_col), (F.col("_weight") == 0).alias("held_out"), F.col("tokens").alias("n_tokens"),
+        F.col("known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score",
+    )

@@ -36,7 +36,7 @@ def op3_budgeted_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_byte_ppm(spark: SparkSession, folder: str) -> DataFrame:
-    return ppm.score_texts(_table(spark, folder, "documents"))
+    return ppm.score_bytes(_table(spark, folder, "documents"))
 
 
 def op5_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
