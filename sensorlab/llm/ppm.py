@@ -46,9 +46,11 @@ SYMBOLS = 255
 ENTRIES = 400_000
 CHUNK = 10_000
 BLOCK_ENTRIES = 1 << 20  # words or sequences of a block of texts
+BLOCK_BYTES = 1 << 27  # of a block's texts, about
 BUNDLE = 1 << 23  # bytes of text at a time
 WINDOW = 1 << 20  # byte sequences at a time
 BUCKETS = 1024  # of words
+SLICE = 64  # blocks of which a task looks up sequences at a time
 
 
 def bundles(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -274,10 +276,10 @@ def held_out(id_col: str) -> Column:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    """The model of whole units, which no query uses: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    The model learns from the rows that aren't held out. `score` is the log10
-    probability of the whole lower-cased text and its end, `base_score` that of
+    The model learns from the rows that aren't held out. `score` sums its units'
+    logarithms over the whole lower-cased text and its end, `base_score` that of
     its words under the word counts of training, one added to each. Null texts
     count as empty, repeated rows count each time, a null id is scored as any.
     """
@@ -389,7 +391,8 @@ def coded_texts(rows: DataFrame) -> DataFrame:
     end being the word " "; 2 its byte sequences whose contexts share their last
     two bytes, `_near`, which `_items` leave out; 3 its pairs of bytes. `_counts`
     sum the weights, 0 or 1, over the block's rows. A block is what one task met
-    until a dictionary had BLOCK_ENTRIES entries.
+    until a dictionary had BLOCK_ENTRIES entries or the texts BLOCK_BYTES; the
+    task's number and the block's in it make `_block`, 24 bits for the latter.
     """
     kinds = {"_words": pa.list_(pa.string()), "_items": pa.list_(pa.int32()), "_counts": pa.list_(pa.int64())}
     fields = {"_block": pa.int64(), "_kind": pa.int32(), "_row": pa.int64(), "_weight": pa.int64(), "_text": pa.string(), "_near": pa.int64(), **kinds}
@@ -439,11 +442,12 @@ def coded_texts(rows: DataFrame) -> DataFrame:
         yield from table(1, block, 3, _items=list_array(some, np.array([len(some)])), _counts=list_array(pairs[some], np.array([len(some)])))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        block, size = TaskContext.get().partitionId() << 24, 0
         words: list[pa.Table] = []
         sequences: list[pa.Table] = []
         for piece in pieces(batches, [], BUNDLE):
             texts = pc.ascii_lower(pc.fill_null(piece["_text"].combine_chunks(), ""))
+            size += texts.nbytes
             yield from table(len(texts), block, 0, _row=piece["_row"].combine_chunks(), _weight=piece["_weight"].combine_chunks(), _text=texts)
             for weight in (0, 1):
                 some = texts.filter(pc.equal(piece["_weight"].combine_chunks(), weight))
@@ -451,11 +455,13 @@ def coded_texts(rows: DataFrame) -> DataFrame:
                     of_words, of_bytes = counted(some, weight)
                     words.append(of_words)
                     sequences.extend(of_bytes)
+            full = False
             if max(sum(map(len, words)), sum(map(len, sequences))) >= 1.5 * BLOCK_ENTRIES:
                 words, sequences = summed(words), summed(sequences)
-                if max(len(words[0]), len(sequences[0])) >= BLOCK_ENTRIES:
-                    yield from dictionaries(block, words, sequences)
-                    words, sequences, block = [], [], block + 1
+                full = max(len(words[0]), len(sequences[0])) >= BLOCK_ENTRIES
+            if full or size >= BLOCK_BYTES:
+                yield from dictionaries(block, words, sequences)
+                words, sequences, block, size = [], [], block + 1, 0
         if words:
             yield from dictionaries(block, words, sequences)
 
@@ -533,12 +539,18 @@ def score_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in pieces(batches, ["_near"]):
-            items = group["_items"].combine_chunks()
-            item, at = np.unique(whole_items(items.flatten().to_numpy(), group["_near"][0].as_py()), return_inverse=True)
-            count = np.bincount(at, group["_counts"].combine_chunks().flatten().to_numpy(), len(item))
-            ends = np.cumsum(pc.list_value_length(items).to_numpy())
-            values = list_array(sequence_logs(item, count, pairs)[at], ends)
-            yield pa.RecordBatch.from_arrays([group["_block"].combine_chunks(), group["_near"].combine_chunks(), items, values], ["_block", "_near", "_items", "_logs"])
+            near = group["_near"][0].as_py()
+            parts = [group.slice(a, SLICE).to_batches()[0] for a in range(0, len(group), SLICE)]
+            item, count = np.zeros(0, np.int64), np.zeros(0)
+            for part in parts:
+                items, counts = (part.column(c).flatten().to_numpy() for c in ("_items", "_counts"))
+                item, at = np.unique(np.concatenate([item, whole_items(items, near)]), return_inverse=True)
+                count = np.bincount(at, np.concatenate([count, counts]), len(item))
+            value = sequence_logs(item, count, pairs)
+            for part in parts:
+                at = np.searchsorted(item, whole_items(part.column("_items").flatten().to_numpy(), near))
+                values = list_array(value[at], np.cumsum(pc.list_value_length(part.column("_items")).to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column("_block"), part.column("_near"), part.column("_items"), values], ["_block", "_near", "_items", "_logs"])
 
     near = coded.filter("_kind = 2").select("_block", "_near", "_items", "_counts").repartition("_near").sortWithinPartitions("_near")
     near = near.mapInArrow(logs, "_block long, _near long, _items array<int>, _logs array<double>")
@@ -584,7 +596,10 @@ def score_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     texts = coded.filter("_kind = 0").select("_block", "_row", "_weight", "_text")
     both = filled(texts, 0).union(filled(words, -2)).union(filled(near, -1))
-    both = both.repartition("_block").sortWithinPartitions("_block", "_kind")
+    # The blocks are dealt out evenly: neighbouring tasks' to neighbouring partitions.
+    deal = F.shiftright("_block", 24) + F.col("_block").bitwiseAND(0xFFFFFF) * 7919
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartitionById(partitions, (deal % partitions).cast("int")).sortWithinPartitions("_block", "_kind")
     out = both.mapInArrow(score, "_row long, _weight long, score double, base double, tokens long, known long")
     return out.select(
         F.col("_row").alias(id_col), (F.col("_weight") == 0).alias("held_out"), F.col("tokens").alias("n_tokens"),

@@ -59,10 +59,13 @@ def shuffled(text, seed):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", ["", "entries", "bytes"])
 def test_scores_equal_the_definition(documents, clashing, monkeypatch, small):
-    if small:  # several blocks a task, windows that end inside texts, a batch at a time
-        for name, value in {"BLOCK_ENTRIES": 60, "BUCKETS": 7, "BUNDLE": 1, "WINDOW": 13}.items():
+    if small == "bytes":  # several blocks a task, by size
+        monkeypatch.setattr(ppm, "BLOCK_BYTES", 500)
+        monkeypatch.setattr(ppm, "BUNDLE", 1)
+    if small == "entries":  # several blocks a task, windows that end inside texts, a batch at a time
+        for name, value in {"BLOCK_ENTRIES": 60, "BUCKETS": 7, "BUNDLE": 1, "WINDOW": 13, "SLICE": 2}.items():
             monkeypatch.setattr(ppm, name, value)
     texts = dict(enumerate([t for t in odd_texts() if len(t or "") < 3_000] + [prose(i, 20) for i in range(40)] + [" a  b", "a\n\nb ", "\t", "A b A b"]))
     rows = ppm.score_bytes(clashing(documents(list(texts.items()))).repartition(3)).collect()
